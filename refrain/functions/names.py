@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
-from refrain.functions.text import NOT_ASCII, any_word, js_trim, name_key, pattern, unmarked
+from refrain.functions.text import NOT_ASCII, any_word, bind, js_trim, name_key, pattern, unmarked
 
 JOIN = pattern(fixed.CREDIT_JOIN)
 JOIN_GREEDY = pattern(fixed.CREDIT_JOIN_GREEDY)
@@ -28,8 +28,10 @@ def artist_annotation_source(artist: Column) -> Column:
     for words in ("soundtrack", "original motion picture", "the movie"):
         note = F.regexp_replace(note, any_word([words]), "")
     note = js_trim(F.regexp_replace(note, pattern(r"""\A(?:{S}|["'“”‘’])+|(?:{S}|["'“”‘’])+\z"""), ""))
-    note = F.when(F.lower(note) == "fellowship of the ring", "The Fellowship of the Ring").otherwise(note)
-    return F.when(artist.rlike(ARTIST_NOTE) & (note != ""), note)
+    return bind(note, lambda n: F.when(
+        artist.rlike(ARTIST_NOTE) & (n != ""),
+        F.when(F.lower(n) == "fellowship of the ring", "The Fellowship of the Ring").otherwise(n),
+    ))
 
 
 def lead_artist(artist: Column) -> Column:
@@ -49,8 +51,9 @@ def artist_fragments(artist: Column, greedy: bool = False) -> Column:
     parts = F.transform(F.split(artist, JOIN_GREEDY if greedy else JOIN), js_trim)
     if not greedy:
         return F.filter(parts, lambda p: p != "")
-    kept = F.filter(parts, lambda p: F.length(p) > 1)
-    return F.when(F.size(kept) > 1, F.array_distinct(kept)).otherwise(F.array().cast("array<string>"))
+    return bind(F.filter(parts, lambda p: F.length(p) > 1), lambda kept: F.when(
+        F.size(kept) > 1, F.array_distinct(kept)
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def has_article(name: Column) -> Column:
@@ -108,7 +111,7 @@ def display_name(name: Column, aliases: Column, curated: Column) -> Column:
     known = F.coalesce(aliases, F.array().cast("array<string>"))
     plain = F.filter(
         known,
-        lambda a: ~plain_hyphens(a).rlike(NOT_ASCII) & (a != "") & a.rlike(LATIN) & (name_key(a) == name_key(name)),
+        lambda a: ~plain_hyphens(a).rlike(NOT_ASCII) & a.rlike(LATIN) & (name_key(a) == name_key(name)),
     )
     best_plain = F.try_element_at(F.array_sort(plain, _display_order), F.lit(1))
     first_latin = F.try_element_at(F.filter(known, lambda a: a.rlike(LATIN)), F.lit(1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from refrain.functions.text import SPACE, ascii_key, combined_lookup, js_trim, name_key, title_key, title_key_loose
+from refrain.functions.text import ascii_key, bind, combined_lookup, js_trim, loosened, name_key, title_key
 
 
 def within(a: Column, b: Column, limit: int) -> Column:
@@ -110,33 +110,31 @@ def _few_edits(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= F.greatest(F.lit(2), F.floor(_shorter(a, b) * 0.25))
 
 
-def title_names_work(
-    recording: Column, work: Column, strip: Callable[[Column], Column], strip_excerpt: Callable[[Column], Column]
-) -> Column:
-    """Whether a linked work's title names the same song as the recording."""
-    bare = strip(recording)
-    a = title_key(strip_excerpt(F.when(bare == "", recording).otherwise(bare)))
-    b = title_key(work)
-    return (
-        F.when(js_trim(work).rlike(r"(?:\.\.\.|…)\z"), False)
-        .when((a == "") | (b == ""), False)
-        .when(a == b, True)
-        .when(_contained(a, b), _long_enough(a, b))
-        .otherwise(_few_edits(a, b))
+def title_names_work(bare_recording: Column, work: Column) -> Column:
+    """Whether a linked work's title names the same song as the (bracket-stripped) recording."""
+    cut = js_trim(work).rlike(r"(?:\.\.\.|…)\z")
+    return bind(
+        F.struct(title_key(bare_recording).alias("a"), title_key(work).alias("b"), cut.alias("cut")),
+        lambda k: F.when(k["cut"] | (k["a"] == "") | (k["b"] == ""), False)
+        .when(k["a"] == k["b"], True)
+        .when(_contained(k["a"], k["b"]), _long_enough(k["a"], k["b"]))
+        .otherwise(_few_edits(k["a"], k["b"])),
     )
 
 
 def titles_corroborate(left: Column, right: Column) -> Column:
     """Two titles another catalogue may give the same song."""
-    a, b = title_key(left), title_key(right)
-    loose_a, loose_b = title_key_loose(left), title_key_loose(right)
-    return (
-        F.when((a == "") | (b == ""), False)
-        .when(a == b, True)
-        .when(_contained(a, b), _long_enough(a, b))
-        .when(loose_a == loose_b, True)
-        .when(_contained(loose_a, loose_b), _shorter(loose_a, loose_b) >= 8)
-        .otherwise(_few_edits(loose_a, loose_b))
+    return bind(
+        F.struct(title_key(left).alias("a"), title_key(right).alias("b")),
+        lambda k: bind(
+            F.struct(k["a"].alias("a"), k["b"].alias("b"), loosened(k["a"]).alias("x"), loosened(k["b"]).alias("y")),
+            lambda m: F.when((m["a"] == "") | (m["b"] == ""), False)
+            .when(m["a"] == m["b"], True)
+            .when(_contained(m["a"], m["b"]), _long_enough(m["a"], m["b"]))
+            .when(m["x"] == m["y"], True)
+            .when(_contained(m["x"], m["y"]), _shorter(m["x"], m["y"]) >= 8)
+            .otherwise(_few_edits(m["x"], m["y"])),
+        ),
     )
 
 

@@ -1,13 +1,15 @@
 """Match keys and slugs: text folded to comparable keys with built-in functions only.
 
 Unicode decomposition is not a Spark function, so the one-to-one part becomes a ``translate``
-table generated from Python's ``unicodedata`` and the few one-to-many letters a literal map.
-Both sit behind an ASCII test, which is what nearly every row takes.
+table generated from Python's ``unicodedata`` and the few one-to-many letters plain replacements.
+Every function here uses its argument once, so keys compose without growing the plan and stay
+inside generated code.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -24,6 +26,8 @@ DECOMPOSED_BLOCKS = [
     (0x00A0, 0x052F), (0x1E00, 0x1FFF), (0x2000, 0x214F), (0x2460, 0x24FF), (0x3041, 0x30FF), (0xFB00, 0xFB06),
     (0xFF01, 0xFF5E),
 ]
+# Blocks whose one-to-many letters and digits are spelled out too.
+SPELLED_BLOCKS = [(0x00A0, 0x024F), (0xFB00, 0xFB06)]
 
 
 def pattern(template: str) -> str:
@@ -49,13 +53,18 @@ def decomposition() -> tuple[str, str, dict[str, str]]:
                 continue
             if len(base) == 1:
                 single[letter] = base
-            elif base:
-                several[letter] = base
-            else:
+            elif not base:
                 gone.append(letter)
+            elif unicodedata.category(letter)[0] in "LN" and any(x <= code <= y for x, y in SPELLED_BLOCKS):
+                several[letter] = base
     return "".join(single) + "".join(gone), "".join(single.values()), several
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once; keeps deeply composed expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"\\A{SPACE}+|{SPACE}+\\z", "")
 
@@ -68,23 +77,21 @@ def squeeze(c: Column) -> Column:
 def unmarked(c: Column) -> Column:
     """Compatibility decomposition with combining marks dropped."""
     letters, bases, several = decomposition()
-    pairs = F.create_map(*[F.lit(x) for item in several.items() for x in item])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), "")
-    expanded = F.when(c.rlike("[" + "".join(several) + "]"), spelled).otherwise(c)
-    folded = F.regexp_replace(F.translate(expanded, letters, bases), r"\p{M}+", "")
-    return F.when(c.rlike(NOT_ASCII), folded).otherwise(c)
+    for letter, spelled in several.items():
+        c = F.replace(c, F.lit(letter), F.lit(spelled))
+    return F.regexp_replace(F.translate(c, letters, bases), r"\p{M}+", "")
 
 
 def combined_lookup(*parts: Column) -> Column:
     """The linkage key: letters, digits and underscores of the joined parts, lower-cased and folded."""
     joined = F.concat(*parts) if len(parts) > 1 else parts[0]
-    lowered = F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", ""))
+    folded = F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", ""))
     ones = {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) == 1}
-    folded = F.translate(lowered, "".join(ones), "".join(ones.values()))
+    folded = F.translate(folded, "".join(ones), "".join(ones.values()))
     for letter, spelled in fixed.FOLDED_LETTERS.items():
         if len(spelled) > 1:
             folded = F.replace(folded, F.lit(letter), F.lit(spelled))
-    return F.when(lowered.rlike(NOT_ASCII), unmarked(folded)).otherwise(lowered)
+    return unmarked(folded)
 
 
 def title_key(c: Column) -> Column:
@@ -92,8 +99,13 @@ def title_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(unmarked(c)), "[^a-z0-9]+", "")
 
 
+def loosened(key: Column) -> Column:
+    """A title key with ``you`` as ``u`` and no trailing ``anymore``."""
+    return F.regexp_replace(F.replace(key, F.lit("you"), F.lit("u")), r"anymore\z", "")
+
+
 def title_key_loose(c: Column) -> Column:
-    return F.regexp_replace(F.replace(title_key(c), F.lit("you"), F.lit("u")), r"anymore\z", "")
+    return loosened(title_key(c))
 
 
 def name_key(c: Column) -> Column:
@@ -111,4 +123,4 @@ def slugify(c: Column) -> Column:
     plain = F.translate(plain, "ø$", "os")
     plain = F.replace(F.replace(plain, F.lit("æ"), F.lit("ae")), F.lit("&"), F.lit(" and "))
     dashed = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "-"), r"\A-+|-+\z", "")
-    return F.when(dashed == "", F.lit("artist")).otherwise(dashed)
+    return F.regexp_replace(dashed, r"\A\z", "artist")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
 from refrain.functions.similarity import title_names_work, titles_corroborate
-from refrain.functions.text import SPACE, any_word, combined_lookup, js_trim, pattern, squeeze, title_key
+from refrain.functions.text import SPACE, any_word, bind, combined_lookup, js_trim, pattern, squeeze, title_key
 
 TRAILING = pattern(fixed.TRAILING_BRACKET)
 MASTER = any_word(fixed.MASTER_MARKERS)
@@ -72,20 +72,23 @@ def is_subtitle(note: Column) -> Column:
 
 def source_annotation(recording: Column) -> Column:
     """The show or film named by a trailing ``(from ...)`` note, else null."""
-    note = trailing_bracket(recording)
-    named = F.regexp_replace(note, pattern(r"(?i)\A{S}*from{S}+"), "")
-    named = F.regexp_replace(
-        named, pattern(r"(?i){S}*(?:original{S}+)?(?:motion{S}+picture{S}+)?soundtrack{S}*\z"), ""
-    )
-    named = js_trim(F.regexp_replace(named, pattern(QUOTED_EDGE), ""))
-    return F.when(note.rlike(any_word(["from"])) & (named != ""), named)
+    def shown(note: Column) -> Column:
+        named = F.regexp_replace(note, pattern(r"(?i)\A{S}*from{S}+"), "")
+        named = F.regexp_replace(
+            named, pattern(r"(?i){S}*(?:original{S}+)?(?:motion{S}+picture{S}+)?soundtrack{S}*\z"), ""
+        )
+        return js_trim(F.regexp_replace(named, pattern(QUOTED_EDGE), ""))
+
+    return bind(trailing_bracket(recording), lambda note: F.when(
+        note.rlike(any_word(["from"])), F.nullif(shown(note), F.lit(""))
+    ))
 
 
 def strip_excerpt(title: Column) -> Column:
     """Drop a ``/ Excerpt From '...'`` tail; never leaves nothing."""
     cleaned = F.regexp_replace(title, pattern("(?i){S}*/{S}*" + EXCERPT_NAME), "")
     cleaned = squeeze(F.regexp_replace(cleaned, pattern("(?i){B}" + EXCERPT_NAME), ""))
-    return F.when(cleaned == "", title).otherwise(cleaned)
+    return bind(cleaned, lambda c: F.when(c == "", title).otherwise(c))
 
 
 def _titled(title: Column, source: Column | None = None) -> Column:
@@ -95,47 +98,59 @@ def _titled(title: Column, source: Column | None = None) -> Column:
 
 def title_from_recording(recording: Column) -> Column:
     """struct(title, from) with master notes and excerpt tails dropped."""
-    note = trailing_bracket(recording)
-    bare = strip_annotation(recording)
-    kept = F.when(bare == "", recording).otherwise(bare)
-    return (
+    def kept() -> Column:
+        return bind(strip_annotation(recording), lambda bare: F.when(bare == "", recording).otherwise(bare))
+
+    return bind(trailing_bracket(recording), lambda note: (
         F.when(~is_master(note), _titled(strip_excerpt(recording)))
         .when(is_language_version(note), _titled(strip_excerpt(with_language_capitalised(recording, note))))
-        .otherwise(_titled(strip_excerpt(kept), source_annotation(recording)))
-    )
+        .otherwise(_titled(strip_excerpt(kept()), source_annotation(recording)))
+    ))
 
 
 def medley_head(recording: Column) -> Column:
     """First half of an ``A / B`` title, null when the title is not one."""
-    head = js_trim(F.split(recording, f"{SPACE}/{SPACE}", 2)[0])
-    return F.when((head != "") & (head != recording), head)
+    return bind(
+        js_trim(F.split(recording, f"{SPACE}/{SPACE}", 2)[0]),
+        lambda head: F.when((head != "") & (head != recording), head),
+    )
 
 
 def published_title(recording: Column, work: Column, how: Column) -> Column:
     """struct(title, from, source): the work's title where it is the same song, else the recording's."""
-    by_version = F.coalesce(how == "version", F.lit(False))
-    bare = strip_excerpt(strip_annotation(recording))
-    head = strip_excerpt(strip_annotation(medley_head(recording)))
-    own = (
-        F.when(by_version & F.coalesce(head != "", F.lit(False)), _titled(head))
-        .when(
-            by_version & trailing_bracket(recording).isNotNull() & (bare != ""),
-            _titled(bare, source_annotation(recording)),
-        )
-        .otherwise(title_from_recording(recording))
-    )
-    same_key = title_key(own["title"]) == title_key(work)
-    takes_work = F.coalesce(
-        title_names_work(recording, work, strip_annotation, strip_excerpt)
-        & (same_key | (~by_version & ~titles_corroborate(own["title"], work))),
-        F.lit(False),
-    )
-    return F.struct(
-        F.when(takes_work, work).otherwise(own["title"]).alias("title"),
-        own["from"].alias("from"),
-        F.when(takes_work, F.lit("work")).otherwise(F.lit("recording")).alias("source"),
+    facts = F.struct(
+        recording.alias("recording"), work.alias("work"), F.coalesce(how == "version", F.lit(False)).alias("version"),
+        strip_annotation(recording).alias("bare"), strip_annotation(medley_head(recording)).alias("head"),
     )
 
+    def own_title(k: Column) -> Column:
+        head, bare = strip_excerpt(k["head"]), strip_excerpt(k["bare"])
+        return (
+            F.when(k["version"] & F.coalesce(k["head"] != "", F.lit(False)), _titled(head))
+            .when(
+                k["version"] & k["recording"].rlike(TRAILING) & (k["bare"] != ""),
+                _titled(bare, source_annotation(k["recording"])),
+            )
+            .otherwise(title_from_recording(k["recording"]))
+        )
+
+    def chosen(k: Column, own: Column) -> Column:
+        whole = F.when(k["bare"] == "", k["recording"]).otherwise(k["bare"])
+        takes_work = F.coalesce(
+            title_names_work(strip_excerpt(whole), k["work"])
+            & (
+                (title_key(own["title"]) == title_key(k["work"]))
+                | (~k["version"] & ~titles_corroborate(own["title"], k["work"]))
+            ),
+            F.lit(False),
+        )
+        return bind(takes_work, lambda w: F.struct(
+            F.when(w, k["work"]).otherwise(own["title"]).alias("title"), own["from"].alias("from"),
+            F.when(w, F.lit("work")).otherwise(F.lit("recording")).alias("source"),
+        ))
+
+    return bind(facts, lambda k: bind(own_title(k), lambda own: chosen(k, own)))
+
 
 def is_live_release(release: Column) -> Column:
     """Concerts, bootlegs and releases named after a venue."""

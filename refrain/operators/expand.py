@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
 from refrain.functions.names import ARTICLE, has_article, strip_artist_annotation
-from refrain.functions.text import any_word, combined_lookup, pattern
+from refrain.functions.text import any_word, bind, combined_lookup, pattern
 from refrain.functions.titles import (
     VERSION_WORD, asks_for_language_version, is_language_version, note_language, strip_annotation, trailing_bracket,
     with_language_capitalised,
@@ -37,15 +37,15 @@ def _rewritten(forms: Column, when, value, rewrite: str) -> Column:
     )
 
 
-def _spelled_out(forms: Column) -> Column:
-    return F.concat(
+def _spelled_out(unspelled: Column) -> Column:
+    return bind(unspelled, lambda forms: F.concat(
         forms,
         _rewritten(
             forms, lambda v: F.contains(v, F.lit("&")), lambda v: F.replace(v, F.lit("&"), F.lit(" and ")),
             "ampersand-spelled-out",
         ),
         _rewritten(forms, lambda v: v.rlike(AND), lambda v: F.regexp_replace(v, AND, " & "), "ampersand-spelled-out"),
-    )
+    ))
 
 
 def artist_forms(artist: Column) -> Column:
@@ -56,28 +56,25 @@ def artist_forms(artist: Column) -> Column:
                 F.when((bare != artist) & (bare != ""), _form(bare, "annotation-stripped"))),
         lambda f: f.isNotNull(),
     )
-    articled = F.concat(base, _rewritten(
-        base, lambda v: ~has_article(v), lambda v: F.concat(F.lit("The "), v), "artist-article-added"
-    ))
-    return _spelled_out(articled)
+    return _spelled_out(bind(base, lambda forms: F.concat(forms, _rewritten(
+        forms, lambda v: ~has_article(v), lambda v: F.concat(F.lit("The "), v), "artist-article-added"
+    ))))
 
 
 def title_forms(title: Column) -> Column:
     """array<struct(value, rewrites)> over brackets, articles, contractions, & and and."""
-    note = trailing_bracket(title)
-    bare = strip_annotation(title)
-    by_language = is_language_version(note)
-    normal = with_language_capitalised(title, note)
-    named = F.concat(bare, F.lit(" ("), note_language(note), F.lit(" version)"))
-    base = F.filter(
-        F.array(
-            F.when(title.isNotNull(), _form(title)),
-            F.when(by_language & (normal != title), _form(normal)),
-            F.when(by_language & ~note.rlike(VERSION_WORD), _form(named)),
-            F.when(~by_language & (bare != title) & (bare != ""), _form(bare, "annotation-stripped")),
-        ),
-        lambda f: f.isNotNull(),
-    )
+    def base(note: Column, bare: Column, normal: Column) -> Column:
+        by_language = is_language_version(note)
+        named = F.concat(bare, F.lit(" ("), note_language(note), F.lit(" version)"))
+        return F.filter(
+            F.array(
+                F.when(title.isNotNull(), _form(title)),
+                F.when(by_language & (normal != title), _form(normal)),
+                F.when(by_language & ~note.rlike(VERSION_WORD), _form(named)),
+                F.when(~by_language & (bare != title) & (bare != ""), _form(bare, "annotation-stripped")),
+            ),
+            lambda f: f.isNotNull(),
+        )
 
     def other_articles(f: Column) -> Column:
         def noted(value: Column, rewrite: str) -> Column:
@@ -90,15 +87,22 @@ def title_forms(title: Column) -> Column:
             noted(F.concat(F.lit(f"{word} "), f["value"]), "title-article-added") for word in ("The", "A", "An")
         ]))
 
-    articled = F.concat(base, F.flatten(F.transform(base, other_articles)))
-    contracted = F.concat(
-        articled,
-        _rewritten(articled, lambda v: v.rlike(LYING), lambda v: F.regexp_replace(v, LYING, "lyin'"),
-                   "title-contraction"),
-        _rewritten(articled, lambda v: v.rlike(LYIN), lambda v: F.regexp_replace(v, LYIN, "lying"),
-                   "title-contraction"),
-    )
-    return _spelled_out(contracted)
+    def contracted(forms: Column) -> Column:
+        return F.concat(
+            forms,
+            _rewritten(forms, lambda v: v.rlike(LYING), lambda v: F.regexp_replace(v, LYING, "lyin'"),
+                       "title-contraction"),
+            _rewritten(forms, lambda v: v.rlike(LYIN), lambda v: F.regexp_replace(v, LYIN, "lying"),
+                       "title-contraction"),
+        )
+
+    notes = F.struct(trailing_bracket(title).alias("note"), strip_annotation(title).alias("bare"))
+    bases = bind(notes, lambda k: bind(
+        F.when(is_language_version(k["note"]), with_language_capitalised(title, k["note"])),
+        lambda normal: base(k["note"], k["bare"], normal),
+    ))
+    articled = bind(bases, lambda forms: F.concat(forms, F.flatten(F.transform(forms, other_articles))))
+    return _spelled_out(bind(articled, contracted))
 
 
 def keys_for(artist: Column, title: Column) -> Column:
@@ -113,20 +117,20 @@ def keys_for(artist: Column, title: Column) -> Column:
             combined_lookup(f["value"]).alias("key"), f["rewrites"].alias("rewrites"), i.alias("at")
         ))
 
-    pairs = F.flatten(F.transform(
-        folded(artist_forms(artist)),
-        lambda a: F.transform(folded(title_forms(title)), lambda t: F.struct(
+    def pair(a: Column, t: Column) -> Column:
+        return F.struct(
             F.concat(a["key"], t["key"]).alias("key"),
             (F.size(a["rewrites"]) + F.size(t["rewrites"])).alias("rank"),
             (a["at"] * 1000 + t["at"]).alias("seq"),
             F.concat(a["rewrites"], t["rewrites"]).alias("rewrites"),
-        )),
+        )
+
+    pairs = bind(folded(title_forms(title)), lambda titles: F.flatten(F.transform(
+        folded(artist_forms(artist)), lambda a: F.transform(titles, lambda t: pair(a, t))
+    )))
+    return bind(F.array_sort(pairs), lambda ordered: F.filter(
+        ordered, lambda p, i: (p["key"] != "") & ((i == 0) | (F.get(ordered, i - 1)["key"] != p["key"]))
     ))
-    ordered = F.array_sort(pairs)
-    return F.filter(
-        ordered,
-        lambda p, i: (p["key"] != "") & ((i == 0) | (F.try_element_at(ordered, i)["key"] != p["key"])),
-    )
 
 
 def _keys_of(df: DataFrame, artist: str, title: str, carried: list[str]) -> DataFrame:

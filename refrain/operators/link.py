@@ -104,17 +104,20 @@ def prefix_asks(keys: DataFrame, dump: DataFrame) -> DataFrame:
     credit, recording = F.col("credit"), F.col("recording")
     stripped = combined_lookup(credit, strip_annotation(recording))
     medley = combined_lookup(credit, strip_annotation(medley_head(recording)))
+    probed = dump.withColumn("version", F.array(stripped, medley)).withColumn(
+        "shortest", F.greatest(F.lit(1), F.length(combined_lookup(credit, recording)) - 2)
+    )
     size = F.length("key")
-    shortest = F.greatest(F.lit(1), F.length(combined_lookup(credit, recording)) - 2)
-    heads = F.when(shortest < size, F.transform(F.sequence(shortest, size - 1), lambda n: F.substring(F.col("key"), F.lit(1), n)))
-    version = F.array(stripped, medley)
-    probes = F.concat(version, F.coalesce(heads, F.array().cast("array<string>")))
-    probed = dump.withColumn("version", version).withColumn("asked", F.explode(F.array_distinct(F.filter(
+    heads = F.when(F.col("shortest") < size, F.transform(
+        F.sequence(F.col("shortest"), size - 1), lambda n: F.substring(F.col("key"), F.lit(1), n)
+    ))
+    probes = F.concat("version", F.coalesce(heads, F.array().cast("array<string>")))
+    probed = probed.withColumn("asked", F.explode(F.array_distinct(F.filter(
         probes,
         lambda p: p.isNotNull() & (p != "") & (p != F.col("key")) & F.startswith(F.col("key"), p),
     )))).withColumn(
         "how", F.when(F.array_contains("version", F.col("asked")), HOW["version"]).otherwise(HOW["spelling"])
-    ).drop("version")
+    ).drop("version", "shortest")
     known = keys.select("key").distinct()
     hits = probed.join(known.withColumnRenamed("key", "asked"), "asked", "left_semi")
     longer = hits.select("key", "asked").distinct().withColumn("n", F.explode(
@@ -229,11 +232,8 @@ def _by_title_and_id(dump: DataFrame) -> DataFrame:
 
 def _scoped(asks: DataFrame, allow: DataFrame, rows: DataFrame, number: int) -> DataFrame:
     """The join is on title key and artist id together, so a common title does not pile up."""
-    on = (
-        (asks["recording_key"] == rows["recording_key"]) & (asks["artist_id"] == rows["artist_id"])
-        & (~asks["via_lead"] | rows["first"])
-    )
-    joined = asks.join(rows, on).drop(rows["recording_key"], rows["artist_id"]).join(allow, "post_id")
+    joined = asks.join(rows, ["recording_key", "artist_id"]).filter(~F.col("via_lead") | F.col("first"))
+    joined = joined.join(allow, "post_id")
     how = F.when(F.col("via_lead"), HOW["lead-scoped"]).otherwise(HOW["artist-scoped"])
     return _candidates(_graded(joined.withColumn("how", how)), number)
 
@@ -426,7 +426,7 @@ def link_near(
     ))).join(heads, ["artist_key", "head"])
     rests = by_artist.withColumn(
         "rest", F.substring(F.col("key"), F.length("head") + 1, F.length("key"))
-    ).filter(F.col("rest") != "").dropDuplicates(["artist_key", "rest", "row_no"])
+    ).filter(F.col("rest") != "")
     if classes:
         rests = digest(rests, ["artist_key", "rest"])
     pairs = reach.withColumn("block", F.explode(near_blocks(F.col("title_key")))).join(

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
 from refrain.functions.text import name_key
+from refrain.session import cut_lineage
 
 # One candidate: how it was asked for, how it was found and which row it is.
 ENTRY = [
@@ -39,7 +40,7 @@ def how_name(index: Column) -> Column:
 
 def best_by_total_order(candidates: DataFrame) -> DataFrame:
     """Lowest (not clean, how, rank, quality, row_no) per post; a hash-partitioned minimum."""
-    payload = F.struct(*[c for c in candidates.columns if c != "post_id"])
+    payload = F.struct(*[c for c in candidates.columns if c not in ("post_id", "seen")])
     order = F.struct(
         (F.col("live") | F.col("variant")).cast("int"), "how", "rank", "quality", "row_no", F.col("proposed").cast("int")
     )
@@ -50,7 +51,7 @@ def best_by_total_order(candidates: DataFrame) -> DataFrame:
 
 def best_first(candidates: DataFrame) -> DataFrame:
     """The earliest dump row per post, for passes that stop at their first hit."""
-    payload = F.struct(*[c for c in candidates.columns if c != "post_id"])
+    payload = F.struct(*[c for c in candidates.columns if c not in ("post_id", "seen")])
     return (
         candidates.groupBy("post_id").agg(F.min_by(payload, F.struct("row_no", "how")).alias("m"))
         .select("post_id", "m.*")
@@ -58,20 +59,26 @@ def best_first(candidates: DataFrame) -> DataFrame:
 
 
 def with_credit_flags(candidates: DataFrame) -> DataFrame:
-    """Whether a row's credit names the catalogue's artist or the proposed one (first 12 key letters)."""
-    credit, venue, put = (name_key(F.col(c)) for c in ("credit", "venue_artist", "proposal_artist"))
+    """Whether each credit names the catalogue's artist or the proposed one (first 12 key letters).
 
-    def named(key: Column, inside: Column) -> Column:
-        return F.coalesce(F.contains(inside, F.substring(key, 1, 12)), F.lit(False))
+    Both artists come from the song's proposal and are compared with every candidate of the song.
+    """
+    named = candidates.filter("proposed").groupBy("post_id").agg(
+        F.max("venue_artist").alias("song_artist"), F.max("proposal_artist").alias("put_artist")
+    )
+    credit, venue, put = (name_key(F.col(c)) for c in ("credit", "song_artist", "put_artist"))
+
+    def holds(outer: Column, inner: Column) -> Column:
+        return F.coalesce(F.contains(outer, F.substring(inner, 1, 12)), F.lit(False))
 
-    return candidates.withColumns({
-        "names_venue": named(venue, credit) & (venue != ""),
-        "names_proposed": named(put, credit),
-        "inside_proposed": named(credit, put),
-        "attributed": F.coalesce(
-            (venue != "") & (put != "") & (venue != put) & F.col("proposal_artist").isNotNull(), F.lit(False)
-        ),
-    })
+    has_artist = F.col("proposal_artist").isNotNull() & F.col("venue_artist").isNotNull()
+    return candidates.join(named, "post_id", "left").withColumns({
+        "names_venue": holds(credit, venue) & F.coalesce(venue != "", F.lit(False)),
+        "names_proposed": holds(credit, put),
+        "inside_proposed": holds(put, credit),
+        "attributes": has_artist,
+        "attributed": has_artist & F.coalesce((venue != "") & (put != "") & (venue != put), F.lit(False)),
+    }).drop("song_artist", "put_artist")
 
 
 def accepts(e: Column, n: Column) -> Column:
@@ -103,48 +110,43 @@ STEP = [
 ]
 
 
-def _prepared(candidates: DataFrame) -> DataFrame:
-    """Candidates with the song's own artists on every entry, as the credit flags need them."""
-    return with_credit_flags(candidates).withColumns({
-        "attributes": F.col("proposal_artist").isNotNull() & F.col("venue_artist").isNotNull(),
-        "attributed": F.col("attributed") & F.col("proposed"),
-    })
-
-
 def settled_by_class(classes: DataFrame) -> DataFrame:
     """Posts whose fold has one possible outcome, with that outcome.
 
     ``classes`` holds, per post and (rank, how, live, variant), the first row of lowest quality.
-    A clean class that has both the lowest rank and the best how of all clean candidates
-    accepts over anything held, if no variant sits more than one rank below it; once held, only
-    a better quality at the same rank could displace it. If no such row exists the fold must
-    end on the class's own best row, whatever the order.
+    Within one class only a lower quality displaces, so a post with a single class is settled.
+    Otherwise a clean class that has both the lowest rank and the best how of all clean
+    candidates accepts over anything held, if no variant sits more than one rank below it; once
+    held, only a better quality at the same rank could displace it. If no such row exists the
+    fold must end on the class's own best row, whatever the order.
     """
     clean = ~F.col("live") & ~F.col("variant")
-    best = F.struct("quality", "row_no")
     bounds = classes.groupBy("post_id").agg(
         F.min(F.when(clean, F.col("rank"))).alias("low_rank"),
         F.min(F.when(clean, F.col("how"))).alias("low_how"),
         F.min(F.when(F.col("variant") & ~F.col("live"), F.col("rank"))).alias("variant_rank"),
-        F.max(F.col("proposed")).alias("has_proposal"),
+        F.max("proposed").alias("has_proposal"),
         F.min(F.when(clean, F.struct("rank", "quality"))).alias("rank_quality"),
+        F.count(F.lit(1)).alias("classes"), F.sum("seen").alias("all_seen"),
         F.min_by(
-            F.struct(*[c for c in classes.columns if c != "post_id"]),
-            F.when(clean, F.struct("rank", "how", *[F.col(f"{c}") for c in ("quality", "row_no")])),
+            F.struct(*[c for c in classes.columns if c not in ("post_id", "seen")]),
+            F.struct((~clean).cast("int"), "rank", "how", "quality", "row_no"),
         ).alias("m"),
     )
-    return bounds.filter(
-        ~F.col("has_proposal")
-        & F.col("low_rank").isNotNull()
+    unbeaten = (
+        F.col("low_rank").isNotNull()
         & (F.col("m.rank") == F.col("low_rank")) & (F.col("m.how") == F.col("low_how"))
         & (F.col("low_rank") <= F.coalesce(F.col("variant_rank") + 1, F.col("low_rank")))
         & (F.col("rank_quality.quality") >= F.col("m.quality"))
+    )
+    return bounds.filter(
+        (F.col("all_seen") == 1) | (~F.col("has_proposal") & ((F.col("classes") == 1) | F.coalesce(unbeaten, F.lit(False))))
     ).select("post_id", "m.*")
 
 
 def replay(candidates: DataFrame) -> DataFrame:
     """Row-by-row fold per post, in (pass, row_no, proposed) order, as one native aggregate."""
-    rows = _prepared(candidates)
+    rows = with_credit_flags(candidates)
     payload = [c for c in candidates.columns if c != "post_id"]
     step = F.struct(
         F.struct("pass", "row_no", F.col("proposed").cast("int").alias("p")).alias("seq"),
@@ -242,7 +244,7 @@ EFFECT = [
 
 def replay_long(candidates: DataFrame, stretch_rows: int = RANGE_ROWS) -> DataFrame:
     """``replay`` for songs with very many candidates: row ranges in parallel, then chained."""
-    rows = _prepared(candidates).select(
+    rows = with_credit_flags(candidates).select(
         F.col("post_id").cast("long").alias("post_id"), F.col("pass").cast("int").alias("pass"), "row_no",
         F.floor(F.col("row_no") / stretch_rows).alias("stretch"),
         F.concat_ws(",", *[F.col(c).cast("int").cast("string") for c in STEP[:-1]]).alias("kind"),
@@ -267,17 +269,19 @@ def best_by_fold(
     ``classes`` is the per-class digest with ``seen`` rows behind each entry; ``rows_of`` returns
     the full candidates of the posts it is given and is only evaluated for unsettled ones.
     """
+    classes = cut_lineage(classes)
     settled = settled_by_class(classes)
-    open_posts = classes.groupBy("post_id").agg(F.sum("seen").alias("seen")).join(
+    unsettled = cut_lineage(classes.groupBy("post_id").agg(F.sum("seen").alias("seen")).join(
         settled.select("post_id"), "post_id", "left_anti"
-    )
-    short = rows_of(open_posts.filter(F.col("seen") <= replay_limit).select("post_id"))
-    long = rows_of(open_posts.filter(F.col("seen") > replay_limit).select("post_id"))
-    columns = short.columns
-    return reduce(
-        DataFrame.unionByName,
-        [settled.select(*columns), replay(short).select(*columns), replay_long(long, stretch_rows).select(*columns)],
-    )
+    ))
+    found = [settled]
+    for chosen, refold in (
+        (unsettled.filter(F.col("seen") <= replay_limit), replay),
+        (unsettled.filter(F.col("seen") > replay_limit), lambda rows: replay_long(rows, stretch_rows)),
+    ):
+        if not chosen.isEmpty():
+            found.append(refold(rows_of(chosen.select("post_id"))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def best_match(
