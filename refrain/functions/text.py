@@ -30,6 +30,11 @@ DECOMPOSED_BLOCKS = [
 SPELLED_BLOCKS = [(0x00A0, 0x024F), (0xFB00, 0xFB06)]
 
 
+@lru_cache(maxsize=256)
+def text_literal(value: str) -> Column:
+    return F.lit(value)
+
+
 def pattern(template: str) -> str:
     """Fill the boundary and white-space marks of a fixed pattern."""
     return template.replace("{S}", SPACE).replace("{B}", BOUNDARY)
@@ -77,21 +82,30 @@ def squeeze(c: Column) -> Column:
 def unmarked(c: Column) -> Column:
     """Compatibility decomposition with combining marks dropped."""
     letters, bases, several = decomposition()
-    for letter, spelled in several.items():
-        c = F.replace(c, F.lit(letter), F.lit(spelled))
+    c = _replaced(c, several)
     return F.regexp_replace(F.translate(c, letters, bases), r"\p{M}+", "")
 
 
+def _replaced(c: Column, table: dict[str, str]) -> Column:
+    for letter, spelled in table.items():
+        c = F.replace(c, text_literal(letter), text_literal(spelled))
+    return c
+
+
+def _unmarked_lower(c: Column) -> Column:
+    """``unmarked`` of lower-cased text: capital digraphs cannot occur, so fewer replacements."""
+    letters, bases, several = decomposition()
+    lowered = {letter: spelled for letter, spelled in several.items() if letter == letter.lower()}
+    return F.regexp_replace(F.translate(_replaced(c, lowered), letters, bases), r"\p{M}+", "")
+
+
 def combined_lookup(*parts: Column) -> Column:
     """The linkage key: letters, digits and underscores of the joined parts, lower-cased and folded."""
     joined = F.concat(*parts) if len(parts) > 1 else parts[0]
     folded = F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", ""))
     ones = {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) == 1}
     folded = F.translate(folded, "".join(ones), "".join(ones.values()))
-    for letter, spelled in fixed.FOLDED_LETTERS.items():
-        if len(spelled) > 1:
-            folded = F.replace(folded, F.lit(letter), F.lit(spelled))
-    return unmarked(folded)
+    return _unmarked_lower(_replaced(folded, {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) > 1}))
 
 
 def title_key(c: Column) -> Column:
@@ -109,7 +123,7 @@ def title_key_loose(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    return F.regexp_replace(unmarked(F.lower(c)), "[^a-z0-9]+", "")
+    return F.regexp_replace(_unmarked_lower(F.lower(c)), "[^a-z0-9]+", "")
 
 
 def ascii_key(c: Column) -> Column:

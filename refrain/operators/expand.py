@@ -144,26 +144,34 @@ def wanted_keys(catalog: DataFrame, proposals: DataFrame | None = None) -> DataF
     """(post_id, key, rank, rewrites, proposed, ...) for the catalogue's strings and for proposals.
 
     ``catalog`` has post_id, artist, song; ``proposals`` has post_id and nullable artist, title,
-    from, language, why. Proposal entries carry rank 99 so that they never win a plain tie.
+    from, language, why. Proposal entries carry rank 99 so that they never win a plain tie. Every
+    entry says whether its song asks for a language version.
     """
-    own = _keys_of(catalog, "artist", "song", []).withColumn("proposed", F.lit(False))
-    own = own.select("*", *[F.lit(None).cast(t).alias(n) for n, t in PROPOSAL_FIELDS.items()])
+    asks = asks_for_language_version(F.col("song"))
     if proposals is None:
-        return own
-    asked = catalog.select("post_id", "artist", "song").join(
-        proposals.select(
-            "post_id", F.col("artist").alias("proposal_artist"), F.col("title").alias("proposal_title"), "from",
-            "language", "why",
-        ),
-        "post_id",
-    ).select(
-        "post_id", F.coalesce("proposal_artist", "artist").alias("as_artist"),
-        F.coalesce("proposal_title", "song").alias("as_title"), "why", "from", "language", "proposal_artist",
-        F.col("artist").alias("venue_artist"),
+        own = _keys_of(catalog.withColumn("allow_language", asks), "artist", "song", ["allow_language"])
+        return _plain_entries(own)
+    put = proposals.select(
+        "post_id", F.col("artist").alias("proposal_artist"), F.col("title").alias("proposal_title"), "from", "language",
+        "why", F.lit(True).alias("has_proposal"),
+    )
+    full = catalog.select("post_id", "artist", "song").join(put, "post_id", "left").withColumn(
+        "allow_language", asks | asks_for_language_version(F.col("proposal_title"))
+    )
+    own = _keys_of(full, "artist", "song", ["allow_language"])
+    asked = full.filter("has_proposal").withColumns({
+        "as_artist": F.coalesce("proposal_artist", "artist"), "as_title": F.coalesce("proposal_title", "song"),
+        "venue_artist": F.col("artist"),
+    })
+    entries = _keys_of(asked, "as_artist", "as_title", ["allow_language", *PROPOSAL_FIELDS])
+    return _plain_entries(own).unionByName(
+        entries.withColumn("rank", F.lit(fixed.PROPOSED_RANK)).withColumn("proposed", F.lit(True))
     )
-    put = _keys_of(asked, "as_artist", "as_title", list(PROPOSAL_FIELDS))
-    return own.unionByName(
-        put.withColumn("rank", F.lit(fixed.PROPOSED_RANK)).withColumn("proposed", F.lit(True))
+
+
+def _plain_entries(own: DataFrame) -> DataFrame:
+    return own.withColumn("proposed", F.lit(False)).select(
+        "*", *[F.lit(None).cast(t).alias(n) for n, t in PROPOSAL_FIELDS.items()]
     )
 
 

@@ -133,32 +133,32 @@ def exact_asks(keys: DataFrame, dump: DataFrame) -> DataFrame:
     return dump.join(known, "key", "left_semi").withColumn("asked", F.col("key")).withColumn("how", F.lit(HOW["exact"]))
 
 
-def _answered(wanted: DataFrame, allow: DataFrame, asked: DataFrame) -> DataFrame:
-    entries = wanted.join(allow, "post_id").withColumnRenamed("key", "asked")
+def _answered(wanted: DataFrame, asked: DataFrame) -> DataFrame:
+    entries = wanted.withColumnRenamed("key", "asked")
     return _shaped(_graded(entries.join(asked, "asked").withColumn("pass", F.lit(1))))
 
 
-def link_exact(wanted: DataFrame, allow: DataFrame, dump: DataFrame, classes: bool = True) -> DataFrame:
+def link_exact(wanted: DataFrame, dump: DataFrame, classes: bool = True) -> DataFrame:
     """Candidates whose combined key is wanted as it stands."""
     asked = exact_asks(wanted, dump)
-    return _answered(wanted, allow, digest(asked, ["asked", "how"]) if classes else asked)
+    return _answered(wanted, digest(asked, ["asked", "how"]) if classes else asked)
 
 
-def link_prefix(wanted: DataFrame, allow: DataFrame, dump: DataFrame, classes: bool = True) -> DataFrame:
+def link_prefix(wanted: DataFrame, dump: DataFrame, classes: bool = True) -> DataFrame:
     """Candidates reached through the longest wanted head of their key."""
     asked = prefix_asks(wanted, dump)
-    return _answered(wanted, allow, digest(asked, ["asked", "how"]) if classes else asked)
+    return _answered(wanted, digest(asked, ["asked", "how"]) if classes else asked)
 
 
-def link_keys(wanted: DataFrame, allow: DataFrame, dump: DataFrame, mode: str = "fold") -> DataFrame:
+def link_keys(wanted: DataFrame, dump: DataFrame, mode: str = "fold") -> DataFrame:
     """Pass 1: the best row per song over exact and prefix candidates."""
     asked = exact_asks(wanted, dump).unionByName(prefix_asks(wanted, dump))
-    classes = _answered(wanted, allow, digest(asked, ["asked", "how"]))
+    classes = _answered(wanted, digest(asked, ["asked", "how"]))
 
     def rows_of(posts: DataFrame) -> DataFrame:
         entries = wanted.join(posts, "post_id", "left_semi")
         known = entries.select(F.col("key").alias("asked")).distinct()
-        return _answered(entries, allow, asked.join(known, "asked", "left_semi"))
+        return _answered(entries, asked.join(known, "asked", "left_semi"))
 
     return best_match(classes, rows_of, mode)
 

@@ -50,8 +50,8 @@ def match_songs(
     songs: DataFrame, dump: DataFrame, proposals: DataFrame | None = None, mode: str = "fold"
 ) -> DataFrame:
     """The held candidate per song after all passes; ``dump`` comes from ``link.prepare_dump``."""
-    wanted, allow = wanted_keys(songs, proposals), allowed_language(songs, proposals)
-    best = cut_lineage(link.link_keys(wanted, allow, dump, mode))
+    wanted, allow = cut_lineage(wanted_keys(songs, proposals)), allowed_language(songs, proposals)
+    best = cut_lineage(link.link_keys(wanted, dump, mode))
 
     ids = cut_lineage(link.learn_ids(songs, best))
     poor = link.unmatched_or_poor(songs, best)
@@ -111,6 +111,6 @@ def match_catalog(
 ) -> DataFrame:
     """The whole offline match: post-level match rows from raw inputs."""
     songs, put, members = questions(catalog, proposals)
-    best = match_songs(songs, link.prepare_dump(dump), put if proposals is not None else None, mode)
+    best = match_songs(songs, cut_lineage(link.prepare_dump(dump)), put if proposals is not None else None, mode)
     held = members.join(best.withColumnRenamed("post_id", "ask_id"), "ask_id").drop("ask_id")
     return finished(catalog, held, proposals, works)

@@ -234,7 +234,7 @@ class Inputs:
         self.allow = allowed_language(self.songs)
 
     def best(self) -> DataFrame:
-        return cut_lineage(link.link_keys(self.wanted, self.allow, self.dump, "total_order"))
+        return cut_lineage(link.link_keys(self.wanted, self.dump, "total_order"))
 
 
 def _winners(best: DataFrame) -> DataFrame:
@@ -252,14 +252,14 @@ def key_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: dirty catalogue to dump by expanded keys, best row per song."""
-    songs = standins.catalog(spark, sf_dir)
-    found = link.link_exact(wanted_keys(songs), allowed_language(songs), link.prepare_dump(standins.dump(spark, sf_dir)))
+    wanted = cut_lineage(wanted_keys(standins.catalog(spark, sf_dir)))
+    found = link.link_exact(wanted, link.prepare_dump(standins.dump(spark, sf_dir)))
     return _winners(best_match(found, mode="total_order"))
 
 
 def link_prefix_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    songs = standins.catalog(spark, sf_dir)
-    found = link.link_prefix(wanted_keys(songs), allowed_language(songs), link.prepare_dump(standins.dump(spark, sf_dir)))
+    wanted = cut_lineage(wanted_keys(standins.catalog(spark, sf_dir)))
+    found = link.link_prefix(wanted, link.prepare_dump(standins.dump(spark, sf_dir)))
     return _winners(best_match(found, mode="total_order"))
 
 
@@ -269,7 +269,7 @@ def link_best_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_best_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return link.link_keys(i.wanted, i.allow, i.dump, "fold").select(
+    return link.link_keys(i.wanted, i.dump, "fold").select(
         "post_id", "row_no", "rank", how_name(F.col("how")).alias("how")
     )
 
