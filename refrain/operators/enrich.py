@@ -135,11 +135,11 @@ def pick_work(relations: Column) -> Column:
     def linked(relation: Column) -> Column:
         work = relation["work"]
         languages = F.filter(F.coalesce(work["languages"], F.array().cast(NO_STRINGS)), lambda c: c != "")
-        return F.struct(
+        return F.when(relation.isNotNull(), F.struct(
             work["id"].alias("work_id"), F.nullif(js_trim(work["title"]), F.lit("")).alias("title"),
             F.nullif(F.coalesce(work["language"], F.get(languages, F.lit(0))), F.lit("")).alias("language"),
             F.when(F.size(languages) > 1, languages).alias("languages"),
-        )
+        ))
 
     return bind(F.coalesce(F.get(plain, F.lit(0)), F.get(works, F.lit(0))), linked)
 
