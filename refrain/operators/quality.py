@@ -94,16 +94,16 @@ def proposals_review(proposals: DataFrame, matches: DataFrame) -> DataFrame:
 # --- second opinions -----------------------------------------------------------------------
 
 
-def _asked(published: DataFrame) -> DataFrame:
-    """Queries per song, in order: exact fields by artist then title spelling, then free text by the lead."""
+def _asked(questions: DataFrame) -> DataFrame:
+    """Queries per (artist, title), in order: exact fields by artist then spelling, then free text by the lead."""
     artists = F.array_distinct(F.filter(F.array(F.col("artist"), lead_name(F.col("artist"))), lambda a: a != ""))
-    fielded = published.select("post_id", "artist", "title", F.posexplode(artists).alias("a", "query_artist")).select(
-        "*", F.posexplode(title_variants(F.col("title"))).alias("t", "query_title")
-    ).select("post_id", "artist", "title", "query_artist", "query_title", (F.col("a") * 100 + F.col("t")).alias("turn"))
-    free = published.select("post_id", "artist", "title", F.posexplode(title_variants(F.col("title"))).alias("t", "query_title"))
-    return fielded.withColumn("free", F.lit(False)).unionByName(free.select(
-        "post_id", "artist", "title", lead_name(F.col("artist")).alias("query_artist"), "query_title",
-        (F.col("t") + 10_000).alias("turn"), F.lit(True).alias("free"),
+    spelled = questions.select("artist", "title", F.posexplode(title_variants(F.col("title"))).alias("t", "query_title"))
+    fielded = spelled.select("*", F.posexplode(artists).alias("a", "query_artist")).select(
+        "artist", "title", "query_artist", "query_title", F.lit(False).alias("free"), (F.col("a") * 100 + F.col("t")).alias("turn")
+    )
+    return fielded.unionByName(spelled.select(
+        "artist", "title", lead_name(F.col("artist")).alias("query_artist"), "query_title", F.lit(True).alias("free"),
+        (F.col("t") + 10_000).alias("turn"),
     ))
 
 
@@ -112,23 +112,24 @@ def corroborate(published: DataFrame, hits: DataFrame) -> DataFrame:
 
     ``hits``: query_artist, query_title, free, hit_rank, artist, title, album. Karaoke rows never
     count. The first hit agreeing on artist and title wins; else the first hit of any kind is
-    reported as a miss.
+    reported as a miss. Songs sharing both strings ask once, and equal hits of a query count once.
     """
-    asked = _asked(published.filter(F.trim("artist") != ""))
+    questions = published.filter(F.trim("artist") != "").select("artist", "title").distinct()
     usable = hits.filter(
         F.col("artist").isNotNull() & F.col("title").isNotNull()
         & ~is_karaoke_junk(F.col("artist"), F.col("title"), F.col("album"))
-    ).select("query_artist", "query_title", "free", "hit_rank", F.col("artist").alias("hit_artist"),
-             F.col("title").alias("hit_title"))
-    graded = asked.join(usable, ["query_artist", "query_title", "free"]).withColumn("agrees", (
+    ).groupBy(
+        "query_artist", "query_title", "free", F.col("artist").alias("hit_artist"), F.col("title").alias("hit_title")
+    ).agg(F.min("hit_rank").alias("hit_rank"))
+    graded = _asked(questions).join(usable, ["query_artist", "query_title", "free"]).withColumn("agrees", (
         (names_agree(F.col("hit_artist"), F.col("artist")) | names_agree(F.col("hit_artist"), F.col("query_artist")))
         & titles_corroborate(F.col("hit_title"), F.col("title"))
     ))
-    best = graded.groupBy("post_id").agg(F.min_by(
-        F.struct("agrees", "hit_artist", "hit_title"), F.struct(~F.col("agrees"), "turn", "hit_rank")
+    best = graded.groupBy("artist", "title").agg(F.min_by(
+        F.struct("agrees", "hit_artist", "hit_title"), F.struct(~F.col("agrees"), "turn", "hit_rank", "hit_artist", "hit_title")
     ).alias("b"))
     blank = F.trim(F.col("artist")) == ""
-    return published.join(best, "post_id", "left").select(
+    return published.join(best, ["artist", "title"], "left").select(
         "post_id", "artist", "title", (blank | F.coalesce("b.agrees", F.lit(False))).alias("ok"),
         F.col("b.hit_artist").alias("hit_artist"), F.col("b.hit_title").alias("hit_title"),
         F.when(blank, "no artist").when(F.col("b").isNull(), "no hits")
