@@ -88,10 +88,13 @@ def paged_by(df: DataFrame, group: list[str], order: list[Column], size: int = f
     ).drop("overall", "start")
 
 
-def window_depth(pages: DataFrame, until: Column, size: int = fixed.PAGE_ROWS) -> DataFrame:
-    """How many rows a list must show to reach the wanted row: its place, at least one page."""
+def window_depth(pages: DataFrame, wanted_place: Column, size: int = fixed.PAGE_ROWS) -> DataFrame:
+    """How many rows a list must show to reach the wanted row: its place, at least one page.
+
+    ``wanted_place`` is an aggregate over the placed rows, e.g. the place of one number.
+    """
     return pages.agg(F.least(
-        F.greatest(F.lit(size), F.coalesce(F.min(F.when(until, F.col("place"))), F.lit(0))), F.count(F.lit(1))
+        F.greatest(F.lit(size), F.coalesce(wanted_place, F.lit(0))), F.count(F.lit(1))
     ).alias("rows"))
 
 
@@ -225,12 +228,11 @@ def letter_runs(artists: DataFrame) -> DataFrame:
     starts = placed.join(before, "place", "left").filter(
         F.col("previous").isNull() | (F.col("previous") != F.col("letter"))
     ).select("place", "letter")
-    last = placed.agg((F.count(F.lit(1)) + 1).alias("end"))
+    end = placed.agg((F.count(F.lit(1)) + 1).alias("place")).withColumn("letter", F.lit(None).cast("string"))
     order = Window.orderBy("place")
-    return starts.join(F.broadcast(last)).select(
-        F.row_number().over(order).alias("run"), "letter",
-        (F.coalesce(F.lead("place").over(order), F.col("end")) - F.col("place")).alias("artists"),
-    )
+    return starts.unionByName(end).select(
+        F.row_number().over(order).alias("run"), "letter", (F.lead("place").over(order) - F.col("place")).alias("artists")
+    ).filter(F.col("letter").isNotNull())
 
 
 def letter_page(artists: DataFrame, letter: str) -> DataFrame:

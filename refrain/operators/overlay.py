@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions.text import slugify
 from refrain.operators.enrich import top_k
+from refrain.session import cut_lineage
 
 CREDIT = "array<struct<artist_id:string,name:string>>"
 
@@ -124,9 +125,9 @@ def assign_slugs(artists: DataFrame, names: DataFrame) -> DataFrame:
     contested slug and a join back, never a window over one name's artists. Whatever still
     clashes across names gets eight characters of its id.
     """
-    curated = artists.join(names.filter(F.coalesce(F.col("slug"), F.lit("")) != "").select(
+    curated = cut_lineage(artists.join(names.filter(F.coalesce(F.col("slug"), F.lit("")) != "").select(
         "artist_id", slugify(F.col("slug")).alias("slug")
-    ), "artist_id").select("artist_id", "slug")
+    ), "artist_id").select("artist_id", "slug"))
     taken = curated.select("slug").distinct()
     rest = artists.filter(F.col("name").isNotNull()).join(curated, "artist_id", "left_anti").withColumns({
         "base": slugify(F.col("name")), "short": F.substring("artist_id", 1, 8),
@@ -136,6 +137,7 @@ def assign_slugs(artists: DataFrame, names: DataFrame) -> DataFrame:
         taken.select(F.col("slug").alias("base"), F.lit(True).alias("base_taken")), "base", "left"
     )
     free = (F.col("sharing") == 1) & F.col("base_taken").isNull()
+    rest = cut_lineage(rest)
     plain = rest.filter(free).select("artist_id", "seq", "short", F.col("base").alias("slug"))
     contested = rest.filter(~free).withColumns({
         "by_type": F.concat_ws("-", "base", slugify(F.col("type"))),
@@ -150,14 +152,14 @@ def assign_slugs(artists: DataFrame, names: DataFrame) -> DataFrame:
     last = left.join(noted.select("artist_id"), "artist_id", "left_anti").select(
         "artist_id", "seq", "short", F.concat_ws("-", "base", "short").alias("slug")
     )
-    wished = plain.unionByName(typed).unionByName(noted).unionByName(last)
+    wished = cut_lineage(plain.unionByName(typed).unionByName(noted).unionByName(last))
     firsts = wished.groupBy("slug").agg(F.min_by("artist_id", "seq").alias("holder")).join(
         taken.withColumn("reserved", F.lit(True)), "slug", "left"
     )
     final = wished.join(firsts, "slug").select("artist_id", F.when(
         (F.col("holder") == F.col("artist_id")) & F.col("reserved").isNull(), F.col("slug")
     ).otherwise(F.concat_ws("-", "slug", "short")).alias("slug"))
-    return curated.unionByName(final)
+    return cut_lineage(curated.unionByName(final))
 
 
 def _claimed(wishes: DataFrame, wish: str, taken: DataFrame) -> DataFrame:

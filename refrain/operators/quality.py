@@ -303,12 +303,13 @@ def verdict_assertions(checks: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def score_verdicts(checks: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: passed, checked, failed, observed, and verdicts nobody expected."""
-    scores = verdict_assertions(checks, verdicts).agg(
-        F.count_if("passed").alias("passed"), F.count("passed").alias("checked"),
-        F.count_if(~F.col("passed")).alias("failed"), F.count_if(F.col("passed").isNull()).alias("observed"),
+    extra = verdicts.join(checks.select("artist"), "artist", "left_anti").select(F.lit("unexpected").alias("assertion"))
+    rows = verdict_assertions(checks, verdicts).select("assertion", "passed").unionByName(extra, allowMissingColumns=True)
+    return rows.agg(
+        F.count_if("passed").alias("passed"), F.count("passed").alias("checked"), F.count_if(~F.col("passed")).alias("failed"),
+        F.count_if(F.col("assertion") == "observed").alias("observed"),
+        F.count_if(F.col("assertion") == "unexpected").alias("unexpected"),
     )
-    extra = verdicts.join(checks.select("artist"), "artist", "left_anti").agg(F.count(F.lit(1)).alias("unexpected"))
-    return scores.join(extra)
 
 
 def same_entity_checks(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

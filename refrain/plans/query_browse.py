@@ -106,10 +106,7 @@ def window_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to show to reach each half of the list's last number."""
     merged = browse.merge_variants(standins.songs(spark, sf_dir))
     pages = browse.paged(merged, browse.sort_columns("az"))
-    top = merged.agg(F.max("id").alias("top"))
-    return browse.window_depth(pages.join(F.broadcast(top)), F.col("id") == F.col("top")).select(
-        F.col("rows").cast("long").alias("rows")
-    )
+    return browse.window_depth(pages, F.max_by("place", "id")).select(F.col("rows").cast("long").alias("rows"))
 
 
 def _artists(spark: SparkSession, sf_dir: str) -> DataFrame:

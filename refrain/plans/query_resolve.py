@@ -223,7 +223,7 @@ def resume_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- overlay ------------------------------------------------------------------------------
 
 CORRECTION = {
-    "post_id": "p_partkey", "given": "p_size % 4 <> 0",
+    "post_id": "p_partkey", "given": "p_size > 12",
     "artist": "CASE WHEN p_size % 4 = 1 THEN 'Brand ' || substring(p_brand, 7) END",
     "sort_as": "CASE WHEN p_size % 8 = 1 THEN substring(p_brand, 7) END",
     "title": "CASE WHEN p_size % 4 = 2 THEN upper(p_name) END", "from": "CASE WHEN p_size % 5 = 1 THEN p_type END",

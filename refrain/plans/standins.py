@@ -55,7 +55,7 @@ PROPOSALS = ("part", {
     "title": "p_name",
     "from": "CASE WHEN p_size % 5 = 0 THEN p_type END",
     "language": "CASE WHEN p_size % 7 = 0 THEN 'eng' END",
-    "why": "CASE WHEN p_partkey % 8 = 5 THEN 'letters swapped' WHEN p_partkey % 8 = 6 THEN 'letter dropped' END",
+    "why": "CASE WHEN p_size BETWEEN 15 AND 20 THEN 'by ear' WHEN p_size BETWEEN 47 AND 50 THEN 'by the cover' END",
 })
 
 # Artists: suppliers with a nation, a type and a note; names repeat on purpose.

@@ -87,21 +87,20 @@ def extract_listing(pages: DataFrame, spec: ListingSpec) -> DataFrame:
 
 def listing_violations(rows: DataFrame, listings: DataFrame, required: list[str]) -> DataFrame:
     """(rule, violations): every integrity rule of a scrape; any count above zero is a failed scrape."""
-    fields = rows.agg(
-        F.count_if(F.col("post_id").isNull()).alias("no post id"),
-        F.count_if(~F.coalesce(F.col("id").rlike(r"\A[0-9]+\z"), F.lit(False))).alias("id not numeric"),
-        *[F.count_if(F.col(c).isNull()).alias(f"no {c}") for c in required],
-        F.count_distinct("post_id").alias("songs"),
-    )
-    shape = listings.agg(
-        F.count_if(F.coalesce(F.col("total_pages"), F.lit(0)) < 1).alias("no page count"),
-        F.count_if(F.coalesce(F.col("per_page"), F.lit(0)) < 1).alias("no page size"),
-        F.max(F.col("total_pages") * F.col("per_page") - F.col("per_page")).alias("least"),
-    )
-    names = ["no post id", "id not numeric", *[f"no {c}" for c in required], "no page count", "no page size", "too few songs"]
-    return fields.join(shape).withColumn(
-        "too few songs", F.when(F.col("songs") < F.col("least"), 1).otherwise(0).cast("long")
-    ).unpivot([], [f"`{n}`" for n in names], "rule", "violations")
+    songs = rows.withColumn("id_ok", F.coalesce(F.col("id").rlike(r"\A[0-9]+\z"), F.lit(False))).withColumn("row", F.lit(1))
+    shape = listings.select("total_pages", "per_page", F.lit(1).alias("listing"))
+    row, listing = F.col("row").isNotNull(), F.col("listing").isNotNull()
+    rules = {
+        "no post id": F.count_if(row & F.col("post_id").isNull()), "id not numeric": F.count_if(row & ~F.col("id_ok")),
+        **{f"no {c}": F.count_if(row & F.col(c).isNull()) for c in required},
+        "no page count": F.count_if(listing & (F.coalesce("total_pages", F.lit(0)) < 1)),
+        "no page size": F.count_if(listing & (F.coalesce("per_page", F.lit(0)) < 1)),
+        "too few songs": F.when(
+            F.count_distinct("post_id") < F.max(F.col("total_pages") * F.col("per_page") - F.col("per_page")), 1
+        ).otherwise(0).cast("long"),
+    }
+    counted = songs.unionByName(shape, allowMissingColumns=True).agg(*[c.alias(n) for n, c in rules.items()])
+    return counted.unpivot([], [f"`{n}`" for n in rules], "rule", "violations")
 
 
 def unknown_entities(pages: DataFrame, column: str = "html") -> DataFrame:
