@@ -36,8 +36,7 @@ def artist_annotation_source(artist: Column) -> Column:
 
 def lead_artist(artist: Column) -> Column:
     """First name of a joint credit, null when the credit has one name."""
-    lead = js_trim(F.split(artist, JOIN, 2)[0])
-    return F.when((lead != "") & (lead != js_trim(artist)), lead)
+    return bind(js_trim(F.split(artist, JOIN, 2)[0]), lambda lead: F.when((lead != "") & (lead != js_trim(artist)), lead))
 
 
 def lead_name(artist: Column) -> Column:

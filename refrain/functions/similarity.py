@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from refrain.functions.text import ascii_key, bind, combined_lookup, js_trim, loosened, name_key, title_key
+from refrain.functions.text import ascii_key, bind, combined_lookup, combined_lookup_of, js_trim, loosened, name_key, title_key
 
 
 def within(a: Column, b: Column, limit: int) -> Column:
@@ -52,7 +52,7 @@ def credit_parts(artist: Column, credit: Column, lead: Callable[[Column], Column
     credit_lead = F.coalesce(lead(credit), js_trim(F.split(credit, ",", 2)[0]), credit)
     return {
         "own": combined_lookup(artist), "credit": combined_lookup(credit),
-        "lead": combined_lookup(lead(artist)), "credit_lead": combined_lookup(credit_lead),
+        "lead": combined_lookup_of(lead(artist)), "credit_lead": combined_lookup_of(credit_lead),
     }
 
 

@@ -2,8 +2,7 @@
 
 Unicode decomposition is not a Spark function, so the one-to-one part becomes a ``translate``
 table generated from Python's ``unicodedata`` and the few one-to-many letters plain replacements.
-Every function here uses its argument once, so keys compose without growing the plan and stay
-inside generated code.
+Text that is ASCII, which is nearly all of it, skips the folding altogether.
 """
 
 from __future__ import annotations
@@ -41,8 +40,8 @@ def pattern(template: str) -> str:
 
 
 def any_word(words: list[str]) -> str:
-    """A case-blind pattern for any of the words standing alone."""
-    return pattern("(?i){B}(?:" + "|".join(words) + "){B}")
+    """A case-blind pattern for any of the words standing alone; words begin with a word character."""
+    return pattern(r"(?i)(?<!\w)(?:" + "|".join(words) + "){B}")
 
 
 @lru_cache(maxsize=1)
@@ -79,11 +78,14 @@ def squeeze(c: Column) -> Column:
     return js_trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
-def unmarked(c: Column) -> Column:
-    """Compatibility decomposition with combining marks dropped."""
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _decomposed(c: Column, capitals: bool) -> Column:
     letters, bases, several = decomposition()
-    c = _replaced(c, several)
-    return F.regexp_replace(F.translate(c, letters, bases), r"\p{M}+", "")
+    spelled = {k: v for k, v in several.items() if capitals or k == k.lower()}
+    return F.regexp_replace(F.translate(_replaced(c, spelled), letters, bases), r"\p{M}+", "")
 
 
 def _replaced(c: Column, table: dict[str, str]) -> Column:
@@ -92,20 +94,29 @@ def _replaced(c: Column, table: dict[str, str]) -> Column:
     return c
 
 
-def _unmarked_lower(c: Column) -> Column:
-    """``unmarked`` of lower-cased text: capital digraphs cannot occur, so fewer replacements."""
-    letters, bases, several = decomposition()
-    lowered = {letter: spelled for letter, spelled in several.items() if letter == letter.lower()}
-    return F.regexp_replace(F.translate(_replaced(c, lowered), letters, bases), r"\p{M}+", "")
+def unmarked(c: Column) -> Column:
+    """Compatibility decomposition with combining marks dropped."""
+    return F.when(is_ascii(c), c).otherwise(_decomposed(c, capitals=True))
 
 
 def combined_lookup(*parts: Column) -> Column:
-    """The linkage key: letters, digits and underscores of the joined parts, lower-cased and folded."""
+    """The linkage key: letters, digits and underscores of the joined parts, lower-cased and folded.
+
+    Pure ASCII takes a short path. Parts should be plain columns; anything computed goes through
+    ``combined_lookup_of``, which evaluates it once.
+    """
     joined = F.concat(*parts) if len(parts) > 1 else parts[0]
     folded = F.lower(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", ""))
     ones = {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) == 1}
     folded = F.translate(folded, "".join(ones), "".join(ones.values()))
-    return _unmarked_lower(_replaced(folded, {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) > 1}))
+    folded = _replaced(folded, {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) > 1})
+    plain = F.lower(F.regexp_replace(joined, "[^A-Za-z0-9_]+", ""))
+    return F.when(is_ascii(joined), plain).otherwise(_decomposed(folded, capitals=False))
+
+
+def combined_lookup_of(*parts: Column) -> Column:
+    """``combined_lookup`` of computed text."""
+    return bind(F.concat(*parts) if len(parts) > 1 else parts[0], lambda text: combined_lookup(text))
 
 
 def title_key(c: Column) -> Column:
@@ -123,7 +134,9 @@ def title_key_loose(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    return F.regexp_replace(_unmarked_lower(F.lower(c)), "[^a-z0-9]+", "")
+    lowered = F.lower(c)
+    folded = F.when(is_ascii(c), lowered).otherwise(_decomposed(lowered, capitals=False))
+    return F.regexp_replace(folded, "[^a-z0-9]+", "")
 
 
 def ascii_key(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
 from refrain.functions.similarity import title_names_work, titles_corroborate
-from refrain.functions.text import SPACE, any_word, bind, combined_lookup, js_trim, pattern, squeeze, title_key
+from refrain.functions.text import SPACE, any_word, bind, combined_lookup, combined_lookup_of, js_trim, pattern, squeeze, title_key
 
 TRAILING = pattern(fixed.TRAILING_BRACKET)
 MASTER = any_word(fixed.MASTER_MARKERS)
@@ -185,7 +185,7 @@ def match_quality(score: Column, release: Column, recording: Column, allow_langu
         + F.when(is_live_release(release), fixed.LIVE_PENALTY).otherwise(0)
         + F.when(is_variant_recording(recording, allow_language), fixed.VARIANT_PENALTY).otherwise(0)
         - F.when(
-            combined_lookup(release) == combined_lookup(strip_annotation(recording)), fixed.TITLE_RELEASE_BONUS
+            combined_lookup(release) == combined_lookup_of(strip_annotation(recording)), fixed.TITLE_RELEASE_BONUS
         ).otherwise(0)
     )
 

@@ -148,6 +148,7 @@ def wanted_keys(catalog: DataFrame, proposals: DataFrame | None = None) -> DataF
     entry says whether its song asks for a language version.
     """
     asks = asks_for_language_version(F.col("song"))
+    catalog = _spread(catalog)
     if proposals is None:
         own = _keys_of(catalog.withColumn("allow_language", asks), "artist", "song", ["allow_language"])
         return _plain_entries(own)
@@ -169,6 +170,12 @@ def wanted_keys(catalog: DataFrame, proposals: DataFrame | None = None) -> DataF
     )
 
 
+def _spread(catalog: DataFrame) -> DataFrame:
+    """Narrow rows dealt out evenly before each becomes dozens: the work is per row, not per byte."""
+    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return catalog.select("post_id", "artist", "song").repartition(parts, "post_id")
+
+
 def _plain_entries(own: DataFrame) -> DataFrame:
     return own.withColumn("proposed", F.lit(False)).select(
         "*", *[F.lit(None).cast(t).alias(n) for n, t in PROPOSAL_FIELDS.items()]

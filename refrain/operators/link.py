@@ -17,7 +17,7 @@ from refrain.functions.names import artist_fragments, has_article, lead_artist
 from refrain.functions.similarity import (
     credit_parts, keys_accept_title, near_blocks, near_by, near_probes, nearly_same, tolerance,
 )
-from refrain.functions.text import combined_lookup
+from refrain.functions.text import combined_lookup, combined_lookup_of
 from refrain.functions.titles import (
     is_live_release, is_variant_recording, medley_head, strip_annotation, title_alternatives,
 )
@@ -36,9 +36,9 @@ def prepare_dump(dump: DataFrame) -> DataFrame:
     """
     key = F.col("key") if "key" in dump.columns else combined_lookup(F.col("credit"), F.col("recording"))
     recording, release = F.col("recording"), F.col("release")
-    graded = dump.select(
+    graded = dump.withColumn("bare", strip_annotation(recording)).select(
         *ROW, key.alias("key"), combined_lookup(recording).alias("recording_key"),
-        combined_lookup(strip_annotation(recording)).alias("bare_key"),
+        combined_lookup(F.col("bare")).alias("bare_key"),
         combined_lookup(F.col("credit")).alias("credit_key"), is_live_release(release).alias("live"),
         is_variant_recording(recording, F.lit(False)).alias("variant_plain"),
         is_variant_recording(recording, F.lit(True)).alias("variant_asked"),
@@ -102,8 +102,8 @@ def prefix_asks(keys: DataFrame, dump: DataFrame) -> DataFrame:
     hits is kept if no longer wanted key heads the row too.
     """
     credit, recording = F.col("credit"), F.col("recording")
-    stripped = combined_lookup(credit, strip_annotation(recording))
-    medley = combined_lookup(credit, strip_annotation(medley_head(recording)))
+    stripped = combined_lookup_of(credit, strip_annotation(recording))
+    medley = combined_lookup_of(credit, strip_annotation(medley_head(recording)))
     probed = dump.withColumn("version", F.array(stripped, medley)).withColumn(
         "shortest", F.greatest(F.lit(1), F.length(combined_lookup(credit, recording)) - 2)
     )
@@ -177,7 +177,7 @@ def learn_ids(catalog: DataFrame, best: DataFrame, again: bool = False) -> DataF
     The second round (``again``) learns the credits of title-first hits instead of credit parts.
     """
     known = trusted_songs(catalog, best)
-    lead = combined_lookup(lead_artist(F.col("artist")))
+    lead = combined_lookup_of(lead_artist(F.col("artist")))
     own = known.select(combined_lookup(F.col("artist")).alias("artist_key"), F.explode("artist_ids").alias("artist_id"))
     leads = known.select(lead.alias("artist_key"), F.get("artist_ids", F.lit(0)).alias("artist_id"))
     if again:
@@ -211,7 +211,7 @@ def _scoped_asks(songs: DataFrame, ids: DataFrame) -> DataFrame:
     """(post_id, recording_key, artist_id, via_lead): one row per title form and known id."""
     keyed = songs.select(
         "post_id", combined_lookup(F.col("artist")).alias("own_key"),
-        combined_lookup(lead_artist(F.col("artist"))).alias("lead_key"),
+        combined_lookup_of(lead_artist(F.col("artist"))).alias("lead_key"),
         F.array_distinct(F.transform(title_alternatives(F.col("song")), lambda t: combined_lookup(t))).alias("titles"),
     )
     own = keyed.join(ids.withColumnRenamed("artist_key", "own_key"), "own_key").withColumn("via_lead", F.lit(False))
@@ -275,7 +275,7 @@ def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFr
         "post_id", "song", F.posexplode(artist_fragments(F.col("artist"))).alias("part_no", "part")
     ).select(
         "post_id", "song", "part_no", combined_lookup(F.col("part")).alias("artist_key"),
-        F.when(~has_article(F.col("part")), combined_lookup(F.concat(F.lit("The "), F.col("part")))).alias("the_key"),
+        F.when(~has_article(F.col("part")), combined_lookup_of(F.concat(F.lit("The "), F.col("part")))).alias("the_key"),
     )
     own = parts.join(ids, "artist_key").select("post_id", "song", "part_no", "artist_id")
     known = ids.select("artist_key").distinct()
@@ -359,7 +359,7 @@ def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> Dat
         "credit_key": parts["credit"], "credit_lead": parts["credit_lead"]
     })
     asks = titles.select("asked", "artist").distinct().withColumns({
-        "own_key": combined_lookup(F.col("artist")), "lead_key": combined_lookup(lead_artist(F.col("artist"))),
+        "own_key": combined_lookup(F.col("artist")), "lead_key": combined_lookup_of(lead_artist(F.col("artist"))),
     })
     left = asks.withColumn("block", F.explode(F.array_distinct(_credit_blocks(F.col("own_key"), F.col("lead_key")))))
     right = credits.withColumn("block", F.explode(F.array_distinct(
@@ -384,7 +384,7 @@ def learn_credits(catalog: DataFrame, best: DataFrame) -> DataFrame:
     credit = combined_lookup(F.col("credit")).alias("credit_key")
     own = known.select(combined_lookup(F.col("artist")).alias("artist_key"), credit, F.col("artist_ids").alias("ids"))
     lead = known.select(
-        combined_lookup(lead_artist(F.col("artist"))).alias("artist_key"), credit,
+        combined_lookup_of(lead_artist(F.col("artist"))).alias("artist_key"), credit,
         F.array_compact(F.array(F.get("artist_ids", F.lit(0)))).alias("ids"),
     ).filter(F.col("artist_key").isNotNull() & (F.size("ids") > 0))
     return own.unionByName(lead)
@@ -393,9 +393,9 @@ def learn_credits(catalog: DataFrame, best: DataFrame) -> DataFrame:
 def reach_artists(songs: DataFrame, known: DataFrame) -> DataFrame:
     """(post_id, title_key, artist_key): known artists by own or lead key, else within tolerance."""
     wants = songs.select(
-        "post_id", combined_lookup(strip_annotation(F.col("song"))).alias("title_key"),
+        "post_id", combined_lookup_of(strip_annotation(F.col("song"))).alias("title_key"),
         F.explode(F.array_compact(F.array_distinct(F.array(
-            combined_lookup(F.col("artist")), combined_lookup(lead_artist(F.col("artist")))
+            combined_lookup(F.col("artist")), combined_lookup_of(lead_artist(F.col("artist")))
         )))).alias("wanted_key"),
     ).filter(F.length("title_key") >= 4)
     strings = wants.select("wanted_key").distinct()
