@@ -154,67 +154,44 @@ def is_loose_hit(asked: Column, got: Column) -> Column:
     return (a != b) & ~F.startswith(b, a)
 
 
-def swap_signature(key: Column) -> Column:
-    """Equal for any two strings that are permutations of each other."""
-    return F.array_join(F.array_sort(F.split(key, "")), "")
+# Most edits any allowed pair with a key of length n can have.
+_REACH = "CASE WHEN {n} >= 10 THEN 2 WHEN {n} >= 6 THEN 1 ELSE 0 END"
+_SWAPS = "concat(n, ':swap:', array_join(array_sort(split({key}, '')), ''))"
 
 
-def near_blocks(key: Column) -> Column:
-    """Blocking keys of the indexed side of a near join.
+def _piece(key: str, shift: str) -> str:
+    """Piece i of s.r + 1 equal pieces of a key of length s.m, read from ``key`` with a shift."""
+    start, end = "(s.m * i) div (s.r + 1)", "(s.m * (i + 1)) div (s.r + 1)"
+    return f"concat(s.m, ':', i, ':', substring({key}, CAST({start} + 1 + {shift} AS INT), CAST({end} - {start} AS INT)))"
+
+
+def _with_length(key: str, body: str) -> Column:
+    return F.get(F.expr(f"transform(array(length({key})), n -> {body})"), F.lit(0))
+
+
+def near_blocks(key: str) -> Column:
+    """Blocking keys of the indexed side of a near join, for a column name.
 
     A key reached with at most k edits keeps one of k + 1 pieces unedited. Pieces are tagged
     with the key's length and their index; keys short enough for swaps only carry their
-    letter signature.
+    sorted letters.
     """
-    size = F.length(key)
-    pieces = F.transform(
-        F.sequence(F.lit(0), _reach(size)),
-        lambda i: F.concat_ws(
-            ":", size.cast("string"), i.cast("string"),
-            F.substring(key, _piece_start(size, i) + 1, _piece_start(size, i + 1) - _piece_start(size, i)),
-        ),
-    )
-    swaps = F.concat_ws(":", size.cast("string"), F.lit("swap"), swap_signature(key))
-    return (
-        F.when(size < 6, F.array(swaps))
-        .when(size == 6, F.concat(pieces, F.array(swaps)))
-        .otherwise(pieces)
-    )
+    sized = f"array(named_struct('m', n, 'r', {_REACH.format(n='n')}))"
+    pieces = f"flatten(transform({sized}, s -> transform(sequence(0, s.r), i -> {_piece(key, '0')})))"
+    swaps = f"array({_SWAPS.format(key=key)})"
+    return _with_length(key, f"CASE WHEN n < 6 THEN {swaps} WHEN n = 6 THEN concat({pieces}, {swaps}) ELSE {pieces} END")
 
 
-def near_probes(key: Column) -> Column:
-    """Blocking keys of the probing side: every place an unedited piece can have moved to."""
-    size = F.length(key)
-
-    def at_length(other: Column) -> Column:
-        return F.flatten(F.transform(
-            F.sequence(F.lit(0), _reach(other)),
-            lambda i: F.transform(
-                F.sequence(-_reach(other), _reach(other)),
-                lambda shift: F.when(
-                    _piece_start(other, i) + shift >= 0,
-                    F.concat_ws(
-                        ":", other.cast("string"), i.cast("string"),
-                        F.substring(
-                            key, _piece_start(other, i) + shift + 1,
-                            _piece_start(other, i + 1) - _piece_start(other, i),
-                        ),
-                    ),
-                ),
-            ),
-        ))
-
-    longer = F.filter(F.sequence(size - 2, size + 2), lambda n: (n >= 6) & (F.abs(n - size) <= _reach(n)))
-    moved = F.flatten(F.transform(longer, at_length))
-    swaps = F.concat_ws(":", size.cast("string"), F.lit("swap"), swap_signature(key))
-    every = F.when(size <= 6, F.concat(moved, F.array(swaps))).otherwise(moved)
-    return F.array_distinct(F.filter(every, lambda p: p.isNotNull()))
-
-
-def _reach(size: Column) -> Column:
-    """Most edits any allowed pair with a key of this length can have."""
-    return F.when(size >= 10, 2).when(size >= 6, 1).otherwise(0)
-
-
-def _piece_start(size: Column, i: Column) -> Column:
-    return F.floor(size * i / (_reach(size) + 1)).cast("int")
+def near_probes(key: str) -> Column:
+    """Blocking keys of the probing side: every place an unedited piece can have moved to.
+
+    With r allowed edits and a length difference of n - m, the first unedited piece i lies at
+    most i places off from the left and at most r - i places off from the right.
+    """
+    sized = f"transform(filter(sequence(n - 2, n + 2), m -> m >= 6), m -> named_struct('m', m, 'r', {_REACH.format(n='m')}))"
+    lengths = f"filter({sized}, s -> abs(s.m - n) <= s.r)"
+    shifts = "sequence(greatest(-i, n - s.m - s.r + i), least(i, n - s.m + s.r - i))"
+    moved = f"flatten(transform(sequence(0, s.r), i -> transform({shifts}, d -> {_piece(key, 'd')})))"
+    every = f"flatten(transform({lengths}, s -> {moved}))"
+    swaps = f"CASE WHEN n <= 6 THEN array({_SWAPS.format(key=key)}) ELSE array() END"
+    return _with_length(key, f"array_distinct(concat({every}, {swaps}))")

@@ -22,7 +22,8 @@ from refrain.functions.titles import (
     is_live_release, is_variant_recording, medley_head, strip_annotation, title_alternatives,
 )
 from refrain.operators.expand import PROPOSAL_FIELDS
-from refrain.operators.select import ROW, best_match, how_index
+from refrain.operators.select import ROW, best_match
+from refrain.session import cut_lineage
 
 HOW = {name: index for index, name in enumerate(fixed.HOWS)}
 GRADED = ["live", "variant_plain", "variant_asked"]
@@ -306,36 +307,38 @@ def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFr
 # --- pass 3: an exact title whose credit is close enough ---------------------------------
 
 
-def _credit_blocks(own: Column, lead: Column) -> Column:
-    """Blocks a song's artist can meet a credit in; together they cover every accepted pair."""
-    def tagged(tag: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(tag), v))
+def _tagged(tag: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(tag), v))
 
-    lead_head = F.when(lead != "", F.array(F.concat(
-        F.lit("h"), F.least(F.length(lead), F.lit(5)).cast("string"), F.lit(":"), F.substring(lead, 1, 5)
-    )))
-    nothing = F.array().cast("array<string>")
-    return F.concat(
-        F.array(F.concat(F.lit("h5:"), F.substring(own, 1, 5)), F.concat(F.lit("="), own)),
-        F.coalesce(lead_head, nothing), tagged("n", near_probes(own)),
-        F.coalesce(F.when(lead != "", F.concat(
-            tagged("n", near_probes(lead)), tagged("l", near_probes(lead)), F.array(F.concat(F.lit("l="), lead))
-        )), nothing),
-    )
 
+def _credit_blocks() -> Column:
+    """Blocks (own_key, lead_key) can meet a credit in; together they cover every accepted pair."""
+    own, lead = F.col("own_key"), F.col("lead_key")
+    by_lead = F.concat(
+        F.array(
+            F.concat(F.lit("h"), F.least(F.length(lead), F.lit(5)).cast("string"), F.lit(":"), F.substring(lead, 1, 5)),
+            F.concat(F.lit("l="), lead),
+        ),
+        _tagged("n", near_probes("lead_key")), _tagged("l", near_probes("lead_key")),
+    )
+    return F.array_distinct(F.concat(
+        F.array(F.concat(F.lit("h5:"), F.substring(own, 1, 5)), F.concat(F.lit("="), own)),
+        _tagged("n", near_probes("own_key")),
+        F.when(F.coalesce(lead, F.lit("")) != "", by_lead).otherwise(F.array().cast("array<string>")),
+    ))
 
-def _artist_blocks(credit: Column, credit_lead: Column) -> Column:
-    def tagged(tag: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(tag), v))
 
+def _artist_blocks() -> Column:
+    """Blocks of a credit (credit_key, credit_lead)."""
+    credit = F.col("credit_key")
     heads = F.transform(
         F.sequence(F.lit(1), F.least(F.greatest(F.length(credit), F.lit(1)), F.lit(5))),
         lambda n: F.concat(F.lit("h"), n.cast("string"), F.lit(":"), F.substring(credit, F.lit(1), n)),
     )
-    return F.concat(
-        heads, F.array(F.concat(F.lit("="), credit), F.concat(F.lit("l="), credit_lead)),
-        tagged("n", near_blocks(credit)), tagged("l", near_blocks(credit_lead)),
-    )
+    return F.array_distinct(F.concat(
+        heads, F.array(F.concat(F.lit("="), credit), F.concat(F.lit("l="), F.col("credit_lead"))),
+        _tagged("n", near_blocks("credit_key")), _tagged("l", near_blocks("credit_lead")),
+    ))
 
 
 def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> DataFrame:
@@ -351,9 +354,9 @@ def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> Dat
     rows = dump.withColumn("asked", F.explode(F.array_distinct(F.array("recording_key", "bare_key")))).filter(
         F.endswith("key", "asked")
     ).join(known, "asked", "left_semi")
-    firsts = rows.groupBy("asked", "credit").agg(
+    firsts = cut_lineage(rows.groupBy("asked", "credit").agg(
         F.min_by(F.struct(*[c for c in ROW if c != "credit"], *GRADED, "base_quality"), "row_no").alias("m")
-    )
+    ))
     parts = credit_parts(F.lit(""), F.col("credit"), lead_artist)
     credits = firsts.select("asked", "credit").withColumns({
         "credit_key": parts["credit"], "credit_lead": parts["credit_lead"]
@@ -361,10 +364,8 @@ def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> Dat
     asks = titles.select("asked", "artist").distinct().withColumns({
         "own_key": combined_lookup(F.col("artist")), "lead_key": combined_lookup_of(lead_artist(F.col("artist"))),
     })
-    left = asks.withColumn("block", F.explode(F.array_distinct(_credit_blocks(F.col("own_key"), F.col("lead_key")))))
-    right = credits.withColumn("block", F.explode(F.array_distinct(
-        _artist_blocks(F.col("credit_key"), F.col("credit_lead"))
-    )))
+    left = asks.withColumn("block", F.explode(_credit_blocks()))
+    right = credits.withColumn("block", F.explode(_artist_blocks()))
     pairs = left.join(right, ["asked", "block"]).filter(keys_accept_title(
         F.col("own_key"), F.col("credit_key"), F.col("lead_key"), F.col("credit_lead"), F.col("asked")
     )).select("asked", "artist", "credit").distinct()
@@ -404,8 +405,8 @@ def reach_artists(songs: DataFrame, known: DataFrame) -> DataFrame:
     )
     slack = tolerance(F.col("wanted_key"))
     misspelled = strings.join(same.select("wanted_key"), "wanted_key", "left_anti").filter(slack > 0)
-    near = misspelled.withColumn("block", F.explode(near_probes(F.col("wanted_key")))).join(
-        known.select("artist_key", F.explode(near_blocks(F.col("artist_key"))).alias("block")), "block"
+    near = misspelled.withColumn("block", F.explode(near_probes("wanted_key"))).join(
+        known.select("artist_key", F.explode(near_blocks("artist_key")).alias("block")), "block"
     ).filter(near_by(F.col("artist_key"), F.col("wanted_key"), slack)).select("wanted_key", "artist_key").distinct()
     return wants.join(same.unionByName(near), "wanted_key").select("post_id", "title_key", "artist_key").distinct()
 
@@ -413,27 +414,38 @@ def reach_artists(songs: DataFrame, known: DataFrame) -> DataFrame:
 def link_near(
     songs: DataFrame, allow: DataFrame, dump: DataFrame, credits: DataFrame, classes: bool = True
 ) -> DataFrame:
-    """Candidates by a reachable artist whose title is a plausible misspelling."""
-    reach = reach_artists(songs, credits.select("artist_key").distinct())
-    needed = reach.select("artist_key").distinct()
-    spelled = credits.join(needed, "artist_key", "left_semi")
+    """Candidates by a reachable artist whose title is a plausible misspelling.
+
+    Strings meet strings first: distinct dump keys of the reachable ids are cut behind every
+    known credit, and what is left meets the wanted titles on (credit, block). Only the pairs
+    that pass fetch rows, once per credited id.
+    """
+    reach = cut_lineage(reach_artists(songs, credits.select("artist_key").distinct()))
+    spelled = credits.join(reach.select("artist_key").distinct(), "artist_key", "left_semi")
     heads = spelled.filter(F.col("credit_key") != "").select("artist_key", F.col("credit_key").alias("head")).distinct()
     members = spelled.select("artist_key", F.explode("ids").alias("artist_id")).distinct()
-    rows = dump.select("*", F.explode("artist_ids").alias("artist_id"))
-    by_artist = rows.join(members, "artist_id").withColumn("head", F.explode(F.transform(
+    by_id = dump.select("*", F.explode("artist_ids").alias("artist_id")).join(
+        members.select("artist_id").distinct(), "artist_id", "left_semi"
+    )
+    keys = by_id.select("key").distinct().withColumn("head", F.explode(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))),
         lambda n: F.substring(F.col("key"), F.lit(1), n),
-    ))).join(heads, ["artist_key", "head"])
-    rests = by_artist.withColumn(
+    ))).join(heads.select("head").distinct(), "head", "left_semi").withColumn(
         "rest", F.substring(F.col("key"), F.length("head") + 1, F.length("key"))
     ).filter(F.col("rest") != "")
+    titles = reach.select("title_key", "artist_key").distinct()
+    asked = titles.join(heads, "artist_key")
+    near = asked.select("head", "title_key").distinct().withColumn("block", F.explode(near_blocks("title_key"))).join(
+        keys.select("head", "rest").distinct().withColumn("block", F.explode(near_probes("rest"))), ["head", "block"]
+    ).filter(nearly_same(F.col("rest"), F.col("title_key"))).select(
+        "head", "title_key", F.concat("head", "rest").alias("key")
+    ).distinct()
+    pairs = cut_lineage(asked.join(near, ["head", "title_key"]).select("artist_key", "title_key", "key").distinct())
+    rows = by_id.join(pairs.select("key").distinct(), "key", "left_semi")
     if classes:
-        rests = digest(rests, ["artist_key", "rest"])
-    pairs = reach.withColumn("block", F.explode(near_blocks(F.col("title_key")))).join(
-        rests.select("artist_key", "rest").distinct().withColumn("block", F.explode(near_probes(F.col("rest")))),
-        ["artist_key", "block"],
-    ).filter(nearly_same(F.col("rest"), F.col("title_key"))).select("post_id", "artist_key", "rest").distinct()
-    joined = pairs.join(rests, ["artist_key", "rest"]).join(allow, "post_id").withColumn("how", F.lit(HOW["near"]))
+        rows = digest(rows, ["key", "artist_id"])
+    hits = pairs.join(members, "artist_key").join(rows, ["key", "artist_id"])
+    joined = reach.join(hits, ["artist_key", "title_key"]).join(allow, "post_id").withColumn("how", F.lit(HOW["near"]))
     found = _candidates(_graded(joined), 6)
     return found if classes else found.dropDuplicates(["post_id", "row_no"])
 
