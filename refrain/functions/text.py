@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +30,16 @@ DECOMPOSED_BLOCKS = [
 SPELLED_BLOCKS = [(0x00A0, 0x024F), (0xFB00, 0xFB06)]
 
 
-@lru_cache(maxsize=256)
-def text_literal(value: str) -> Column:
+@lru_cache(maxsize=512)
+def _literal(value: str, gateway: int) -> Column:
     return F.lit(value)
 
 
+def text_literal(value: str) -> Column:
+    """A string literal, built once per running JVM."""
+    return _literal(value, id(SparkContext._gateway))
+
+
 def pattern(template: str) -> str:
     """Fill the boundary and white-space marks of a fixed pattern."""
     return template.replace("{S}", SPACE).replace("{B}", BOUNDARY)

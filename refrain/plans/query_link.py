@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,14 +227,21 @@ WINNER = f"post_id, row_no, rank, {HOW_NAMES}[how + 1] AS how, rewrites, credit,
 
 
 class Inputs:
-    """The linkage inputs over one folder; the prepared dump and the keys are materialised once."""
+    """The linkage inputs over one folder; the prepared dump and the keys are materialised on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.songs = standins.catalog(spark, sf_dir)
-        self.dump = cut_lineage(link.prepare_dump(standins.dump(spark, sf_dir)))
-        self.wanted = cut_lineage(wanted_keys(self.songs))
+        self.raw = standins.dump(spark, sf_dir)
         self.allow = allowed_language(self.songs)
 
+    @cached_property
+    def dump(self) -> DataFrame:
+        return cut_lineage(link.prepare_dump(self.raw))
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        return cut_lineage(wanted_keys(self.songs))
+
     def best(self) -> DataFrame:
         return cut_lineage(link.link_keys(self.wanted, self.dump, "total_order"))
 
