@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +12,44 @@ def fold_favourites(events: DataFrame) -> DataFrame:
 
     A toggle takes the whole row out if any of its numbers is held, else puts all in. Where a
     user's numbers always come in the same row, order cannot matter and the row is held after an
-    odd count of toggles; that is a plain combined count. Users whose rows overlap partly are
-    folded over their linked numbers in (ts, event_id) order.
+    odd count of toggles; that is a plain combined count. Rows that overlap partly are folded in
+    (ts, event_id) order, one group per set of linked numbers, not per user.
     """
-    rows = events.withColumn("row", F.array_sort(F.array_distinct("ids"))).filter(F.size("row") > 0)
+    rows = events.withColumn("row", F.array_sort(F.array_distinct(F.col("ids").cast("array<bigint>")))).filter(F.size("row") > 0)
     counts = rows.groupBy("user_id", "row").agg(F.count(F.lit(1)).alias("n"))
     shared = counts.select("user_id", F.explode("row").alias("id")).groupBy("user_id", "id").agg(
         F.count(F.lit(1)).alias("rows")
     ).filter("rows > 1").select("user_id").distinct()
     steady = counts.join(shared, "user_id", "left_anti").filter(F.col("n") % 2 == 1)
+    linked = counts.join(shared, "user_id", "left_semi").select("user_id", "row").groupBy("user_id").applyInPandas(
+        _linked_rows, "user_id long, row array<bigint>, link long"
+    )
     held = F.aggregate(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "row"))), F.array().cast("array<bigint>"),
         lambda kept, e: F.when(F.arrays_overlap(kept, e["row"]), F.array_except(kept, e["row"]))
         .otherwise(F.concat(kept, e["row"])),
     )
-    mixed = rows.withColumn("row", F.col("row").cast("array<bigint>")).join(shared, "user_id", "left_semi") \
-        .groupBy("user_id").agg(held.alias("row"))
-    return steady.select("user_id", F.explode(F.col("row").cast("array<bigint>")).alias("id")).unionByName(
+    mixed = rows.join(linked, ["user_id", "row"]).groupBy("user_id", "link").agg(held.alias("row"))
+    return steady.select("user_id", F.explode("row").alias("id")).unionByName(
         mixed.select("user_id", F.explode("row").alias("id"))
     )
 
 
+def _linked_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    """Label one user's distinct rows so that rows sharing a number, even by way of others, agree."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for row in frame["row"]:
+        for number in row[1:]:
+            parent[root(number)] = root(row[0])
+    return frame.assign(link=[root(row[0]) for row in frame["row"]])
+
+
 def is_favourite(ids: Column, favourites: Column) -> Column:
     """Whether any of a row's numbers is held."""
     return F.coalesce(F.arrays_overlap(ids, favourites), F.lit(False))

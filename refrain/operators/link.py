@@ -27,6 +27,7 @@ from refrain.session import cut_lineage
 
 HOW = {name: index for index, name in enumerate(fixed.HOWS)}
 GRADED = ["live", "variant_plain", "variant_asked"]
+FEW_IDS = 64
 
 
 def prepare_dump(dump: DataFrame) -> DataFrame:
@@ -208,47 +209,64 @@ def unmatched_or_poor(catalog: DataFrame, best: DataFrame) -> DataFrame:
 # --- passes 2 and 3b: the artist is known, the title alone places the song ---------------
 
 
+def _title_keys() -> Column:
+    return F.array_distinct(F.transform(title_alternatives(F.col("song")), lambda title: combined_lookup(title)))
+
+
+def known_pairs(asks: DataFrame, rows: DataFrame, ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """``asks`` (artist_key, recording_key, ...) with the rows of that title by an id the string names.
+
+    A string that names few ids meets rows on (title, id), so common titles do not pile up. One
+    that names very many would multiply its songs by its ids; its songs, one per title, meet the
+    distinct rows of their title instead and the id is looked up afterwards.
+    """
+    crowded = cut_lineage(ids.groupBy("artist_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("artist_key"))
+    if crowded.isEmpty():
+        return asks.join(ids, "artist_key").join(rows, ["recording_key", "artist_id"])
+    asks, rows = cut_lineage(asks), cut_lineage(rows)
+    small, large = ids.join(crowded, "artist_key", "left_anti"), ids.join(crowded, "artist_key", "left_semi")
+    by_id = asks.join(small, "artist_key").join(rows, ["recording_key", "artist_id"])
+    by_title = asks.join(crowded, "artist_key", "left_semi").join(rows, "recording_key").join(
+        large, ["artist_key", "artist_id"], "left_semi"
+    )
+    return by_id.unionByName(by_title)
+
+
 def _scoped_asks(songs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(post_id, recording_key, artist_id, via_lead): one row per title form and known id."""
+    """(post_id, artist_key, recording_key, via_lead): each title form under the own string if known, else the lead."""
     keyed = songs.select(
         "post_id", combined_lookup(F.col("artist")).alias("own_key"),
-        combined_lookup_of(lead_artist(F.col("artist"))).alias("lead_key"),
-        F.array_distinct(F.transform(title_alternatives(F.col("song")), lambda t: combined_lookup(t))).alias("titles"),
-    )
-    own = keyed.join(ids.withColumnRenamed("artist_key", "own_key"), "own_key").withColumn("via_lead", F.lit(False))
+        combined_lookup_of(lead_artist(F.col("artist"))).alias("lead_key"), F.explode(_title_keys()).alias("recording_key"),
+    ).filter(F.col("recording_key") != "")
     known = ids.select(F.col("artist_key").alias("own_key")).distinct()
-    lead = keyed.join(known, "own_key", "left_anti").join(
-        ids.withColumnRenamed("artist_key", "lead_key"), "lead_key"
-    ).withColumn("via_lead", F.lit(True))
+    own = keyed.join(known, "own_key", "left_semi").withColumn("via_lead", F.lit(False))
+    lead = keyed.join(known, "own_key", "left_anti").filter(F.col("lead_key").isNotNull()).withColumn("via_lead", F.lit(True))
     return own.unionByName(lead).select(
-        "post_id", "artist_id", "via_lead", F.explode("titles").alias("recording_key")
-    ).filter(F.col("recording_key") != "").distinct()
+        "post_id", F.when(F.col("via_lead"), F.col("lead_key")).otherwise(F.col("own_key")).alias("artist_key"),
+        "recording_key", "via_lead",
+    )
 
 
 def _by_title_and_id(dump: DataFrame) -> DataFrame:
     """Dump rows per credited id, kept where the key ends with the recording's own key."""
-    return dump.filter(F.endswith("key", "recording_key")).select("*", F.posexplode("artist_ids").alias("at", "artist_id")) \
-        .withColumn("first", F.col("at") == 0).drop("at")
-
-
-def _scoped(asks: DataFrame, allow: DataFrame, rows: DataFrame, number: int) -> DataFrame:
-    """The join is on title key and artist id together, so a common title does not pile up."""
-    joined = asks.join(rows, ["recording_key", "artist_id"]).filter(~F.col("via_lead") | F.col("first"))
-    joined = joined.join(allow, "post_id")
-    how = F.when(F.col("via_lead"), HOW["lead-scoped"]).otherwise(HOW["artist-scoped"])
-    return _candidates(_graded(joined.withColumn("how", how)), number)
+    return dump.filter(F.endswith("key", "recording_key")).select(
+        "*", F.posexplode("artist_ids").alias("at", "artist_id")
+    ).withColumn("first", F.col("at") == 0).drop("at")
 
 
 def link_scoped(
-    songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame, number: int = 2, classes: bool = True
+    songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame, number: int = 2, classes: bool = True,
+    few: int = FEW_IDS,
 ) -> DataFrame:
     """Candidates by known artist id (or the lead's, which then must be credited first) and whole title."""
     asks = _scoped_asks(songs, ids)
     rows = _by_title_and_id(dump).join(asks.select("recording_key").distinct(), "recording_key", "left_semi")
     if classes:
-        return _scoped(asks, allow, digest(rows, ["recording_key", "artist_id", "first"]), number)
-    found = _scoped(asks, allow, rows, number)
-    return found.dropDuplicates(["post_id", "row_no"])
+        rows = digest(rows, ["recording_key", "artist_id", "first"])
+    joined = known_pairs(asks, rows, ids, few).filter(~F.col("via_lead") | F.col("first")).join(allow, "post_id")
+    how = F.when(F.col("via_lead"), HOW["lead-scoped"]).otherwise(HOW["artist-scoped"])
+    found = _candidates(_graded(joined.withColumn("how", how)), number)
+    return found if classes else found.dropDuplicates(["post_id", "row_no"])
 
 
 def upgrade_scoped(
@@ -270,37 +288,39 @@ def upgrade_scoped(
 # --- pass 2b: every named part of a collaboration must be credited, in any order ----------
 
 
-def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame) -> DataFrame:
-    """Candidates crediting all known parts of the artist string, at least two of them."""
-    parts = songs.filter(F.size(artist_fragments(F.col("artist"))) >= 2).select(
-        "post_id", "song", F.posexplode(artist_fragments(F.col("artist"))).alias("part_no", "part")
-    ).select(
-        "post_id", "song", "part_no", combined_lookup(F.col("part")).alias("artist_key"),
+def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """Candidates crediting all known parts of the artist string, at least two of them.
+
+    Rows are found through the first known part and kept when every part finds one of its ids
+    among the row's credits; the sets of ids are looked up, never gathered.
+    """
+    parts = songs.select("post_id", F.posexplode(artist_fragments(F.col("artist"))).alias("part_no", "part")).select(
+        "post_id", "part_no", combined_lookup(F.col("part")).alias("part_key"),
         F.when(~has_article(F.col("part")), combined_lookup_of(F.concat(F.lit("The "), F.col("part")))).alias("the_key"),
     )
-    own = parts.join(ids, "artist_key").select("post_id", "song", "part_no", "artist_id")
     known = ids.select("artist_key").distinct()
-    article = parts.join(known, "artist_key", "left_anti").join(
-        ids.withColumnRenamed("artist_key", "the_key"), "the_key"
-    ).select("post_id", "song", "part_no", "artist_id")
-    members = own.unionByName(article)
-    required = members.groupBy("post_id", "song", "part_no").agg(F.collect_set("artist_id").alias("ids")) \
-        .groupBy("post_id", "song").agg(F.sort_array(F.collect_list(F.struct("part_no", "ids"))).alias("required")) \
-        .filter(F.size("required") >= 2)
-    asks = required.select(
-        "post_id", "required", F.explode(F.array_distinct(F.transform(
-            title_alternatives(F.col("song")), lambda t: combined_lookup(t)
-        ))).alias("recording_key"),
-        F.get("required", F.lit(0))["ids"].alias("first_ids"),
-    ).filter(F.col("recording_key") != "")
-    asks = asks.select("post_id", "required", "recording_key", F.explode("first_ids").alias("artist_id"))
+    own = parts.join(known.withColumnRenamed("artist_key", "part_key"), "part_key", "left_semi").select(
+        "post_id", "part_no", F.col("part_key").alias("artist_key")
+    )
+    article = parts.join(own, ["post_id", "part_no"], "left_anti").join(
+        known.withColumnRenamed("artist_key", "the_key"), "the_key", "left_semi"
+    ).select("post_id", "part_no", F.col("the_key").alias("artist_key"))
+    named = own.unionByName(article)
+    needed = named.groupBy("post_id").agg(
+        F.count(F.lit(1)).alias("needed"), F.min_by("artist_key", "part_no").alias("artist_key")
+    ).filter("needed >= 2")
+    asks = needed.join(songs, "post_id").select("post_id", "needed", "artist_key", F.explode(_title_keys()).alias("recording_key")) \
+        .filter(F.col("recording_key") != "")
     rows = _by_title_and_id(dump).join(asks.select("recording_key").distinct(), "recording_key", "left_semi")
     firsts = rows.groupBy("recording_key", "artist_id", "artist_ids").agg(
         F.min_by(F.struct(*[c for c in ROW if c != "artist_ids"], *GRADED, "base_quality"), "row_no").alias("m")
     ).select("recording_key", "artist_id", "artist_ids", "m.*")
-    joined = asks.join(firsts, ["recording_key", "artist_id"]).filter(F.forall(
-        "required", lambda part: F.arrays_overlap(part["ids"], F.col("artist_ids"))
-    )).join(allow, "post_id")
+    pairs = known_pairs(asks, firsts, ids, few).drop("artist_id", "artist_key").dropDuplicates(["post_id", "row_no"])
+    credited = pairs.select("post_id", "row_no", F.explode("artist_ids").alias("artist_id"))
+    held = credited.join(named, "post_id").join(ids, ["artist_key", "artist_id"], "left_semi").groupBy(
+        "post_id", "row_no"
+    ).agg(F.count_distinct("part_no").alias("held"))
+    joined = pairs.join(held, ["post_id", "row_no"]).filter(F.col("held") == F.col("needed")).join(allow, "post_id")
     return _candidates(_graded(joined.withColumn("how", F.lit(HOW["collab-scoped"]))), 3)
 
 
@@ -347,9 +367,7 @@ def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> Dat
     Songs and credits meet on (title, block), never on the title alone; the predicate is then
     checked once per pair of distinct strings.
     """
-    titles = songs.select("post_id", "artist", F.explode(F.array_distinct(F.transform(
-        title_alternatives(F.col("song")), lambda t: combined_lookup(t)
-    ))).alias("asked")).filter(F.length("asked") >= 4)
+    titles = songs.select("post_id", "artist", F.explode(_title_keys()).alias("asked")).filter(F.length("asked") >= 4)
     known = titles.select("asked").distinct()
     rows = dump.withColumn("asked", F.explode(F.array_distinct(F.array("recording_key", "bare_key")))).filter(
         F.endswith("key", "asked")

@@ -43,3 +43,28 @@ def test_all_passes(spark, mode):
     assert {p: (r.how, r.row_no) for p, r in rows.items() if r.matched} == WANT
     assert not rows[12].matched and rows[13].proposed == "wrong act" and rows[13].language == "eng"
     assert rows[15].title == "Secret" and rows[10].trusted
+
+
+def test_scoping_by_title_equals_scoping_by_id(spark):
+    from refrain.operators import link
+    from refrain.operators.expand import allowed_language
+
+    songs = spark.createDataFrame([(1, "Abba", "Stay"), (2, "Kiss & Abba", "Go"), (3, "Abba & Kiss", "Stay"), (4, "Nobody", "Stay")],
+                                  "post_id long, artist string, song string")
+    raw = spark.createDataFrame([
+        (1, "r1", "ABBA", ["a1"], "Stay", "x", 5), (2, "r2", "ABBA", ["a2"], "Stay", "x", 4), (3, "r3", "Kiss, ABBA", ["k1", "a2"], "Go", "x", 4),
+        (4, "r4", "ABBA, Kiss", ["a1", "k1"], "Stay", "x", 4), (5, "r5", "Other", ["o1"], "Stay", "x", 1),
+    ], "row_no long, recording_id string, credit string, artist_ids array<string>, recording string, release string, score long")
+    dump, allow = link.prepare_dump(raw), allowed_language(songs)
+    ids = spark.createDataFrame([("abba", "a1"), ("abba", "a2"), ("kiss", "k1")], "artist_key string, artist_id string")
+
+    def rows(df):
+        return sorted((r.post_id, r.row_no, r.how) for r in df.select("post_id", "row_no", "how").distinct().collect())
+
+    scoped = rows(link.link_scoped(songs, allow, dump, ids, classes=False))
+    assert scoped == rows(link.link_scoped(songs, allow, dump, ids, classes=False, few=1)) == [
+        (1, 1, 3), (1, 2, 3), (1, 4, 3), (2, 3, 4), (3, 1, 4), (3, 2, 4), (3, 4, 4)
+    ]
+    assert rows(link.link_collab(songs, allow, dump, ids)) == rows(link.link_collab(songs, allow, dump, ids, few=0)) == [
+        (2, 3, 5), (3, 4, 5)
+    ]
