@@ -34,9 +34,11 @@ def prepare_dump(dump: DataFrame) -> DataFrame:
     """Dump rows with the keys and grades all passes share; write it out once and reuse it.
 
     Needs row_no, recording_id, credit, artist_ids, recording, release, score; ``key`` is kept
-    where the dump brings one.
+    where the dump brings one. Own blank keys need no filter: no join asks for them.
     """
-    key = F.col("key") if "key" in dump.columns else combined_lookup(F.col("credit"), F.col("recording"))
+    key = combined_lookup(F.col("credit"), F.col("recording"))
+    if "key" in dump.columns:
+        key, dump = F.col("key"), dump.filter(F.col("key") != "")
     recording, release = F.col("recording"), F.col("release")
     graded = dump.withColumn("bare", strip_annotation(recording)).select(
         *ROW, key.alias("key"), combined_lookup(recording).alias("recording_key"),
@@ -45,7 +47,7 @@ def prepare_dump(dump: DataFrame) -> DataFrame:
         is_variant_recording(recording, F.lit(False)).alias("variant_plain"),
         is_variant_recording(recording, F.lit(True)).alias("variant_asked"),
         combined_lookup(release).alias("release_key"),
-    ).filter(F.col("key") != "")
+    )
     base = (
         F.col("score") + F.when(F.col("live"), fixed.LIVE_PENALTY).otherwise(0)
         - F.when(F.col("release_key") == F.col("bare_key"), fixed.TITLE_RELEASE_BONUS).otherwise(0)
