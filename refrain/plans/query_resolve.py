@@ -9,6 +9,7 @@ from refrain.functions.text import combined_lookup
 from refrain.operators import enrich, overlay, resolve
 from refrain.plans import standins
 from refrain.plans.query_link import key
+from refrain.session import cut_lineage
 
 # Match rows out of orders: the customer group is the artist string, the suppliers of an order's
 # lines are the credited ids. A third of the lines credit one act per group, so majorities exist.
@@ -98,7 +99,8 @@ decided AS MATERIALIZED (SELECT *, CASE WHEN NOT matched THEN 'unmatched'
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.decide(matches(spark, sf_dir), acts(spark, sf_dir))
+    """Decided match rows, materialised because every caller reads them more than once."""
+    return cut_lineage(resolve.decide(matches(spark, sf_dir), acts(spark, sf_dir)))
 
 
 def majority_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
