@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import bpe_speculate, exact_cuckoo
+from refrain.llm import bpe_speculate, decontaminate_pigeonhole, exact_cuckoo, simhash_vantage
 from refrain.llm.common import table
 
 
@@ -15,6 +15,11 @@ def word_bpe_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_vantage.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_cuckoo.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -30,6 +35,10 @@ FROM narrow WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_
 """
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate_pigeonhole.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_speculate.encode_decode(table(spark, sf_dir, "documents"), word_bpe_path())
     return found.select(
@@ -38,6 +47,8 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple] = {
+    "op2_simhash_near": (op2_simhash_near, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_bpe_roundtrip": (op9_bpe_roundtrip, None),
 }
