@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import bpe_speculate, decontaminate_pigeonhole, exact_cuckoo, simhash_vantage
-from refrain.llm.common import table
+from refrain.llm import (
+    bpe_speculate,
+    decontaminate_pigeonhole,
+    exact_cuckoo,
+    language_kneser_ney,
+    quality_pu,
+    simhash_vantage,
+    toxicity_ftrl,
+)
+from refrain.llm.common import checksum_bucket, table
+
+QUALITY_THRESHOLD = 0.3
+TOXIC_THRESHOLD = 0.7
 
 
 def word_bpe_path() -> str:
@@ -20,6 +31,26 @@ def op2_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", (checksum_bucket(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_pu.Network | None:
+    return quality_pu.fit(docs, table(spark, sf_dir, "labels"), checksum_bucket(F.col("doc_id"), 5) != 0)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality_pu.score(docs, quality_model(spark, docs, sf_dir)), 5, 0, QUALITY_THRESHOLD)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_ftrl.fit(docs, table(spark, sf_dir, "labels"), checksum_bucket(F.col("doc_id"), 3) != 1)
+    return _judged(toxicity_ftrl.score(docs, model), 3, 1, TOXIC_THRESHOLD)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_cuckoo.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -46,9 +77,19 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language_kneser_ney.fit(docs, checksum_bucket(F.col("doc_id"), 4) != 2)
+    found = language_kneser_ney.identify(docs, models)
+    return found.select("doc_id", (checksum_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, tuple] = {
     "op2_simhash_near": (op2_simhash_near, None),
+    "op4_quality": (op4_quality, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_bpe_roundtrip": (op9_bpe_roundtrip, None),
+    "op10_language": (op10_language, None),
 }
