@@ -12,6 +12,7 @@ from refrain.llm import (
     language_kneser_ney,
     quality_pu,
     simhash_vantage,
+    substring_levels,
     toxicity_ftrl,
 )
 from refrain.llm.common import checksum_bucket, table
@@ -31,6 +32,13 @@ def op2_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_levels.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _judged(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select("doc_id", (checksum_bucket(F.col("doc_id"), modulus) == held_out).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -86,6 +94,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple] = {
     "op2_simhash_near": (op2_simhash_near, None),
+    "op3_repeated_bytes": (op3_repeated_bytes, None),
     "op4_quality": (op4_quality, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
