@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.common import written
@@ -170,13 +170,18 @@ def _merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield shard.frame()
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of the text without ASCII white space; null counts as empty."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One narrow row per document: doc_id, n_chars of the original text, digest of the text without white space."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     return docs.select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         F.length(text).cast("bigint").alias("n_chars"),
-        F.unhex(F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256)).alias("digest"),
+        digest(text).alias("digest"),
     )
 
 

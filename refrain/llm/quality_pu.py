@@ -178,6 +178,16 @@ def score_rows(texts: list[str | None], model: Network | None) -> np.ndarray:
     return np.full(len(texts), 0.5) if model is None else model.score(features(texts))
 
 
+def score_column(text: Column, model: Network | None) -> Column:
+    """The score as a column, for filters that keep all other columns."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_rows(texts.tolist(), model))
+
+    return run(text)
+
+
 def score(docs: DataFrame, model: Network | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, score for every row."""
 

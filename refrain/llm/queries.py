@@ -9,10 +9,12 @@ from refrain.llm import (
     bpe_speculate,
     decontaminate_pigeonhole,
     exact_cuckoo,
+    html_crf,
     language_kneser_ney,
     quality_pu,
     simhash_vantage,
     substring_levels,
+    token_files,
     toxicity_ftrl,
 )
 from refrain.llm.common import checksum_bucket, table
@@ -21,10 +23,14 @@ QUALITY_THRESHOLD = 0.3
 TOXIC_THRESHOLD = 0.7
 
 
-def word_bpe_path() -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +65,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity_ftrl.score(docs, model), 3, 1, TOXIC_THRESHOLD)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_tokens")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_cuckoo.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -78,11 +89,14 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_pigeonhole.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def token_digests() -> list:
+    return ["doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+            F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe_speculate.encode_decode(table(spark, sf_dir, "documents"), word_bpe_path())
-    return found.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    found = bpe_speculate.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.select(*token_digests())
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +107,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple] = {
+    "op1_main_text": (op1_main_text, None),
     "op2_simhash_near": (op2_simhash_near, None),
     "op3_repeated_bytes": (op3_repeated_bytes, None),
     "op4_quality": (op4_quality, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_bpe_roundtrip": (op9_bpe_roundtrip, None),

@@ -36,6 +36,8 @@ LENGTH = 400
 PIECE = 128
 SEGMENT = 1_000_000
 FIRST_BATCH = 4_096
+#: Shards for each shuffle partition of the session: what a shard indexes stays small beside an executor.
+SHARDS_EACH = 4
 #: Different surroundings of one piece that a shard holds at most.
 HOT_ROWS = 60_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -383,7 +385,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, hot_rows: int = HOT_R
         wanted = F.filter("places", lambda p: p["hot"] == hot)
         return with_text.select("rid", "packed", wanted.alias("places")).where(F.size("places") > 0).mapInPandas(cut, SUFFIX)
 
-    scanned = suffixes(False).repartition("piece").mapInPandas(lambda parts: _shard(parts, length), SPAN)
+    shards = SHARDS_EACH * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scanned = suffixes(False).repartition(shards, "piece").mapInPandas(lambda parts: _shard(parts, length), SPAN)
     found = settled.unionByName(scanned)
     if shared.where("indexed AND hot").limit(1).count():
         found = found.unionByName(_hot_spans(suffixes(True), length))
