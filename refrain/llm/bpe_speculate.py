@@ -21,6 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Words remembered by one task before it starts over.
 REMEMBERED_WORDS = 600_000
@@ -64,20 +65,35 @@ class Speculator:
         self.known: dict[str, tuple[bytes, str]] = {}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        self.library = Tokenizer.from_file(path)
+        self.library_split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.specials)) if self.specials else None
         self.white, self.odd = regex.compile(r"\p{White_Space}+"), regex.compile(NOT_WHITE)
         self.failed = self.proposed = 0
 
     def runs(self, text: str) -> list[str]:
         """The normalised text cut at white space, which no word crosses."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        if text.isascii():
+            text = text.lower()
+        elif self.newer(text):
+            text = self.library.normalizer.normalize_str(text)
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if self.odd.search(text) is None:
             return text.split()
         return [run for run in self.white.split(text) if run]
 
+    def newer(self, text: str) -> bool:
+        """Whether a letter of the text is too new for this Python's tables; the library's own tables are asked then."""
+        return any(unicodedata.category(c) == "Cn" for c in set(text))
+
+    def cut_words(self, run: str) -> list[str]:
+        if run.isascii() or not self.newer(run):
+            return self.split.findall(run)
+        return [word for word, _ in self.library_split.pre_tokenize_str(run)]
+
     def pieces(self, text: str) -> list[str]:
         """Runs in order; a special token stands as its own string, marked by a leading blank."""
         if self.cut is None or not (found := list(self.cut.finditer(text))):
@@ -194,7 +210,7 @@ class Speculator:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         fresh = {run: None for runs in split for run in runs if run not in self.known}
-        cut = {run: self.split.findall(run) for run in fresh if run[0] != " "}
+        cut = {run: self.cut_words(run) for run in fresh if run[0] != " "}
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
         if new := list({w: None for words in cut.values() for w in words if w not in self.words}):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Laid-out pages the field is fitted on.
 LABELLED_PAGES = 700
-STEPS, RATE, DECAY = 150, 0.1, 1e-3
+STEPS, RATE, DECAY = 220, 0.1, 3e-4
 
 # How HTML elements behave (fixed values).
 BLOCK = frozenset(
@@ -330,6 +330,10 @@ class _Layout:
             inner = (f"<h3>{self.words(1, 3)}</h3>" if r.random() < 0.5 else "") + r.choice((self.links(), self.prose(), self.prose() + self.prose()))
         else:
             inner = "".join(self.prose() for _ in range(r.randint(1, 2)))
+        if start.startswith("<p"):  # a paragraph holds no other block
+            inner = self.sentence(1, 25)
+        elif kind == "nav" and start.startswith("<ul"):
+            inner = "".join(f"<li><a href=/>{self.words(1, 3)}</a></li>" for _ in range(r.randint(2, 8)))
         return start + inner + end
 
     def main(self) -> str:
@@ -357,7 +361,7 @@ class _Layout:
                 out.append("<table><tr>" + "".join(f"<td>{mark}{self.words(1, 4)}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(f"<figure><img src=x.png><figcaption>{mark}{self.sentence(2, 9)}</figcaption></figure>")
-            if r.random() < 0.07:
+            if r.random() < 0.2:
                 out.append(self.part(r.choice(("ad", "aside", "share", "notice", "form"))))
         if r.random() < 0.15:
             out.append(self.part(r.choice(("comments", "share", "ad", "footer", "aside"))))

@@ -367,10 +367,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, hot_rows: int = HOT_R
             yield pd.DataFrame(out, columns=names)
 
     all_anchors = written(texts.select("rid", "packed").mapInPandas(find, "rid bigint, pos int, piece bigint, around bigint"), "anchors")
-    twice = all_anchors.groupBy("piece").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("piece")
+    # Counts are written before they are joined: only then can a hot piece's side of the join be split.
+    twice = written(all_anchors.groupBy("piece").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("piece"), "shared-pieces")
     common = written(all_anchors.join(twice, "piece"), "common-anchors").withColumn("me", F.xxhash64("rid", "pos"))
     kinds = common.groupBy("piece", "around").agg(F.count(F.lit(1)).alias("n"), F.min("me").alias("speaker"))
-    pieces = kinds.groupBy("piece").agg(F.count(F.lit(1)).alias("different"))
+    pieces = written(kinds.groupBy("piece").agg(F.count(F.lit(1)).alias("different")), "pieces")
     shared = written(
         common.join(kinds.join(pieces, "piece"), ["piece", "around"]).select(
             "rid", "pos", "piece", (F.col("n") > 1).alias("settled"),
