@@ -28,10 +28,13 @@ def variant_key() -> list[Column]:
     ]
 
 
-def merge_variants(songs: DataFrame) -> DataFrame:
-    """One row per artist and title: the richest copy's fields, the lowest number and how many there are."""
+def merge_variants(songs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per artist and title: the richest copy's fields, the lowest number and how many there are.
+
+    ``within`` names columns that songs must share too, such as the collection they are shown in.
+    """
     score = enrichment_score(*[F.col(c) for c in ("year", "from", "artists", "genres", "language", "categories")])
-    return songs.select(*variant_key(), "*").groupBy("variant_artist", "variant_title").agg(
+    return songs.select(*variant_key(), "*").groupBy(*within, "variant_artist", "variant_title").agg(
         F.min_by(F.struct(*[c for c in songs.columns if c != "id"]), F.struct(-score, "id", "post_id")).alias("m"),
         F.min("id").alias("id"), F.count_distinct("id").alias("n_ids"),
     ).select("id", "n_ids", "m.*")
@@ -43,14 +46,14 @@ def variant_members(songs: DataFrame) -> DataFrame:
 
 
 def sort_columns(by: str, locale: str = "sv") -> list[Column]:
-    """Display order; an unknown name sorts by title."""
+    """Display order, ending on what no two merged songs share; an unknown name sorts by title."""
     title = F.collate("song", locale)
     orders = {
         "artist": [F.collate(performer(F.col("artist"), F.col("categories")), locale), title],
         "year": [F.coalesce("year", F.lit(9999)), title],
         "catalogue": [F.collate("sort_as", locale), title],
     }
-    return [*orders.get(by, [title]), F.col("id")]
+    return [*orders.get(by, [title]), F.col("id"), F.col("post_id")]
 
 
 def sort_songs(songs: DataFrame, by: str = "az", locale: str = "sv") -> DataFrame:
@@ -135,6 +138,12 @@ def featured(songs: DataFrame, picks: list[tuple[str, str]] = fixed.FEATURED) ->
     ).orderBy("place")
 
 
+def collection_lists(songs: DataFrame) -> DataFrame:
+    """Every collection's list: variants merged inside the collection, in title order, with place and page."""
+    members = memberships(songs).join(songs, "post_id")
+    return paged_by(merge_variants(members, ("kind", "key")), ["kind", "key"], sort_columns("az"))
+
+
 def all_collections(songs: DataFrame) -> DataFrame:
     """(kind, slug, key, songs): each collection page once; the first key in order owns a shared slug."""
     counts = memberships(songs).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("songs")).withColumn(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refrain.operators.browse import paged_by
+from refrain.operators.linked import components
+
 
 def fold_favourites(events: DataFrame) -> DataFrame:
     """(user_id, id): what each user holds after toggling rows (arrays of numbers) in order.
@@ -21,8 +23,11 @@ def fold_favourites(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows")
     ).filter("rows > 1").select("user_id").distinct()
     steady = counts.join(shared, "user_id", "left_anti").filter(F.col("n") % 2 == 1)
-    linked = counts.join(shared, "user_id", "left_semi").select("user_id", "row").groupBy("user_id").applyInPandas(
-        _linked_rows, "user_id long, row array<bigint>, link long"
+    overlapping = counts.join(shared, "user_id", "left_semi").select("user_id", "row")
+    numbers = overlapping.select("user_id", F.get("row", F.lit(0)).alias("u"), F.explode("row").alias("v"))
+    first = overlapping.select("user_id", "row", F.get("row", F.lit(0)).alias("node"))
+    linked = first.join(components(numbers, ("user_id",)), ["user_id", "node"], "left").select(
+        "user_id", "row", F.coalesce("root", "node").alias("link")
     )
     held = F.aggregate(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "row"))), F.array().cast("array<bigint>"),
@@ -35,31 +40,22 @@ def fold_favourites(events: DataFrame) -> DataFrame:
     )
 
 
-def _linked_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    """Label one user's distinct rows so that rows sharing a number, even by way of others, agree."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for row in frame["row"]:
-        for number in row[1:]:
-            parent[root(number)] = root(row[0])
-    return frame.assign(link=[root(row[0]) for row in frame["row"]])
-
-
 def is_favourite(ids: Column, favourites: Column) -> Column:
     """Whether any of a row's numbers is held."""
     return F.coalesce(F.arrays_overlap(ids, favourites), F.lit(False))
 
 
 def favourite_rows(favourites: DataFrame, members: DataFrame) -> DataFrame:
-    """(user_id, variant_artist, variant_title, first_id): each row once, by its lowest held number.
+    """(user_id, variant_artist, variant_title, first_id, place): the rows a user's numbers show, lowest number first.
 
-    ``favourites`` is (user_id, id); ``members`` is ``browse.variant_members``.
+    ``favourites`` is (user_id, id); ``members`` is ``browse.variant_members``. A number shows one row,
+    of rows that share it the last by artist and title; rows of one lowest number show once.
     """
-    return favourites.join(members, "id").groupBy("user_id", "variant_artist", "variant_title").agg(
-        F.min("id").alias("first_id")
+    lowest = members.groupBy("variant_artist", "variant_title").agg(F.min("id").alias("song_id"))
+    shown = members.join(lowest, ["variant_artist", "variant_title"]).groupBy("id").agg(
+        F.max(F.struct("variant_artist", "variant_title", "song_id")).alias("v")
     )
+    rows = favourites.join(shown, "id").groupBy("user_id", F.col("v.song_id").alias("song_id")).agg(
+        F.min(F.struct("id", "v")).alias("first")
+    ).select("user_id", F.col("first.v.variant_artist"), F.col("first.v.variant_title"), F.col("first.id").alias("first_id"))
+    return paged_by(rows, ["user_id"], [F.col("first_id")]).drop("page")

@@ -27,7 +27,6 @@ from refrain.session import cut_lineage
 
 HOW = {name: index for index, name in enumerate(fixed.HOWS)}
 GRADED = ["live", "variant_plain", "variant_asked"]
-FEW_IDS = 64
 
 
 def prepare_dump(dump: DataFrame) -> DataFrame:
@@ -215,23 +214,17 @@ def _title_keys() -> Column:
     return F.array_distinct(F.transform(title_alternatives(F.col("song")), lambda title: combined_lookup(title)))
 
 
-def known_pairs(asks: DataFrame, rows: DataFrame, ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+def known_pairs(asks: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``asks`` (artist_key, recording_key, ...) with the rows of that title by an id the string names.
 
-    A string that names few ids meets rows on (title, id), so common titles do not pile up. One
-    that names very many would multiply its songs by its ids; its songs, one per title, meet the
-    distinct rows of their title instead and the id is looked up afterwards.
+    A string may name very many ids, but an id goes by few strings. So the asked titles' ids are
+    looked up to the strings they go by, and only (string, title, id) triples that a song asks for
+    meet the songs and the rows.
     """
-    crowded = cut_lineage(ids.groupBy("artist_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("artist_key"))
-    if crowded.isEmpty():
-        return asks.join(ids, "artist_key").join(rows, ["recording_key", "artist_id"])
-    asks, rows = cut_lineage(asks), cut_lineage(rows)
-    small, large = ids.join(crowded, "artist_key", "left_anti"), ids.join(crowded, "artist_key", "left_semi")
-    by_id = asks.join(small, "artist_key").join(rows, ["recording_key", "artist_id"])
-    by_title = asks.join(crowded, "artist_key", "left_semi").join(rows, "recording_key").join(
-        large, ["artist_key", "artist_id"], "left_semi"
-    )
-    return by_id.unionByName(by_title)
+    known = rows.select("recording_key", "artist_id").distinct().join(ids, "artist_id")
+    asked = asks.select("artist_key", "recording_key").distinct()
+    triples = known.join(asked, ["artist_key", "recording_key"], "left_semi")
+    return asks.join(triples, ["artist_key", "recording_key"]).join(rows, ["recording_key", "artist_id"])
 
 
 def _scoped_asks(songs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -258,14 +251,13 @@ def _by_title_and_id(dump: DataFrame) -> DataFrame:
 
 def link_scoped(
     songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame, number: int = 2, classes: bool = True,
-    few: int = FEW_IDS,
 ) -> DataFrame:
     """Candidates by known artist id (or the lead's, which then must be credited first) and whole title."""
     asks = _scoped_asks(songs, ids)
     rows = _by_title_and_id(dump).join(asks.select("recording_key").distinct(), "recording_key", "left_semi")
     if classes:
         rows = digest(rows, ["recording_key", "artist_id", "first"])
-    joined = known_pairs(asks, rows, ids, few).filter(~F.col("via_lead") | F.col("first")).join(allow, "post_id")
+    joined = known_pairs(asks, rows, ids).filter(~F.col("via_lead") | F.col("first")).join(allow, "post_id")
     how = F.when(F.col("via_lead"), HOW["lead-scoped"]).otherwise(HOW["artist-scoped"])
     found = _candidates(_graded(joined.withColumn("how", how)), number)
     return found if classes else found.dropDuplicates(["post_id", "row_no"])
@@ -290,7 +282,7 @@ def upgrade_scoped(
 # --- pass 2b: every named part of a collaboration must be credited, in any order ----------
 
 
-def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame) -> DataFrame:
     """Candidates crediting all known parts of the artist string, at least two of them.
 
     Rows are found through the first known part and kept when every part finds one of its ids
@@ -317,7 +309,7 @@ def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFr
     firsts = rows.groupBy("recording_key", "artist_id", "artist_ids").agg(
         F.min_by(F.struct(*[c for c in ROW if c != "artist_ids"], *GRADED, "base_quality"), "row_no").alias("m")
     ).select("recording_key", "artist_id", "artist_ids", "m.*")
-    pairs = known_pairs(asks, firsts, ids, few).drop("artist_id", "artist_key").dropDuplicates(["post_id", "row_no"])
+    pairs = known_pairs(asks, firsts, ids).drop("artist_id", "artist_key").dropDuplicates(["post_id", "row_no"])
     credited = pairs.select("post_id", "row_no", F.explode("artist_ids").alias("artist_id"))
     held = credited.join(named, "post_id").join(ids, ["artist_key", "artist_id"], "left_semi").groupBy(
         "post_id", "row_no"

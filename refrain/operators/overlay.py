@@ -121,52 +121,39 @@ def assign_slugs(artists: DataFrame, names: DataFrame) -> DataFrame:
     """(artist_id, slug): curated slugs first (shared on purpose), then name, type, note, id.
 
     ``artists`` has artist_id, name, type, disambiguation and an orderable seq; ``names`` has
-    artist_id, slug. Claims go to the first artist by seq; each claim is an aggregate per
-    contested slug and a join back, never a window over one name's artists. Whatever still
-    clashes across names gets eight characters of its id.
+    artist_id, slug. Artists choose in order of first appearance of their name's slug, then of
+    their own, each the first wish nobody before them holds, whatever name that one has. Choosing
+    in turn has one outcome, and it is reached set-wise: all ask for their wish, the earliest asker
+    of a slug holds it, the others move on to their next wish, until nobody has to move.
     """
     curated = cut_lineage(artists.join(names.filter(F.coalesce(F.col("slug"), F.lit("")) != "").select(
         "artist_id", slugify(F.col("slug")).alias("slug")
     ), "artist_id").select("artist_id", "slug"))
-    taken = curated.select("slug").distinct()
-    rest = artists.filter(F.col("name").isNotNull()).join(curated, "artist_id", "left_anti").withColumns({
-        "base": slugify(F.col("name")), "short": F.substring("artist_id", 1, 8),
-    })
-    sizes = rest.groupBy("base").agg(F.count(F.lit(1)).alias("sharing"))
-    rest = rest.join(sizes, "base").join(
-        taken.select(F.col("slug").alias("base"), F.lit(True).alias("base_taken")), "base", "left"
-    )
-    free = (F.col("sharing") == 1) & F.col("base_taken").isNull()
-    rest = cut_lineage(rest)
-    plain = rest.filter(free).select("artist_id", "seq", "short", F.col("base").alias("slug"))
-    contested = rest.filter(~free).withColumns({
-        "by_type": F.concat_ws("-", "base", slugify(F.col("type"))),
-        "by_note": F.concat_ws("-", "base", slugify(F.nullif("disambiguation", F.lit("")))),
-    })
-    typed = _claimed(contested.filter(F.col("type").isNotNull()), "by_type", taken)
-    left = contested.join(typed.select("artist_id"), "artist_id", "left_anti")
-    noted = _claimed(
-        left.filter(F.coalesce("disambiguation", F.lit("")) != ""), "by_note",
-        taken.unionByName(typed.select("slug")).distinct(),
-    )
-    last = left.join(noted.select("artist_id"), "artist_id", "left_anti").select(
-        "artist_id", "seq", "short", F.concat_ws("-", "base", "short").alias("slug")
-    )
-    wished = cut_lineage(plain.unionByName(typed).unionByName(noted).unionByName(last))
-    firsts = wished.groupBy("slug").agg(F.min_by("artist_id", "seq").alias("holder")).join(
-        taken.withColumn("reserved", F.lit(True)), "slug", "left"
-    )
-    final = wished.join(firsts, "slug").select("artist_id", F.when(
-        (F.col("holder") == F.col("artist_id")) & F.col("reserved").isNull(), F.col("slug")
-    ).otherwise(F.concat_ws("-", "slug", "short")).alias("slug"))
-    return cut_lineage(curated.unionByName(final))
-
-
-def _claimed(wishes: DataFrame, wish: str, taken: DataFrame) -> DataFrame:
-    """The first wisher per untaken slug."""
-    return wishes.withColumn("slug", F.col(wish)).join(taken, "slug", "left_anti").groupBy("slug").agg(
-        F.min_by(F.struct("artist_id", "seq", "short"), "seq").alias("w")
-    ).select("w.artist_id", "w.seq", "w.short", "slug")
+    taken = curated.select(F.col("slug").alias("wish"), F.lit(True).alias("reserved")).distinct()
+    rest = artists.filter(F.col("name").isNotNull()).join(curated, "artist_id", "left_anti").withColumn("base", slugify(F.col("name")))
+    groups = rest.groupBy("base").agg(F.count(F.lit(1)).alias("sharing"), F.min("seq").alias("first"))
+    short = F.concat_ws("-", "base", F.substring("artist_id", 1, 8))
+    note = F.nullif("disambiguation", F.lit(""))
+    asking = cut_lineage(rest.join(groups, "base").select(
+        "artist_id", F.struct("first", "seq").alias("turn"), F.lit(0).alias("at"),
+        F.array_compact(F.array(
+            F.when(F.col("sharing") == 1, F.col("base")),
+            F.when(F.col("type").isNotNull(), F.concat_ws("-", "base", slugify(F.col("type")))),
+            F.when(note.isNotNull(), F.concat_ws("-", "base", slugify(note))),
+            short, F.concat_ws("-", short, F.substring("artist_id", 1, 8)),
+        )).alias("wishes"),
+    ))
+    while True:
+        asked = asking.withColumn("wish", F.get("wishes", F.col("at")))
+        holders = asked.groupBy("wish").agg(F.min("turn").alias("holder")).join(taken, "wish", "left")
+        beaten = (F.col("reserved").isNotNull() | (F.col("holder") != F.col("turn"))) & (F.col("at") < F.size("wishes") - 1)
+        asking = cut_lineage(asked.join(holders, "wish").select(
+            "artist_id", "turn", (F.col("at") + beaten.cast("int")).alias("at"), "wishes", beaten.alias("moved")
+        ))
+        if not asking.filter("moved").limit(1).count():
+            break
+        asking = asking.drop("moved")
+    return curated.unionByName(asking.select("artist_id", F.get("wishes", F.col("at")).alias("slug")))
 
 
 def with_slugs(songs: DataFrame, slugs: DataFrame) -> DataFrame:

@@ -96,17 +96,15 @@ def _page(by: str):
 
 def collection_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every collection's list in title order with place and page."""
-    songs = standins.songs(spark, sf_dir)
-    rows = browse.memberships(songs).join(songs.select("post_id", "id", "song"), "post_id")
-    order = [F.collate("song", "sv"), F.col("id"), F.col("post_id")]
-    return browse.paged_by(rows, ["kind", "key"], order).select("kind", "key", "post_id", "place", "page")
+    lists = browse.collection_lists(standins.songs(spark, sf_dir))
+    return lists.select("kind", "key", "post_id", "id", "n_ids", "place", "page")
 
 
 def window_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to show to reach each half of the list's last number."""
     merged = browse.merge_variants(standins.songs(spark, sf_dir))
     pages = browse.paged(merged, browse.sort_columns("az"))
-    return browse.window_depth(pages, F.max_by("place", "id")).select(F.col("rows").cast("long").alias("rows"))
+    return browse.window_depth(pages, -F.max(F.struct("id", (-F.col("place")).alias("up")))["up"]).select(F.col("rows").cast("long").alias("rows"))
 
 
 def _artists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,22 +185,20 @@ def _brand_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return standins.table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select(
-        "user_id", "ts", "event_id", k.alias("k")
-    )
+    return standins.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", k.alias("k"))
 
 
 def favourites_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks toggle rows of two numbers each that always come together."""
+    """Events toggle rows of two numbers each that always come together."""
     low = F.col("k") - F.col("k") % 2
-    return favourites.fold_favourites(_clicks(spark, sf_dir).withColumn("ids", F.array(low, low + 1)))
+    return favourites.fold_favourites(_toggles(spark, sf_dir).withColumn("ids", F.array(low, low + 1)))
 
 
 def favourites_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks toggle rows that overlap their neighbours, so order decides."""
-    return favourites.fold_favourites(_clicks(spark, sf_dir).withColumn("ids", F.array("k", F.col("k") + 1)))
+    """Events toggle rows that overlap their neighbours, so order decides."""
+    return favourites.fold_favourites(_toggles(spark, sf_dir).withColumn("ids", F.array("k", F.col("k") + 1)))
 
 
 def favourites_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,12 +206,12 @@ def favourites_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return favourites.favourite_rows(favourites_state(spark, sf_dir), members)
 
 
-CLICKS = """clicks AS (SELECT user_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click')"""
-STEADY = f"""{CLICKS}, held AS (SELECT user_id, unnest([k - k % 2, k - k % 2 + 1]) AS id FROM
-    (SELECT user_id, k - k % 2 AS k, count(*) AS n FROM clicks GROUP BY ALL) WHERE n % 2 = 1)"""
+TOGGLES = """toggles AS (SELECT user_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+STEADY = f"""{TOGGLES}, held AS (SELECT user_id, unnest([k - k % 2, k - k % 2 + 1]) AS id FROM
+    (SELECT user_id, k - k % 2 AS k, count(*) AS n FROM toggles GROUP BY ALL) WHERE n % 2 = 1)"""
 ORDERS = {
-    "az": "song COLLATE sv, id", "artist": "performer COLLATE sv, song COLLATE sv, id",
-    "year": "coalesce(year, 9999), song COLLATE sv, id", "catalogue": "artist COLLATE sv, song COLLATE sv, id",
+    "az": "song COLLATE sv, id, post_id", "artist": "performer COLLATE sv, song COLLATE sv, id, post_id",
+    "year": "coalesce(year, 9999), song COLLATE sv, id, post_id", "catalogue": "artist COLLATE sv, song COLLATE sv, id, post_id",
 }
 
 
@@ -250,10 +246,12 @@ QUERIES = {
         concat_ws(' · ', nullif("from", ''), CAST(year AS STRING)) AS meta, performer, score FROM songs"""),
     **{f"browse_page_{by}": (_page(by), f"""WITH {SONGS} SELECT id, song, place, CAST(floor((place - 1) / 80) AS BIGINT) AS page FROM
         (SELECT id, song, row_number() OVER (ORDER BY {order}) AS place FROM variants)""") for by, order in ORDERS.items()},
-    "collection_pages": (collection_pages, f"""WITH {SONGS}, placed AS (SELECT kind, key, post_id, row_number() OVER (PARTITION BY kind, key
-            ORDER BY song COLLATE sv, id, post_id) AS place FROM members JOIN songs USING (post_id))
-        SELECT kind, key, post_id, place, CAST(floor((place - 1) / 80) AS BIGINT) AS page FROM placed"""),
-    "window_depth": (window_depth, f"""WITH {SONGS}, placed AS (SELECT id, row_number() OVER (ORDER BY song COLLATE sv, id) AS place FROM variants)
+    "collection_pages": (collection_pages, f"""WITH {SONGS}, inside AS (SELECT kind, key, post_id, song, lower(performer) AS va, lower(song) AS vt, id, score FROM members JOIN songs USING (post_id)),
+        richest AS (SELECT kind, key, va, vt, post_id, song FROM inside QUALIFY row_number() OVER (PARTITION BY kind, key, va, vt ORDER BY score DESC, id, post_id) = 1),
+        numbers AS (SELECT kind, key, va, vt, min(id) AS id, count(DISTINCT id) AS n_ids FROM inside GROUP BY ALL),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY song COLLATE sv, id, post_id) AS place FROM richest JOIN numbers USING (kind, key, va, vt))
+        SELECT kind, key, post_id, id, n_ids, place, CAST(floor((place - 1) / 80) AS BIGINT) AS page FROM placed"""),
+    "window_depth": (window_depth, f"""WITH {SONGS}, placed AS (SELECT id, row_number() OVER (ORDER BY song COLLATE sv, id, post_id) AS place FROM variants)
         SELECT least(greatest(80, (SELECT min(place) FROM placed WHERE id = (SELECT max(id) FROM placed))), count(*)) AS rows FROM placed"""),
     "artist_letters": (artist_letters, f"""WITH {NAMED}, placed AS (SELECT CASE WHEN upper(substring(name, 1, 1)) BETWEEN 'A' AND 'Z' THEN upper(substring(name, 1, 1)) ELSE '#' END AS letter,
             row_number() OVER (ORDER BY name COLLATE sv, slug) AS place FROM artists),
@@ -278,12 +276,15 @@ QUERIES = {
         SELECT slug, artist_id, CASE WHEN slug = 'twins' THEN 'Twins' ELSE 'The ' || artist_id END AS name, ids, songs, genres,
             CASE WHEN slug = 'twins' THEN 'merged' ELSE 'plain' END AS note FROM pages JOIN sizes USING (slug) JOIN tops USING (slug)"""),
     "favourites_state": (favourites_state, f"WITH {STEADY} SELECT user_id, id FROM held"),
-    "favourites_overlapping": (favourites_overlapping, f"""WITH RECURSIVE {CLICKS},
-        steps AS MATERIALIZED (SELECT user_id, [k, k + 1] AS row, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM clicks),
+    "favourites_overlapping": (favourites_overlapping, f"""WITH RECURSIVE {TOGGLES},
+        steps AS MATERIALIZED (SELECT user_id, [k, k + 1] AS row, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM toggles),
         fold AS (SELECT user_id, n, row AS held FROM steps WHERE n = 1 UNION ALL SELECT f.user_id, s.n,
             CASE WHEN list_has_any(f.held, s.row) THEN list_filter(f.held, lambda x: NOT list_contains(s.row, x)) ELSE list_concat(f.held, s.row) END
             FROM fold f JOIN steps s ON s.user_id = f.user_id AND s.n = f.n + 1)
         SELECT user_id, unnest(held) AS id FROM (SELECT user_id, held FROM fold QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1)"""),
-    "favourites_rows": (favourites_rows, f"""WITH {STEADY}, {SONGS} SELECT user_id, lower(performer) AS variant_artist, lower(song) AS variant_title,
-        min(h.id) AS first_id FROM held h JOIN songs s ON s.id = h.id GROUP BY ALL"""),
+    "favourites_rows": (favourites_rows, f"""WITH {STEADY}, {SONGS}, m AS (SELECT DISTINCT lower(performer) AS va, lower(song) AS vt, id FROM songs),
+        lowest AS (SELECT va, vt, min(id) AS song_id FROM m GROUP BY ALL),
+        shown AS (SELECT id, va, vt, song_id FROM m JOIN lowest USING (va, vt) QUALIFY row_number() OVER (PARTITION BY id ORDER BY va DESC, vt DESC) = 1),
+        kept AS (SELECT user_id, va, vt, id FROM held JOIN shown USING (id) QUALIFY row_number() OVER (PARTITION BY user_id, song_id ORDER BY id) = 1)
+        SELECT user_id, va AS variant_artist, vt AS variant_title, id AS first_id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS place FROM kept"""),
 }

@@ -273,8 +273,24 @@ def pages_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listing pages, some with each kind of damage a scrape must notice."""
+    page, html = F.col("page"), F.col("html")
+
+    def where(remainder: int, modulus: int, old: str, new: str):
+        return lambda text: F.when(page % modulus == remainder, F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+
+    for damage in (
+        where(1, 5, 'data-post-id="', 'data-post-id="x'), where(2, 5, '<a href="/', '<a title="/'), where(3, 5, ' data-pages="1"', ""),
+        where(4, 5, "&quot;posts_per_page&quot;:6", "&quot;posts_per_page&quot;:0"), where(0, 7, "<a ", "<b "),
+        where(0, 35, ' data-pages="1"', ' data-pages="9999999"'),
+    ):
+        html = damage(html)
+    return _pages(spark, sf_dir).select("page", html.alias("html"))
+
+
 def pages_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
+    pages = _damaged(spark, sf_dir)
     return listing.listing_violations(listing.extract_listing(pages, SPEC), listing.find_listing(pages, SPEC), ["artist", "song"])
 
 
@@ -411,8 +427,13 @@ QUERIES = {
         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1"""),
     "pages_extract": (pages_extract, f"""WITH {_ROWS} SELECT page_id AS page, place, page_id AS post_id,
         trim({_decode("regexp_extract(m, 'href=\"/([^\"]*)\"', 1)")}) AS artist, trim({_decode("regexp_extract(m, '>([^<>]*)</a>', 1)")}) AS song FROM rows"""),
-    "pages_violations": (pages_violations, f"""WITH {_ROWS} SELECT rule, 0 AS violations FROM (VALUES ('no post id'), ('id not numeric'), ('no artist'), ('no song'),
-        ('no page count'), ('no page size'), ('too few songs')) t(rule) WHERE (SELECT count(*) FROM rows) > 0"""),
+    "pages_violations": (pages_violations, f"""WITH {_ROWS}, tallied AS (SELECT count(*) FILTER (page_id % 5 = 1) AS ids,
+            count(*) FILTER (page_id % 5 = 2 OR page_id % 7 = 0) AS artists, count(*) FILTER (page_id % 7 = 0) AS songs,
+            count(DISTINCT page_id) FILTER (page_id % 5 <> 1) AS found FROM rows),
+        lists AS (SELECT count(*) FILTER (page_id % 5 = 3) AS pages, count(*) FILTER (page_id % 5 = 4) AS sizes,
+            max(CASE WHEN page_id % 35 = 0 THEN 9999998 * 6 ELSE 0 END) AS promised FROM pages WHERE contains(html, '<nav>'))
+        SELECT rule, CAST(n AS BIGINT) AS violations FROM tallied, lists, LATERAL (VALUES ('no post id', ids), ('id not numeric', ids), ('no artist', artists),
+            ('no song', songs), ('no page count', pages), ('no page size', sizes), ('too few songs', CASE WHEN found < promised THEN 1 ELSE 0 END)) t(rule, n)"""),
     "pages_decoded": (pages_decoded, f"SELECT page_id, md5({_decode('html')}) AS decoded_hash FROM pages"),
     "entity_report": (entity_report, """SELECT entity, count(*) AS occurrences, count(DISTINCT page_id) AS pages FROM (
             SELECT page_id, unnest(regexp_extract_all(html, '&([a-zA-Z][a-zA-Z0-9]*);', 1)) AS entity FROM pages)

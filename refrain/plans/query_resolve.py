@@ -311,23 +311,20 @@ def slug_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
-SLUGS = f"""WITH a AS (SELECT *, {SLUG.format('name')} AS base, substring(artist_id, 1, 8) AS short FROM ({standins.sql(standins.ARTISTS)})),
+SLUGS = f"""WITH RECURSIVE a AS (SELECT *, {SLUG.format('name')} AS base, substring(artist_id, 1, 8) AS short FROM ({standins.sql(standins.ARTISTS)})),
 curated AS (SELECT artist_id, {SLUG.format('slug')} AS slug FROM a WHERE slug <> ''),
-rest AS (SELECT *, count(*) OVER (PARTITION BY base) AS sharing FROM a WHERE artist_id NOT IN (SELECT artist_id FROM curated)),
-plain AS (SELECT artist_id, seq, short, base AS s FROM rest WHERE sharing = 1 AND base NOT IN (SELECT slug FROM curated)),
-contested AS (SELECT *, base || '-' || {SLUG.format('type')} AS by_type, base || '-' || {SLUG.format('disambiguation')} AS by_note
-    FROM rest WHERE artist_id NOT IN (SELECT artist_id FROM plain)),
-typed AS (SELECT arg_min(artist_id, seq) AS artist_id, min(seq) AS seq, by_type AS s FROM contested
-    WHERE type IS NOT NULL AND by_type NOT IN (SELECT slug FROM curated) GROUP BY by_type),
-noted AS (SELECT arg_min(artist_id, seq) AS artist_id, min(seq) AS seq, by_note AS s FROM contested
-    WHERE disambiguation <> '' AND artist_id NOT IN (SELECT artist_id FROM typed) AND by_note NOT IN (SELECT s FROM typed)
-      AND by_note NOT IN (SELECT slug FROM curated) GROUP BY by_note),
-wished AS (SELECT artist_id, seq, s FROM plain UNION ALL SELECT * FROM typed UNION ALL SELECT * FROM noted UNION ALL
-    SELECT artist_id, seq, base || '-' || short FROM contested WHERE artist_id NOT IN (SELECT artist_id FROM typed)
-      AND artist_id NOT IN (SELECT artist_id FROM noted))
-SELECT artist_id, slug FROM curated UNION ALL
-SELECT artist_id, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY seq) = 1 AND s NOT IN (SELECT slug FROM curated)
-    THEN s ELSE s || '-' || substring(artist_id, 1, 8) END FROM wished"""
+rest AS (SELECT *, count(*) OVER (PARTITION BY base) AS sharing, min(seq) OVER (PARTITION BY base) AS first FROM a
+    WHERE artist_id NOT IN (SELECT artist_id FROM curated)),
+turns AS MATERIALIZED (SELECT artist_id, base || '-' || short AS own, row_number() OVER (ORDER BY first, seq) AS n,
+    list_filter([CASE WHEN sharing = 1 THEN base END, CASE WHEN type IS NOT NULL THEN base || '-' || {SLUG.format('type')} END,
+        CASE WHEN disambiguation <> '' THEN base || '-' || {SLUG.format('disambiguation')} END], lambda w: w IS NOT NULL) AS wishes, short FROM rest),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS artist_id, CAST(NULL AS VARCHAR) AS slug,
+        coalesce((SELECT list(DISTINCT slug) FROM curated), []) AS used
+    UNION ALL SELECT n, artist_id, slug, list_append(used, slug) FROM (SELECT t.n, t.artist_id, f.used,
+        coalesce(list_filter(t.wishes, lambda w: NOT list_contains(f.used, w))[1],
+            CASE WHEN list_contains(f.used, t.own) THEN t.own || '-' || t.short ELSE t.own END) AS slug
+        FROM fold f JOIN turns t ON t.n = f.n + 1))
+SELECT artist_id, slug FROM curated UNION ALL SELECT artist_id, slug FROM fold WHERE n > 0"""
 
 TAGS = """tags AS (SELECT 'n' || CAST(c_nationkey AS STRING) AS artist_id, c_mktsegment AS name, count(*) - 8 AS count FROM customer GROUP BY ALL),
 kept AS (SELECT * FROM tags WHERE count > 0 AND lower(name) IN (SELECT lower(c_mktsegment) FROM customer WHERE c_acctbal > 9500))"""
@@ -343,9 +340,9 @@ RESOLVED = """SELECT post_id, "case",
     CASE WHEN full_row THEN language END AS new_language, CASE WHEN full_row OR alone THEN 1 ELSE 0 END AS corrected
   FROM (SELECT *, "case" IN ('normal', 'placeholder') AS full_row,
     "case" NOT IN ('normal', 'placeholder') AND coalesce(NOT regexp_matches(sole_name, '^\\[.*\\]$'), false) AS alone FROM decided)"""
-REASON = f"""CASE "case" WHEN 'unmatched' THEN CASE WHEN sole_id IS NOT NULL THEN '{resolve.REASONS['no title']}' ELSE '{resolve.REASONS['unknown']}' END
-    WHEN 'weak' THEN CASE WHEN placeholder THEN '{resolve.REASONS['placeholder']}' ELSE '{resolve.REASONS['weak']}' END
-    WHEN 'namesake' THEN '{resolve.REASONS['namesake']}' WHEN 'placeholder' THEN '{resolve.REASONS['placeholder']}' END"""
+REASON = """CASE WHEN "case" = 'unmatched' THEN CASE WHEN sole_id IS NOT NULL THEN 'title not found' ELSE 'artist not found' END
+    WHEN "case" = 'weak' AND NOT coalesce(placeholder, false) THEN 'weak match' WHEN "case" IN ('weak', 'placeholder') THEN 'placeholder act'
+    WHEN "case" = 'namesake' THEN 'other act' END"""
 
 QUERIES = {
     "majority_entity": (majority_entity, f"WITH {MATCHES} SELECT * FROM majority"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, partitions: int | None = None, app: str = "refrain") -> SparkSession:
@@ -24,21 +26,28 @@ def build_session(master: str | None = None, partitions: int | None = None, app:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session with nothing set gets a folder of its own; on a cluster a machine-local
+    folder would not survive, so an unset one is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="refrain-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a stage reliably so that lost executors never replay earlier passes.
+    """Keep a stage as a Parquet table in the shared folder, so that lost executors never replay earlier passes.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session with nothing
-    set gets a folder of its own; on a cluster a machine-local folder would not survive, so
-    an unset one is an error there.
+    Later readers prune columns and rows of it, which a row-wise checkpoint does not allow.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="refrain-checkpoint-"))
-    return df.checkpoint(eager=True)
+    plain = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path)

@@ -50,18 +50,24 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def write_prepared_dump(dump: DataFrame, path: str) -> None:
     """Keys and grades computed once, stored by columns and clustered by key for all later passes."""
-    prepare_dump(dump).repartition("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+    prepare_dump(dump).repartitionByRange("key", "row_no").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "json") -> DataFrame:
-    """An optional input: a missing path is an empty relation of the given schema."""
+    """An optional input: a missing path is an empty relation of the given schema.
+
+    ``json`` is one object per line, as this module's writers leave it; ``envelope`` is one JSON
+    value per file; other kinds are Spark formats.
+    """
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(target):
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema)
-    return reader.option("multiLine", True).json(path) if kind == "json" else reader.format(kind).load(path)
+    if kind == "envelope":
+        return reader.option("multiLine", True).json(path)
+    return reader.format(kind).load(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,38 +1,59 @@
-"""Favourite toggles as a stream: the same parity, kept as running counts in the state store."""
+"""Favourite toggles as a stream: what each user holds, kept in the state store."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+HELD = "user_id long, ids array<long>"
 
-def toggle_counts(events: DataFrame) -> DataFrame:
-    """Running toggles per (user, row): state grows with distinct pairs, never with events.
 
-    Needs rows whose numbers always come together, as merged variants do; a hot user is spread
-    over the pairs.
-    """
-    row = F.array_sort(F.array_distinct("ids"))
-    return events.groupBy("user_id", row.alias("row")).agg(F.count(F.lit(1)).alias("toggles"))
+def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Toggle a batch's rows in order of (ts, event_id) on what the user held before."""
+    held = set(state.get[0]) if state.exists else set()
+    toggles = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+    for ids in toggles.ids:
+        row = {int(i) for i in ids}
+        held = held - row if held & row else held | row
+    kept = sorted(held)
+    state.update((kept,))
+    yield pd.DataFrame({"user_id": [key[0]], "ids": [kept]})
+
 
+def held_favourites(events: DataFrame) -> DataFrame:
+    """(user_id, ids) after each batch, for users with toggles in it.
 
-def held_rows(counts: DataFrame) -> DataFrame:
-    return counts.filter(F.col("toggles") % 2 == 1).select("user_id", F.explode("row").alias("id"))
+    ``events`` has user_id, ts, event_id and ids. State is the numbers a user holds, never the
+    events. Order counts within a batch by (ts, event_id), across batches by arrival; rows may
+    overlap in any way.
+    """
+    return events.select("user_id", "ts", "event_id", F.col("ids").cast("array<bigint>").alias("ids")).filter(
+        F.size("ids") > 0
+    ).groupBy("user_id").applyInPandasWithState(_fold, HELD, "ids array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def start_favourites(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each batch's changed counts keyed by batch; a replayed batch overwrites itself."""
+    """Write what changed keyed by batch; a replayed batch overwrites itself."""
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        toggle_counts(events).writeStream.outputMode("update").foreachBatch(save)
+        held_favourites(events).writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def current_favourites(changes: DataFrame) -> DataFrame:
-    """(user_id, id) from the written change log: the latest count per pair decides."""
-    latest = changes.groupBy("user_id", "row").agg(F.max_by("toggles", "batch").alias("toggles"))
-    return held_rows(latest)
+    """(user_id, id) from the written change log: the latest batch per user decides."""
+    latest = changes.groupBy("user_id").agg(F.max_by("ids", "batch").alias("ids"))
+    return latest.select("user_id", F.explode("ids").alias("id"))
+
+
+def compact(changes: DataFrame, path: str) -> None:
+    """The change log as one row per user, readable in its place; older batches may go then."""
+    changes.groupBy("user_id").agg(F.max_by("ids", "batch").alias("ids"), F.max("batch").alias("batch")).write.parquet(path)

@@ -62,9 +62,9 @@ def test_scoping_by_title_equals_scoping_by_id(spark):
         return sorted((r.post_id, r.row_no, r.how) for r in df.select("post_id", "row_no", "how").distinct().collect())
 
     scoped = rows(link.link_scoped(songs, allow, dump, ids, classes=False))
-    assert scoped == rows(link.link_scoped(songs, allow, dump, ids, classes=False, few=1)) == [
+    assert scoped == [
         (1, 1, 3), (1, 2, 3), (1, 4, 3), (2, 3, 4), (3, 1, 4), (3, 2, 4), (3, 4, 4)
     ]
-    assert rows(link.link_collab(songs, allow, dump, ids)) == rows(link.link_collab(songs, allow, dump, ids, few=0)) == [
+    assert rows(link.link_collab(songs, allow, dump, ids)) == [
         (2, 3, 5), (3, 4, 5)
     ]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refrain.functions.text import combined_lookup
-from refrain.operators import overlay, quality
+from refrain.operators import favourites, overlay, quality
 from refrain.sources import files, listing
 from refrain.streaming import favourites as stream
 
@@ -32,6 +32,12 @@ def test_catalog_and_dump(spark, tmp_path):
 
 def test_optional_lists_and_names(spark, tmp_path):
     assert files.read_or_empty(spark, str(tmp_path / "none.json"), "a string").count() == 0
+    rows = spark.range(50).selectExpr("id", "'n' || id AS name")
+    files.write_with_provenance(rows, str(tmp_path / "out"), "a note", "id")
+    back = files.read_or_empty(spark, str(tmp_path / "out/rows"), "id long, name string")
+    assert sorted(map(tuple, back.collect())) == [(i, f"n{i}") for i in range(50)]
+    (tmp_path / "one.json").write_text('{\n "a": "x"\n}')
+    assert [r.a for r in files.read_or_empty(spark, str(tmp_path / "one.json"), "a string", "envelope").collect()] == ["x"]
     (tmp_path / "list.txt").write_text("# comment\n\n  Abba \nKiss\n")
     assert [r.artist for r in files.read_lines(spark, str(tmp_path / "list.txt")).collect()] == ["Abba", "Kiss"]
     (tmp_path / "names.json").write_text(json.dumps({"note": "n", "artists": {"m1": {"name": "P!nk", "slug": "pink"}, "m2": {"name": "Ye"}}}))
@@ -90,16 +96,24 @@ def test_listing(spark):
     assert [r.entity for r in listing.unknown_entities(pages).collect()] == ["bogus"]
 
 
-def test_favourites_stream(spark, tmp_path):
-    schema = "user_id long, ids array<long>"
-    events = [(1, [1, 2]), (1, [1, 2]), (1, [3]), (2, [3])]
-    spark.createDataFrame(events[:3], schema).write.parquet(str(tmp_path / "in/a"))
-    spark.createDataFrame(events[3:], schema).write.parquet(str(tmp_path / "in/b"))
+def test_favourites_stream_equals_batch(spark, tmp_path):
+    schema = "user_id long, ts long, event_id long, ids array<long>"
+    events = [(u, t, 10 * t + u, sorted({(3 * t + u) % 7, (3 * t + u) % 7 + t % 3})) for t in range(40) for u in (1, 2, 3)]
+    events += [(9, 1, 900, [1, 2]), (9, 30, 901, [2, 3]), (8, 2, 800, [])]
+    first = [e for e in events if e[1] < 20]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in/a"))
     source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    query = stream.start_favourites(source, str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination(120)
-    held = stream.current_favourites(spark.read.parquet(str(tmp_path / "out"))).collect()
-    assert sorted((r.user_id, r.id) for r in held) == [(1, 3), (2, 3)]
+    for name, rows in (("a", None), ("b", [e for e in events if e[1] >= 20])):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream.start_favourites(source, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    held = sorted(map(tuple, stream.current_favourites(changes).select("user_id", "id").collect()))
+    batch = favourites.fold_favourites(spark.createDataFrame(events, schema))
+    assert held == sorted(map(tuple, batch.select("user_id", "id").collect()))
+    assert [i for u, i in held if u == 9] == [1]
+    stream.compact(changes, str(tmp_path / "compacted"))
+    assert sorted(map(tuple, stream.current_favourites(spark.read.parquet(str(tmp_path / "compacted"))).select("user_id", "id").collect())) == held
 
 
 def test_verdict_precedence(spark):
