@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-#: Words remembered by one task before it starts over.
-REMEMBERED_WORDS = 600_000
+#: Runs and words that a worker remembers before it starts over; they bound its memory, not the result.
+REMEMBERED_RUNS, REMEMBERED_WORDS = 400_000, 100_000
 #: Characters that str.split() takes for white space and the tokenizer's pattern language does not.
 NOT_WHITE = "[\x1c-\x1f]"
 _BASE, _NEVER = -1, np.iinfo(np.int64).max
@@ -61,8 +61,8 @@ class Speculator:
             self.reach[head] = max(size, 2, self.reach.get(head, 0))
         self.letters = _byte_letters()
         self.own: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -202,12 +202,12 @@ class Speculator:
         self.failed += int(fails.sum())
         for i, word in enumerate(words):
             ids = self.merge(letters[i]) if fails[i] else proposals[i]
-            self.words[word] = (np.array(ids, "<u4").tobytes(), " ".join([self.text_of[t] for t in ids]))
+            self.words[word] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Packed ids (little-endian, four bytes each) and what they decode to, per text."""
         split = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > REMEMBERED_RUNS:
             self.known.clear()
         fresh = {run: None for runs in split for run in runs if run not in self.known}
         cut = {run: self.cut_words(run) for run in fresh if run[0] != " "}
@@ -217,16 +217,13 @@ class Speculator:
             self.learn(new)
         for run in fresh:
             if run[0] == " ":
-                self.known[run] = (np.array([self.specials[run[1:]]], "<u4").tobytes(), run[1:])
-                continue
-            found = [self.words[w] for w in cut[run]]
-            self.known[run] = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]]))
-        known, packed, decoded = self.known, [], []
-        for runs in split:
-            found = [known[run] for run in runs]
-            packed.append(b"".join([f[0] for f in found]))
-            decoded.append(" ".join([f[1] for f in found if f[0]]))
-        return packed, decoded
+                self.known[run] = np.array([self.specials[run[1:]]], "<u4").tobytes()
+            else:
+                self.known[run] = b"".join([self.words[w] for w in cut[run]])
+        known = self.known
+        packed = [b"".join([known[run] for run in runs]) for runs in split]
+        text_of = self.text_of.__getitem__
+        return packed, [" ".join(map(text_of, np.frombuffer(ids, "<u4").tolist())) for ids in packed]
 
 
 def _byte_letters() -> list[str]:

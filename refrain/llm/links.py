@@ -1,51 +1,5 @@
-"""Connected components of a link table, by alternating star contraction.
+"""Connected components of a link table (the library's own, under the name the operators use)."""
 
-Every round is two aggregations and two equi-joins; nothing is gathered in one place. A hot centre is
-combined before its shuffle, and joined in salted parts.
-"""
+from refrain.operators.linked import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from refrain.llm.common import written
-
-
-#: Parts that the links of one node are dealt to in a join.
-SALTS = 16
-
-
-def _salted(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with the m of their u."""
-    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("part", F.pmod(F.hash("v"), F.lit(SALTS))).join(parts, ["u", "part"])
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-    return row["n"], row["h"]
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _salted(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _salted(edges, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """From undirected links u, v (bigint): one row (node, root) per node that is not the smallest of its component."""
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(now)
-    while state[0]:
-        then, now = state, written(_small_star(_large_star(now)), "links")
-        state = _state(now)
-        if state == then:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+__all__ = ["components"]
