@@ -14,11 +14,13 @@ end-of-document strings inside a text are ordinary text; repeated rows are docum
 
 from __future__ import annotations
 
-import os
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,38 +30,55 @@ from refrain.llm.common import written
 BLOCK_TOKENS = 65_536
 #: Blocks of one file that a scan of the first level goes over.
 RUN_BLOCKS = 1_024
-END = "<|endoftext|>"
 
-_tokenizers: dict[str, object] = {}
+#: White-space runs that are merged by themselves.
+LONG_BLANK = regex.compile(r"\p{White_Space}{2000,}+")
 
+_encoders: dict[str, tiktoken.Encoding] = {}
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
-    return _tokenizers[path]
+def encoder(path: str, pattern: str) -> tiktoken.Encoding:
+    """Byte-level BPE of a rank file; ``pattern`` cuts a text into pieces."""
+    if path not in _encoders:
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        _encoders[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path]
 
 
-def end_id(path: str, end: str = END) -> int:
-    return _tokenizer(path).token_to_id(end)
+def encode(model: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text as ordinary text, whatever its length.
+
+    The library's pattern overflows on white-space runs of very great length. Such a run is one piece but
+    for its last character, which belongs to what follows, so it is merged by itself.
+    """
+    out, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        out += model.encode_ordinary(text[at : run.start()])
+        at = run.end() - (run.end() < len(text))
+        out += model._encode_single_piece(text[run.start() : at])
+    return out + model.encode_ordinary(text[at:])
+
+
+def end_id(path: str) -> int:
+    """The end-of-document id: the first one that the rank file leaves free."""
+    with open(path, "rb") as file:
+        return sum(1 for _ in file)
 
 
-def write_blocks(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text",
+def write_blocks(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
                  block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(blocks, order): each partition of the documents as one flat file of 32-bit ids, cut every ``block_tokens``
     whatever stands there, and beside it which document is the how-manieth of its file."""
     end = end_id(path)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, file = _tokenizer(path), TaskContext.get().partitionId()
+        model, file = encoder(path, pattern), TaskContext.get().partitionId()
         open_ids, block, place = np.zeros(0, "<u4"), 0, 0
         for part in parts:
             for at in range(0, len(part), 128):
                 some = part.iloc[at : at + 128]
-                flat = [np.array(e.ids + [end], "<u4") for e in tokenizer.encode_batch(some.text.tolist(), add_special_tokens=False)]
+                flat = [np.array([*encode(model, text), end], "<u4") for text in some.text]
                 yield pd.DataFrame({"file": file, "block": None, "ids": None, "place": np.arange(place, place + len(some)), "doc_id": some.doc_id})
                 place += len(some)
                 open_ids = np.concatenate([open_ids, *flat])
@@ -128,8 +147,8 @@ def document_counts(blocks: DataFrame, end: int, block_tokens: int = BLOCK_TOKEN
     return whole.unionByName(rest)
 
 
-def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens of every document, read off the token files that its texts are written to."""
-    blocks, order = write_blocks(docs, path, id_column, text_column, block_tokens)
+    blocks, order = write_blocks(docs, path, pattern, id_column, text_column, block_tokens)
     counts = document_counts(blocks, end_id(path), block_tokens)
     return order.join(counts, ["file", "place"]).select("doc_id", "file", "place", "start", "n_tokens")

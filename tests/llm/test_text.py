@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 
 from refrain.llm import bpe_speculate, decontaminate_pigeonhole, html_crf, token_files
 
-WORD_BPE, BYTE_BPE = (str(public_tokenizers.path(x)) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+WORD_BPE, BYTE_BPE, BYTE_RANKS = (str(public_tokenizers.path(x)) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+PATTERN = public_tokenizers.PATTERN
 
 
 @pytest.fixture(scope="module")
@@ -92,11 +93,19 @@ def test_token_counts(spark, block_tokens):
     library = Tokenizer.from_file(BYTE_BPE)
     library.encode_special_tokens = True
     expected = sorted((r["doc_id"] or -1, len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
-    blocks, order = token_files.write_blocks(docs, BYTE_BPE, block_tokens=block_tokens)
-    counts = token_files.document_counts(blocks, token_files.end_id(BYTE_BPE), block_tokens, run_blocks=3)
+    blocks, order = token_files.write_blocks(docs, BYTE_RANKS, PATTERN, block_tokens=block_tokens)
+    counts = token_files.document_counts(blocks, token_files.end_id(BYTE_RANKS), block_tokens, run_blocks=3)
     found = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in order.join(counts, ["file", "place"]).collect())
     assert found == expected
-    assert token_files.count_tokens(plain.empty(spark), BYTE_BPE).count() == 0
+    assert token_files.count_tokens(plain.empty(spark), BYTE_RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 5_000 + "y", " " * 1_000_000, "\n" * 9_000 + "z", "a\n" + " \t" * 3_000 + "\n b", "a" * 100_000, "end" + " " * 4_000])
+def test_encoding_of_long_runs(text):
+    library = Tokenizer.from_file(BYTE_BPE)
+    expected = library.encode(text, add_special_tokens=False).ids if len(text) < 200_000 else None
+    ids = token_files.encode(token_files.encoder(BYTE_RANKS, PATTERN), text)
+    assert ids == expected if expected is not None else token_files.encoder(BYTE_RANKS, PATTERN).decode(ids) == text
 
 
 def test_flat_files_and_unfinished_documents(spark, tmp_path):
