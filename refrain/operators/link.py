@@ -439,12 +439,13 @@ def link_near(
     by_id = dump.select("*", F.explode("artist_ids").alias("artist_id")).join(
         members.select("artist_id").distinct(), "artist_id", "left_semi"
     )
-    keys = by_id.select("key").distinct().withColumn("head", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("key") - 1, F.lit(1))),
-        lambda n: F.substring(F.col("key"), F.lit(1), n),
-    ))).join(heads.select("head").distinct(), "head", "left_semi").withColumn(
-        "rest", F.substring(F.col("key"), F.length("head") + 1, F.length("key"))
-    ).filter(F.col("rest") != "")
+    # A key is cut only where a credit of its own id's artists can end, not at every letter.
+    cuts = members.join(heads, "artist_key").groupBy("artist_id").agg(F.collect_set(F.length("head")).alias("cuts"))
+    keys = by_id.select("key", "artist_id").distinct().join(cuts, "artist_id").select("key", F.explode("cuts").alias("cut")).filter(
+        F.col("cut") < F.length("key")
+    ).distinct().select("key", F.substring(F.col("key"), F.lit(1), F.col("cut")).alias("head")).join(
+        heads.select("head").distinct(), "head", "left_semi"
+    ).withColumn("rest", F.substring(F.col("key"), F.length("head") + 1, F.length("key")))
     titles = reach.select("title_key", "artist_key").distinct()
     asked = titles.join(heads, "artist_key")
     near = asked.select("head", "title_key").distinct().withColumn("block", F.explode(near_blocks("title_key"))).join(
