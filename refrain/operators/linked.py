@@ -37,9 +37,9 @@ def _state(edges: DataFrame, scope: tuple[str, ...]) -> tuple:
 
 
 def _salted(edges: DataFrame, least: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """edges (u, v) with the m of their u."""
+    """edges (u, v) with the m of their u; merged, since the planner's size of ``least`` leaves out the parts."""
     parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("part", F.pmod(F.hash("v"), F.lit(SALTS))).join(parts, [*scope, "u", "part"])
+    return edges.withColumn("part", F.pmod(F.hash("v"), F.lit(SALTS))).join(parts.hint("merge"), [*scope, "u", "part"])
 
 
 def _large_star(edges: DataFrame, scope: tuple[str, ...]) -> DataFrame:
