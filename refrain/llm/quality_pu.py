@@ -2,7 +2,7 @@
 
 Trusted positives are rows labelled good, the unlabelled side is web text as it comes. With the class
 prior p the risk is p * E+[loss(g)] + max(0, Eu[loss(-g)] - p * E+[loss(-g)]): when the second part would
-fall below zero the network has begun to learn single rows, and the step goes against it instead. The
+fall below zero the network has begun to learn single rows, and a smaller step goes against it instead. The
 prior is estimated as the share of trusted positives among the labelled learning rows; where only
 positives are labelled, pass one.
 
@@ -27,6 +27,8 @@ from refrain.llm.words import Words, chunks
 POSITIVE_ROWS = 8_000
 UNLABELLED_ROWS = 16_000
 HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1_500, 512, 0.01, 1e-4
+#: How much of a step is taken against a negative part below zero.
+CORRECTION = 0.2
 MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 N_FEATURES = len(MARKS) + 17
 
@@ -130,8 +132,8 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed
             grad[:BATCH] = prior * ((s[:BATCH] - 1) - s[:BATCH]) / BATCH
             grad[BATCH:] = s[BATCH:] / BATCH
         else:
-            grad[:BATCH] = prior * s[:BATCH] / BATCH
-            grad[BATCH:] = -s[BATCH:] / BATCH
+            grad[:BATCH] = CORRECTION * prior * s[:BATCH] / BATCH
+            grad[BATCH:] = -CORRECTION * s[BATCH:] / BATCH
         back = np.outer(grad, w[2]) * (hidden > 0)
         grads = [x.T @ back + DECAY * w[0], back.sum(0), hidden.T @ grad + DECAY * w[2], grad.sum()]
         rate = RATE * (1 if step < STEPS * 0.6 else 0.2)

@@ -16,7 +16,7 @@ def _held_out(spark, query, column):
 
 def test_quality_on_held_out_rows(spark):
     rows = _held_out(spark, queries.op4_quality, "quality")
-    assert (rows.predicted == rows.quality).mean() > 0.93
+    assert (rows.predicted == rows.quality).mean() > 0.95
     assert rows.score.between(0, 1).all()
     assert ((rows.score >= 0.3).astype(int) == rows.predicted).all()
 
