@@ -105,7 +105,8 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
     return out
 
 
-def _chunk(texts: list[bytes], words: np.ndarray, width: int) -> np.ndarray:
+def _placed(texts: list[bytes], words: np.ndarray, width: int) -> tuple:
+    """One buffer of the texts, the shingles of each, and of every shingle the text, where it starts and how long it is."""
     data = np.frombuffer(b" ".join(texts) + b" " * 9, np.uint8)
     stops = np.flatnonzero(data == 32)[: int(words.sum())]
     starts = np.concatenate([[0], stops[:-1] + 1])
@@ -113,10 +114,27 @@ def _chunk(texts: list[bytes], words: np.ndarray, width: int) -> np.ndarray:
     doc = np.repeat(np.arange(len(texts)), shingles)
     first = np.arange(len(doc)) + np.repeat(np.cumsum(words) - words - (np.cumsum(shingles) - shingles), shingles)
     last = first + np.minimum(words, width)[doc] - 1
+    return data, shingles, doc, starts[first], stops[last] - starts[first]
+
+
+def shingle_hashes(texts: list[str | None], width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The text's place and the hash of every shingle of every text; a text without words has one, the empty one."""
+    words = [(text or "").encode("utf-8", "surrogatepass").lower().split() for text in texts]
+    some = [k for k, w in enumerate(words) if w]
+    blank = np.array([k for k, w in enumerate(words) if not w], np.int64)
+    none = np.full(len(blank), xxhash.xxh64_intdigest(b"", SEED), np.uint64)
+    if not some:
+        return blank, none
+    data, _, doc, start, size = _placed([b" ".join(words[k]) for k in some], np.array([len(words[k]) for k in some]), width)
+    return np.concatenate([np.array(some)[doc], blank]), np.concatenate([xxh64_slices(data, start, size), none])
+
+
+def _chunk(texts: list[bytes], words: np.ndarray, width: int) -> np.ndarray:
+    data, shingles, doc, start, size = _placed(texts, words, width)
     ones = np.zeros((len(texts), 64), np.int64)
     for at in range(0, len(doc), CHUNK_SHINGLES):
-        f, t, d = first[at : at + CHUNK_SHINGLES], last[at : at + CHUNK_SHINGLES], doc[at : at + CHUNK_SHINGLES]
-        h = xxh64_slices(data, starts[f], stops[t] - starts[f])
+        f, t, d = start[at : at + CHUNK_SHINGLES], size[at : at + CHUNK_SHINGLES], doc[at : at + CHUNK_SHINGLES]
+        h = xxh64_slices(data, f, t)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         ones[d[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
