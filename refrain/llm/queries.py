@@ -11,13 +11,17 @@ from refrain.llm import (
     exact_cuckoo,
     html_crf,
     language_kneser_ney,
+    parens_trie,
+    permuterm,
     quality_pu,
+    rare_digest,
     simhash_vantage,
     substring_levels,
     token_files,
     toxicity_ftrl,
 )
 from refrain.llm.common import checksum_bucket, table
+from refrain.llm.queries_sql import OP12_SQL, OP13_SQL
 
 QUALITY_THRESHOLD = 0.3
 TOXIC_THRESHOLD = 0.7
@@ -108,6 +112,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (checksum_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_rare_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_digest.fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parens_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, tuple] = {
     "op1_main_text": (op1_main_text, None),
     "op2_simhash_near": (op2_simhash_near, None),
@@ -119,4 +135,7 @@ QUERIES: dict[str, tuple] = {
     "op8_benchmark_leaks": (op8_benchmark_leaks, None),
     "op9_bpe_roundtrip": (op9_bpe_roundtrip, None),
     "op10_language": (op10_language, None),
+    "op11_rare_digest": (op11_rare_digest, None),
+    "op12_spelling_forms": (op12_spelling_forms, OP12_SQL),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
