@@ -4,8 +4,7 @@ Two ways to choose are offered. ``total_order`` is a plain lexicographic minimum
 under any partitioning. ``fold`` keeps the order-dependent displacement rules: candidates
 arrive in dump order and each may or may not push out the one held. The fold first settles
 every song whose best class of candidates cannot be displaced, from per-class minima alone;
-only the rest are replayed row by row, and long replays are cut into row ranges whose effect
-is summarised separately and then chained.
+only the rest are replayed, in blocks of rows whose effect is summarised and then chained.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
@@ -26,8 +24,8 @@ ENTRY = [
     "rank", "how", "rewrites", "proposed", "why", "from", "language", "venue_artist", "proposal_artist",
 ]
 ROW = ["row_no", "recording_id", "credit", "artist_ids", "recording", "release", "score"]
-REPLAY_LIMIT = 20_000
-RANGE_ROWS = 500_000
+#: Candidates of one song that are folded together before summaries are chained; it decides the cost only.
+BLOCK_ROWS = 48
 
 
 def how_index(how: Column) -> Column:
@@ -144,144 +142,141 @@ def settled_by_class(classes: DataFrame) -> DataFrame:
     ).select("post_id", "m.*")
 
 
-def replay(candidates: DataFrame) -> DataFrame:
-    """Row-by-row fold per post, in (pass, row_no, proposed) order, as one native aggregate."""
-    rows = with_credit_flags(candidates)
-    payload = [c for c in candidates.columns if c != "post_id"]
-    step = F.struct(
-        F.struct("pass", "row_no", F.col("proposed").cast("int").alias("p")).alias("seq"),
-        *[F.col(f"`{c}`") for c in dict.fromkeys(payload + STEP)],
+def _kind(e: Column) -> Column:
+    """All that decides between two candidates but the quality, as one value."""
+    return F.concat_ws(",", *[e[c].cast("int").cast("string") for c in STEP[:-1]])
+
+
+def _steps(candidates: DataFrame) -> DataFrame:
+    """post_id and n (kind, what decides, and the row's place) for every candidate."""
+    rows = with_credit_flags(candidates).withColumn("quality", F.col("quality").cast("double"))
+    decides = F.struct(*[F.col(c) for c in STEP])
+    place = F.struct(F.col("pass").cast("int").alias("pass"), "row_no", F.col("proposed").cast("int").alias("put"))
+    return rows.select("post_id", place.alias("place"), _kind(decides).alias("kind"), decides.alias("n"))
+
+
+def _blocks(steps: DataFrame, block_rows: int) -> DataFrame:
+    """post_id, block (0, 1, ... per post in order), steps: at most ``block_rows`` candidates each, in order.
+
+    A range of (post, place) is numbered where it lies, so the candidates of one post never meet in one place.
+    """
+    ranged = cut_lineage(steps.repartitionByRange("post_id", "place").withColumn("part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("part", "post_id").orderBy("place")) - 1
+    blocks = ranged.withColumn("local", F.floor(inside / block_rows)).groupBy("post_id", "part", "local").agg(
+        F.array_sort(F.collect_list(F.struct("place", "kind", "n"))).alias("steps")
     )
-    kind = rows.select(step.alias("s")).schema["s"].dataType
-    gathered = rows.groupBy("post_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    held = F.aggregate("steps", F.lit(None).cast(kind), lambda e, n: F.when(accepts(e, n), n).otherwise(e))
-    return gathered.select("post_id", held.alias("m")).select("post_id", *[F.col(f"m.`{c}`") for c in payload])
-
-
-def _accepts_plain(e: tuple, e_quality: float, n: tuple, n_quality: float) -> bool:
-    """``accepts`` on KIND tuples, for the row-range summaries."""
-    e_rank, e_how, _, e_live, e_variant, e_venue, _, _, e_has, _ = e
-    n_rank, n_how, n_put, n_live, n_variant, n_venue, n_named, n_inside, n_has, n_attributed = n
-    e_clean, n_clean = not (e_live or e_variant), not (n_live or n_variant)
-    if (e_has and not n_has and n_venue and not n_named) or (e_clean and not n_clean):
-        return False
-    return bool(
-        (e_live and n_clean)
-        or (e_variant and not n_variant and (n_rank <= e_rank + 1 or n_put))
-        or (n_clean and n_quality < e_quality and n_rank <= e_rank)
-        or (n_how < e_how and (n_clean or n_put))
-        or (n_attributed and e_venue and (n_named or n_inside))
-        or (n_rank, n_how, n_quality) < (e_rank, e_how, e_quality)
+    sizes = ranged.groupBy("post_id", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("post_id").orderBy("part")) - F.col("size")
+    total = F.sum("size").over(Window.partitionBy("post_id"))
+    starts = sizes.select("post_id", "part", before.alias("before"), total.alias("blocks"))
+    return blocks.join(starts, ["post_id", "part"]).select(
+        "post_id", (F.col("before") + F.col("local")).alias("block"), "blocks", "steps"
     )
 
 
-def _kind(text: str) -> tuple:
-    return tuple(int(part) for part in text.split(","))
+def _held(e: Column) -> Column:
+    return F.struct(e["place"].alias("place"), e["kind"].alias("kind"), e["n"]["quality"].alias("quality"))
 
 
-def _range_effect(frame: pd.DataFrame) -> pd.DataFrame:
-    """What one run of candidates does to whatever is held when it starts.
+def _with_ends(steps: Column, kind: str) -> Column:
+    """Every step of a block with the row that is held at the block's end once this one is."""
+    def prepended(seen: Column, e: Column) -> Column:
+        taker = F.get(F.filter(seen, lambda later: accepts(e["n"], later["n"])), F.lit(0))
+        entry = F.struct(e["n"].alias("n"), F.coalesce(taker["end"], _held(e)).alias("end"))
+        return F.concat(F.array(entry), seen)
+
+    return F.aggregate(F.reverse(steps), F.array().cast(kind), prepended)
 
-    The outcome depends on the held quality only through comparisons, so per kind it is a
-    step function. Starts that hold the same row from some point on are carried as one group,
-    which keeps the work near one comparison per row.
-    """
-    frame = frame.sort_values(["row_no", "put"])
-    steps = list(zip(frame["kind"], frame["quality"]))
-    parsed = {text: _kind(text) for text in {*frame["kind"], *frame["kinds"].iloc[0]}}
-    untouched = {text: float("inf") for text in frame["kinds"].iloc[0]}
-    groups: dict[int, list] = {0: [(None, None, None)]}
-    for at, (text, quality) in enumerate(steps):
-        n = parsed[text]
-        moved = [] if at else groups.pop(0)
-        for held in [h for h in groups if _accepts_plain(parsed[steps[h][0]], steps[h][1], n, quality)]:
-            moved += groups.pop(held)
-        for kind, ceiling in untouched.items():
-            if ceiling == float("-inf"):
-                continue
-            if _accepts_plain(parsed[kind], float("-inf"), n, quality):
-                floor = float("-inf")
-            elif quality < ceiling and _accepts_plain(parsed[kind], float("inf"), n, quality):
-                floor = quality
-            else:
-                continue
-            moved.append((kind, floor, ceiling))
-            untouched[kind] = floor
-        if moved:
-            groups[at] = moved
-    out = []
-    for held, intervals in groups.items():
-        row = frame.iloc[held]
-        for kind, floor, ceiling in intervals:
-            out.append((row["post_id"], row["pass"], row["stretch"], kind, floor, ceiling, row["kind"],
-                        row["quality"], row["row_no"], row["put"]))
-    return pd.DataFrame(out, columns=[name for name, _ in EFFECT])
-
-
-def _chain_effects(frame: pd.DataFrame) -> pd.DataFrame:
-    """Run the range effects of one post in order, starting from nothing held."""
-    held = None
-    for _, stretch in frame.sort_values(["pass", "stretch"]).groupby(["pass", "stretch"], sort=True):
-        if held is None:
-            hit = stretch[stretch["held_kind"].isna()]
-        else:
-            hit = stretch[
-                (stretch["held_kind"] == held["kind"])
-                & (stretch["floor"] < held["quality"]) & (held["quality"] <= stretch["ceiling"])
-            ]
-        if len(hit):
-            held = hit.iloc[0]
-    return pd.DataFrame([{
-        "post_id": held["post_id"], "pass": held["pass"], "row_no": held["row_no"], "proposed": bool(held["put"]),
-    }])
-
-
-EFFECT = [
-    ("post_id", "long"), ("pass", "int"), ("stretch", "long"), ("held_kind", "string"), ("floor", "double"),
-    ("ceiling", "double"), ("kind", "string"), ("quality", "double"), ("row_no", "long"), ("put", "int"),
-]
 
+def block_effects(blocks: DataFrame) -> DataFrame:
+    """post_id, block, kind, floor, ceiling, end: what a block does to whatever is held when it starts.
 
-def replay_long(candidates: DataFrame, stretch_rows: int = RANGE_ROWS) -> DataFrame:
-    """``replay`` for songs with very many candidates: row ranges in parallel, then chained."""
-    rows = with_credit_flags(candidates).select(
-        F.col("post_id").cast("long").alias("post_id"), F.col("pass").cast("int").alias("pass"), "row_no",
-        F.floor(F.col("row_no") / stretch_rows).alias("stretch"),
-        F.concat_ws(",", *[F.col(c).cast("int").cast("string") for c in STEP[:-1]]).alias("kind"),
-        F.col("quality").cast("double").alias("quality"), F.col("proposed").cast("int").alias("put"),
+    A held candidate of ``kind`` and a quality in (floor, ceiling] ends as the row ``end``; where no interval holds
+    it, it stays. Kind and quality decide alone, and the quality only by comparison: of one kind, a step takes over
+    from every quality, from all higher than its own, or from none. The empty kind is nothing held yet.
+    """
+    every, low, high = F.lit(""), F.lit(float("-inf")), F.lit(float("inf"))
+    element = blocks.select(F.transform("steps", lambda e: F.struct(e["n"].alias("n"), _held(e).alias("end"))).alias("s")).schema["s"].dataType.simpleString()
+    known = blocks.filter("blocks > 1").select("post_id", F.explode("steps").alias("e")).groupBy("post_id").agg(
+        F.collect_set(F.struct(F.col("e.kind").alias("kind"), F.struct(*[F.col(f"e.n.{c}").alias(c) for c in STEP[:-1]]).alias("n"))).alias("kinds")
     )
-    kinds = rows.groupBy("post_id").agg(F.collect_set("kind").alias("kinds"))
-    effects = rows.join(kinds, "post_id").groupBy("post_id", "pass", "stretch").applyInPandas(
-        _range_effect, ", ".join(f"{n} {t}" for n, t in EFFECT)
+    ended = blocks.select("post_id", "block", _with_ends(F.col("steps"), element).alias("ends"))
+    first = ended.filter("block = 0").select(
+        "post_id", "block", every.alias("kind"), low.alias("floor"), high.alias("ceiling"), F.col("ends")[0]["end"].alias("end")
     )
-    winners = effects.groupBy("post_id").applyInPandas(
-        _chain_effects, "post_id long, pass int, row_no long, proposed boolean"
+
+    def at(k: Column, quality: Column) -> Column:
+        return F.struct(*[k["n"][c].alias(c) for c in STEP[:-1]], quality.alias("quality"))
+
+    kind = first.select(F.struct("floor", "ceiling", "end").alias("s")).schema["s"].dataType.simpleString()
+
+    def taken(k: Column) -> Column:
+        def step(state: Column, e: Column) -> Column:
+            always = accepts(at(k, low), e["n"])
+            below = accepts(at(k, high), e["n"]) & (e["n"]["quality"] < state["open"])
+            floor = F.when(always, low).otherwise(e["n"]["quality"])
+            more = F.struct(floor.alias("floor"), state["open"].alias("ceiling"), e["end"].alias("end"))
+            moved = F.struct(floor.alias("open"), F.concat(state["taken"], F.array(more)).alias("taken"))
+            return F.when((state["open"] > low) & (always | below), moved).otherwise(state)
+
+        return F.aggregate("ends", F.struct(high.alias("open"), F.array().cast(f"array<{kind}>").alias("taken")), step)["taken"]
+
+    of_kinds = ended.filter("block > 0").join(known, "post_id").select("post_id", "block", F.explode("kinds").alias("k"), "ends")
+    rest = of_kinds.select("post_id", "block", F.col("k.kind").alias("kind"), F.explode(taken(F.col("k"))).alias("t"))
+    return first.unionByName(rest.select("post_id", "block", "kind", "t.floor", "t.ceiling", "t.end"))
+
+
+def chained(effects: DataFrame) -> DataFrame:
+    """The effects of neighbouring blocks as those of one block: first the even one, then the odd one after it."""
+    paired = effects.withColumn("pair", F.floor(F.col("block") / 2))
+    first, then = (paired.filter(F.col("block") % 2 == k).drop("block") for k in (0, 1))
+    after = then.select("post_id", "pair", *[F.col(c).alias(f"then_{c}") for c in ("kind", "floor", "ceiling", "end")])
+    inside = (F.col("then_floor") < F.col("end.quality")) & (F.col("end.quality") <= F.col("then_ceiling"))
+    same = [first["post_id"] == after["post_id"], first["pair"] == after["pair"], first["end"]["kind"] == after["then_kind"], inside]
+    went_on = first.join(after, reduce(Column.__and__, same), "left").select(
+        first["post_id"], first["pair"], "kind", "floor", "ceiling", F.coalesce("then_end", "end").alias("end")
     )
-    return candidates.join(winners, ["post_id", "pass", "row_no", "proposed"]).select(*candidates.columns)
+    least = first.groupBy("post_id", "pair", "kind").agg(F.min("floor").alias("open"))
+    ceiling = F.least("ceiling", F.coalesce("open", F.lit(float("inf"))))
+    untouched = then.join(least, ["post_id", "pair", "kind"], "left").withColumn("ceiling", ceiling).filter("floor < ceiling").drop("open")
+    both = went_on.unionByName(untouched).withColumnRenamed("pair", "block")
+    # Neighbouring intervals that end alike are one.
+    order = Window.partitionBy("post_id", "block", "kind").orderBy(F.desc("ceiling"))
+    begins = F.coalesce((F.lag("end").over(order) != F.col("end")) | (F.lag("floor").over(order) != F.col("ceiling")), F.lit(True))
+    runs = both.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    return runs.groupBy("post_id", "block", "kind", "run").agg(
+        F.min("floor").alias("floor"), F.max("ceiling").alias("ceiling"), F.first("end").alias("end")
+    ).drop("run")
+
+
+def replay(candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The fold of any number of candidates per post, in (pass, row_no, proposed) order.
+
+    Blocks of rows are summarised apart, and neighbouring summaries chained, twice as many rows each round, until one
+    block per post is left; what it makes of nothing held is the winner.
+    """
+    blocks = cut_lineage(_blocks(_steps(candidates), block_rows))
+    effects, most = cut_lineage(block_effects(blocks)), blocks.agg(F.max("block")).first()[0] or 0
+    while most:
+        effects, most = cut_lineage(chained(effects)), most // 2
+    won = effects.filter("kind = ''").select("post_id", "end.place.*")
+    same = (candidates["post_id"] == won["post_id"]) & (candidates["pass"] == won["pass"]) & (candidates["row_no"] == won["row_no"]) & (
+        candidates["proposed"].cast("int") == won["put"])
+    return candidates.join(won, same, "left_semi")
 
 
 def best_by_fold(
-    classes: DataFrame, rows_of: Callable[[DataFrame], DataFrame], replay_limit: int = REPLAY_LIMIT,
-    stretch_rows: int = RANGE_ROWS,
+    classes: DataFrame, rows_of: Callable[[DataFrame], DataFrame], block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ordered displacement fold over any number of candidates.
 
     ``classes`` is the per-class digest with ``seen`` rows behind each entry; ``rows_of`` returns
-    the full candidates of the posts it is given and is only evaluated for unsettled ones.
+    the full candidates of the posts it is given: those that the classes alone do not settle.
     """
     classes = cut_lineage(classes)
-    settled = settled_by_class(classes)
-    unsettled = cut_lineage(classes.groupBy("post_id").agg(F.sum("seen").alias("seen")).join(
-        settled.select("post_id"), "post_id", "left_anti"
-    ))
-    found = [settled]
-    for chosen, refold in (
-        (unsettled.filter(F.col("seen") <= replay_limit), replay),
-        (unsettled.filter(F.col("seen") > replay_limit), lambda rows: replay_long(rows, stretch_rows)),
-    ):
-        if not chosen.isEmpty():
-            found.append(refold(rows_of(chosen.select("post_id"))))
-    return reduce(DataFrame.unionByName, found)
+    settled = cut_lineage(settled_by_class(classes))
+    unsettled = cut_lineage(classes.select("post_id").distinct().join(settled.select("post_id"), "post_id", "left_anti"))
+    return settled.unionByName(replay(cut_lineage(rows_of(unsettled)), block_rows))
 
 
 def best_match(

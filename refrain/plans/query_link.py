@@ -223,6 +223,75 @@ fold AS (
 SELECT post_id, row_no, rank, {HOW_NAMES}[how + 1] AS how FROM fold
 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY n DESC) = 1"""
 
+# The whole match with the ordered fold and proposals: every step sees the row held and the next one.
+_PUT = f"""put AS MATERIALIZED (SELECT * FROM ({standins.sql(standins.PROPOSALS)}) WHERE why IS NOT NULL)"""
+_ENTRIES = """entries AS MATERIALIZED (SELECT post_id, key, rank, rewrites, false AS proposed FROM wanted
+    UNION ALL SELECT post_id, key, 99, rewrites, true FROM putkeys)"""
+_ASKED_BY_ENTRY = ASKED.replace("FROM wanted", "FROM entries").replace("w.rewrites", "w.rewrites, w.proposed")
+FOLD_FIELDS = f"{FIELDS}, proposed"
+
+
+def fold_sql(name: str, source: str) -> str:
+    """CTEs for the ordered fold of rows (FOLD_FIELDS and pass) into one per post."""
+    state = ["rank", "how", "live", "variant", "quality", "row_no", "pass", "proposed", "on_venue"]
+    venue, put, credit = key("c.artist"), key("p.artist"), key("s.credit")
+    return f"""
+{name}_steps AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY s.post_id ORDER BY pass, row_no, proposed) AS n,
+    {venue} <> '' AND contains({credit}, substring({venue}, 1, 12)) AS on_venue,
+    coalesce(contains({credit}, substring({put}, 1, 12)), false) AS on_put, coalesce(contains(substring({put}, 1, 12), {credit}), false) AS in_put,
+    proposed AND {venue} <> '' AND {put} <> '' AND {venue} <> {put} AS attributed
+    FROM ({source}) s JOIN cat c USING (post_id) LEFT JOIN put p USING (post_id)),
+{name}_fold AS (SELECT post_id, n, {', '.join(state)} FROM {name}_steps WHERE n = 1
+    UNION ALL
+    SELECT e.post_id, n.n, {', '.join(f'CASE WHEN ok THEN n.{c} ELSE e.{c} END' for c in state)}
+    FROM {name}_fold e JOIN {name}_steps n ON n.post_id = e.post_id AND n.n = e.n + 1,
+    LATERAL (SELECT NOT (e.live OR e.variant) AS e_clean, NOT (n.live OR n.variant) AS n_clean) k,
+    LATERAL (SELECT NOT (e.proposed AND NOT n.proposed AND n.on_venue AND NOT n.on_put) AND NOT (e_clean AND NOT n_clean) AND (
+        (e.live AND n_clean) OR (e.variant AND NOT n.variant AND (n.rank <= e.rank + 1 OR n.proposed))
+        OR (n_clean AND n.quality < e.quality AND n.rank <= e.rank) OR (n.how < e.how AND (n_clean OR n.proposed))
+        OR (n.attributed AND e.on_venue AND (n.on_put OR n.in_put))
+        OR n.rank < e.rank OR (n.rank = e.rank AND (n.how < e.how OR (n.how = e.how AND n.quality < e.quality)))) AS ok) x),
+{name} AS MATERIALIZED (SELECT {FOLD_FIELDS} FROM {name}_steps SEMI JOIN
+    (SELECT post_id, pass, row_no, proposed FROM {name}_fold QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY n DESC) = 1)
+    USING (post_id, pass, row_no, proposed))"""
+
+
+def later(source: str, number: int) -> str:
+    """Candidates of a later pass, none of them from a proposal."""
+    return f"SELECT {FIELDS}, false AS proposed, {number} AS pass FROM {source}"
+
+
+def first_hits(name: str, source: str) -> str:
+    return best_sql(name, f"SELECT {FIELDS}, false AS proposed FROM {source}", "row_no")
+
+
+def with_both(a: str, b: str) -> str:
+    return f"SELECT {FOLD_FIELDS} FROM {a} UNION ALL SELECT {FOLD_FIELDS} FROM {b}"
+
+
+ALL_PASSES_FOLD = f"""WITH RECURSIVE {INPUTS}, {WANTED}, {_PUT}, {wanted_sql('putkeys', 'put', 'artist', 'title')}, {_ENTRIES}, {_ASKED_BY_ENTRY},
+{fold_sql('best1', f'SELECT {FOLD_FIELDS}, 1 AS pass FROM candidates')}, {IDS1}, {TITLES},
+{scoped_sql('scoped2', 'SELECT post_id FROM cat WHERE post_id NOT IN (SELECT post_id FROM best1 WHERE NOT live AND NOT variant)', 'ids1')},
+{fold_sql('upgraded', f"""SELECT {FOLD_FIELDS}, 1 AS pass FROM best1 WHERE post_id IN (SELECT post_id FROM scoped2)
+    UNION ALL {later('scoped2', 2)}""")},
+best2 AS MATERIALIZED (SELECT * FROM upgraded UNION ALL SELECT {FOLD_FIELDS} FROM best1 WHERE post_id NOT IN (SELECT post_id FROM upgraded)),
+{collab_sql('collab', left_open('best2'))}, {first_hits('collab1', 'collab')}, best3 AS MATERIALIZED ({with_both('best2', 'collab1')}),
+{title_first_sql('first', left_open('best3'))}, {first_hits('first1', 'first')}, best4 AS MATERIALIZED ({with_both('best3', 'first1')}),
+{learned_sql('ids2', 'best4', f"""
+    UNION ALL SELECT {key('b.credit')}, unnest(string_split(b.ids, ',')) FROM best4 b WHERE b.how = 6""")},
+{scoped_sql('scoped5', left_open('best4'), 'ids2')}, {first_hits('scoped1', 'scoped5')}, best5 AS MATERIALIZED ({with_both('best4', 'scoped1')}),
+{near_pass_sql('near', left_open('best5'), 'best5')}, {fold_sql('near1', later('near', 6))},
+best6 AS MATERIALIZED ({with_both('best5', 'near1')})"""
+# What is published of the matches.
+MATCHED = f"""{ALL_PASSES_FOLD}
+    SELECT c.post_id, b.row_no IS NOT NULL AS matched, b.row_no, {HOW_NAMES}[b.how + 1] AS how, b.credit,
+        CASE WHEN b.row_no IS NULL THEN NULL WHEN p.title IS NOT NULL THEN p.title
+            WHEN b.how = 1 AND b.recording LIKE '% / %' THEN string_split(b.recording, ' / ')[1]
+            ELSE regexp_replace(b.recording, ' \(remix\)$', '') END AS title,
+        CASE WHEN b.row_no IS NOT NULL THEN p."from" END AS "from", CASE WHEN b.row_no IS NOT NULL THEN p.language END AS language,
+        CASE WHEN b.proposed THEN p.why END AS proposed, CASE WHEN b.row_no IS NOT NULL THEN b.how < 8 OR p.why IS NOT NULL END AS trusted
+    FROM cat c LEFT JOIN best6 b USING (post_id) LEFT JOIN put p USING (post_id)"""
+
 WINNER = f"post_id, row_no, rank, {HOW_NAMES}[how + 1] AS how, rewrites, credit, recording"
 
 
@@ -353,5 +422,5 @@ QUERIES = {
         {best_sql('n1', 'SELECT * FROM near')} SELECT {WINNER} FROM n1"""),
     "match_all_passes": (match_all_passes, f"""{ALL_PASSES}
         SELECT post_id, row_no, {HOW_NAMES}[how + 1] AS how, credit, recording FROM best6"""),
-    "match_all_passes_fold": (match_all_passes_fold, None),
+    "match_all_passes_fold": (match_all_passes_fold, MATCHED),
 }

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from refrain.operators import select as sel
@@ -84,20 +85,19 @@ def run(spark, with_proposals, **options):
     assert got == expected(rows)
 
 
-def test_fold_native(spark):
-    run(spark, False)
+@pytest.mark.parametrize("block_rows", [1, 3, 48])
+@pytest.mark.parametrize("with_proposals", [False, True])
+def test_fold_in_blocks_of_any_size(spark, with_proposals, block_rows):
+    run(spark, with_proposals, block_rows=block_rows)
 
 
-def test_fold_native_with_proposals(spark):
-    run(spark, True)
-
-
-def test_fold_in_row_ranges(spark):
-    run(spark, False, replay_limit=2, stretch_rows=25)
-
-
-def test_fold_in_row_ranges_with_proposals(spark):
-    run(spark, True, replay_limit=0, stretch_rows=40)
+def test_fold_of_one_song_with_very_many_candidates(spark):
+    rng = random.Random(9)
+    rows = [{"post_id": 1, "pass": 1, "rank": rng.choice([0, 1, 1, 2, 99]), "how": rng.randint(0, 2), "proposed": False, "venue_artist": None,
+             "proposal_artist": None, "row_no": k, "credit": "Other", "live": rng.random() < 0.9, "variant": rng.random() < 0.9, "quality": 5_000 - k}
+            for k in range(1_500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert [r.row_no for r in sel.replay(df, 20).collect()] == [expected(rows)[1]]
 
 
 def test_settled_posts_need_no_replay(spark):
