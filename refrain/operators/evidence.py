@@ -23,32 +23,59 @@ def song_counts(catalog: DataFrame, artists: DataFrame) -> DataFrame:
     )
 
 
+#: What a candidate tells of itself where the lookup gave it.
+TOLD = {"score": "int", "type": "string", "country": "string", "began": "string", "aliases": "array<string>"}
+
+
+def told(hits: DataFrame) -> DataFrame:
+    """Hits with all fields of a candidate: aliases without repeats, and null for what the lookup left out."""
+    full = hits.withColumns({c: F.lit(None).cast(t) for c, t in TOLD.items() if c not in hits.columns})
+    distinct = F.array_distinct("aliases")
+    return full.withColumns({
+        "disambiguation": F.nullif("disambiguation", F.lit("")), "aliases": F.when(F.size(distinct) > 0, distinct),
+        "placeholder": is_placeholder(F.col("name")), "tribute": is_tribute(F.col("disambiguation")),
+    })
+
+
 def candidates_for(strings: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
-    """Top k candidate entities per string, flagged as placeholder or tribute.
+    """Top k candidate entities per string with what they tell, flagged as placeholder or tribute.
 
-    ``hits``: query, hit_rank, artist_id, name, disambiguation; ``strings``: artist.
+    ``hits``: query, hit_rank, artist_id, name, disambiguation and any of TOLD; ``strings``: artist.
     """
     asked = hits.join(strings.select(F.col("artist").alias("query")).distinct(), "query", "left_semi")
-    ranked = top_k(asked, ["query"], [F.col("hit_rank")], k)
+    ranked = top_k(told(asked), ["query"], [F.col("hit_rank")], k)
     return ranked.select(
-        F.col("query").alias("artist"), "artist_id", "name", "hit_rank",
-        is_placeholder(F.col("name")).alias("placeholder"), is_tribute(F.col("disambiguation")).alias("tribute"),
+        F.col("query").alias("artist"), "artist_id", "name", "hit_rank", "placeholder", "tribute", "disambiguation", *TOLD
     )
 
 
+def best_recordings(recordings: DataFrame) -> DataFrame:
+    """(artist_id, song, hit, hit_score, hit_date): the best hit of each title asked of each artist."""
+    full = recordings.withColumns({
+        c: F.lit(None).cast(t) for c, t in (("score", "int"), ("first_released", "string")) if c not in recordings.columns
+    })
+    return full.groupBy("artist_id", F.col("query").alias("song")).agg(
+        F.min_by(F.struct("title", "score", "first_released"), "hit_rank").alias("b")
+    ).select("artist_id", "song", F.col("b.title").alias("hit"), F.col("b.score").alias("hit_score"), F.col("b.first_released").alias("hit_date"))
+
+
 def title_checks(candidates: DataFrame, titles: DataFrame, recordings: DataFrame) -> DataFrame:
     """(artist, artist_id, song, found, hit, loose): does each candidate have each sampled title.
 
     ``recordings``: artist_id, query, hit_rank, title, and only the best hit counts.
     """
-    best = recordings.groupBy("artist_id", F.col("query").alias("song")).agg(F.min_by("title", "hit_rank").alias("hit"))
     asked = candidates.select("artist", "artist_id", "placeholder", "tribute").join(titles, "artist")
-    return asked.join(best, ["artist_id", "song"], "left").select(
-        "artist", "artist_id", "placeholder", "tribute", "song", F.col("hit").isNotNull().alias("found"), "hit",
-        F.coalesce(is_loose_hit(F.col("song"), F.col("hit")), F.lit(False)).alias("loose"),
+    return _checked(asked, best_recordings(recordings)).select(
+        "artist", "artist_id", "placeholder", "tribute", "song", "found", "hit", "loose"
     )
 
 
+def _checked(asked: DataFrame, best: DataFrame) -> DataFrame:
+    return asked.join(best, ["artist_id", "song"], "left").withColumns({
+        "found": F.col("hit").isNotNull(), "loose": F.coalesce(is_loose_hit(F.col("song"), F.col("hit")), F.lit(False))
+    })
+
+
 def corroborated(checks: DataFrame) -> DataFrame:
     """(artist, corroborated): any real candidate with a clean title hit."""
     clean: Column = ~F.col("placeholder") & ~F.col("tribute") & F.col("found") & ~F.col("loose")
@@ -72,24 +99,64 @@ def title_only(checks: DataFrame, titles: DataFrame, hits: DataFrame, k: int = 5
     return open_titles.join(best.select(F.col("query").alias("song"), "hit_rank", "title", "artists"), "song")
 
 
+#: Candidates looked at for a string's fragment; one title is enough for these.
+FRAGMENT_CANDIDATES = 2
+_WHOLE = -1
+
+
+def _asks(artists: DataFrame) -> DataFrame:
+    """(artist, place, query): each string as a whole, and each of its fragments."""
+    whole = artists.select("artist", F.lit(_WHOLE).alias("place"), F.col("artist").alias("query")).distinct()
+    return whole.unionByName(split_fragments(artists.select("artist").distinct()).withColumnRenamed("fragment", "query"))
+
+
+def _in_order(c: str, *fields: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(c, *fields)))
+
+
 def collect_evidence(
-    artists: DataFrame, catalog: DataFrame, hits: DataFrame, recordings: DataFrame, k: int = 3, titles: int = 3
+    artists: DataFrame, catalog: DataFrame, hits: DataFrame, recordings: DataFrame, title_hits: DataFrame | None = None,
+    k: int = 3, titles: int = 3,
 ) -> DataFrame:
-    """One nested row per artist string: song count, sampled titles, candidates with title checks."""
+    """One nested row per artist string that the catalogue holds.
+
+    songs (number), sampled_titles, candidates with their title checks, fragments (of strings that may name several
+    artists) with candidates and the first title's check, corroborated, and title_only: where nothing corroborates the
+    string, who else recorded its titles (``title_hits``: query, hit_rank, title, artists).
+
+    Hits are cut to the first few per query before they meet anything, and what is nested is bounded by these
+    numbers and the parts of a string.
+    """
     picked = sampled_titles(catalog, artists, titles)
-    candidates = candidates_for(artists, hits, k)
-    checks = title_checks(candidates, picked, recordings)
-    per_candidate = checks.groupBy("artist", "artist_id").agg(
-        F.array_sort(F.collect_list(F.struct("song", "found", "hit", "loose"))).alias("title_checks")
+    asks = _asks(artists)
+    known = top_k(told(hits.join(asks.select("query").distinct(), "query", "left_semi")), ["query"], [F.col("hit_rank")], max(k, FRAGMENT_CANDIDATES))
+    looked = F.when(F.col("place") == _WHOLE, k).otherwise(FRAGMENT_CANDIDATES)
+    candidates = asks.join(known, "query").filter(F.col("position") <= looked)
+    for_title = picked.select("artist", F.col("place").alias("title_place"), "song")
+    wanted = candidates.select("artist", "place", "position", "artist_id", "placeholder", "tribute").join(for_title, "artist").filter(
+        (F.col("place") == _WHOLE) | (F.col("title_place") == 1)
     )
-    nested = candidates.join(per_candidate, ["artist", "artist_id"], "left").groupBy("artist").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "hit_rank", "artist_id", "name", "placeholder", "tribute", "title_checks"
-        ))).alias("candidates")
+    checks = _checked(wanted, best_recordings(recordings))
+    per_candidate = checks.groupBy("artist", "place", "position").agg(
+        _in_order("title_place", "song", "found", "hit", "hit_score", "hit_date", "loose").alias("title_checks")
     )
-    samples = picked.groupBy("artist").agg(F.array_sort(F.collect_list(F.struct("place", "song"))).alias("s")).select(
-        "artist", F.transform("s", lambda s: s["song"]).alias("sampled_titles")
+    fields = ["artist_id", "name", "disambiguation", *TOLD, "placeholder", "tribute", "title_checks"]
+    per_ask = candidates.join(per_candidate, ["artist", "place", "position"], "left").groupBy("artist", "place").agg(
+        _in_order("position", *fields).alias("candidates")
     )
-    return song_counts(catalog, artists).join(samples, "artist", "left").join(nested, "artist", "left").join(
-        corroborated(checks), "artist", "left"
+    per_string = asks.join(per_ask, ["artist", "place"], "left").groupBy("artist").agg(
+        F.max(F.when(F.col("place") == _WHOLE, F.col("candidates"))).alias("candidates"),
+        F.array_sort(F.collect_list(F.when(F.col("place") > _WHOLE, F.struct("place", F.col("query").alias("fragment"), "candidates")))).alias("fragments"),
+    )
+    samples = picked.groupBy("artist").agg(_in_order("place", "song").alias("s")).select(
+        "artist", F.transform("s", lambda s: s["song"]).alias("sampled_titles")
     )
+    whole = checks.filter(F.col("place") == _WHOLE)
+    rows = song_counts(catalog, artists).join(samples, "artist").join(per_string, "artist", "left").join(
+        corroborated(whole), "artist", "left"
+    ).withColumn("corroborated", F.coalesce("corroborated", F.lit(False)))
+    if title_hits is None:
+        return rows
+    best = title_only(whole, picked, title_hits).groupBy("artist", "song").agg(_in_order("hit_rank", "title", "artists").alias("hits"))
+    others = picked.join(best, ["artist", "song"], "left").groupBy("artist").agg(_in_order("place", "song", "hits").alias("title_only"))
+    return rows.join(others, "artist", "left").withColumn("title_only", F.when(~F.col("corroborated"), F.col("title_only")))

@@ -183,6 +183,7 @@ def same_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.same_entity_checks(pairs, verdicts).withColumn("same", F.col("same").cast("int"))
 
 
+PAIRED = "p_brand || ' & ' || 'Brand#' || CAST(1 + (CAST(substring(p_brand, 7) AS INT) + 3) % 25 AS STRING)"
 ENTITY = "CASE WHEN p_type = 'ECONOMY' THEN '[economy]' ELSE p_type END"
 
 
@@ -218,6 +219,36 @@ def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence on brands and on pairs of brands, told again as one row per part, candidate and title."""
+    e = _evidence(spark, sf_dir)
+    part = standins.table(spark, sf_dir, "part")
+    joint = F.expr(PAIRED)
+    strings = part.select(F.explode(F.array(F.col("p_brand"), joint)).alias("artist")).distinct()
+    catalog = e["catalog"].unionByName(part.select(
+        F.col("p_partkey").alias("post_id"), F.col("p_partkey").alias("id"), joint.alias("artist"), F.col("p_name").alias("song")))
+    hits = e["hits"].withColumns({
+        "score": (F.lit(100) - F.col("hit_rank") % 50).cast("int"), "type": F.when(F.col("hit_rank") % 2 == 0, "Group"), "country": F.lower("artist_id"),
+        "began": F.when(F.col("hit_rank") % 3 == 0, "1970"), "aliases": F.array("name", F.lower("name"), F.col("name")),
+    })
+    others = part.select(F.col("p_name").alias("query"), F.col("p_partkey").alias("hit_rank"), F.upper("p_name").alias("title"), F.col("p_brand").alias("artists"))
+    found = evidence.collect_evidence(strings, catalog, hits, e["recordings"], others)
+    whole = F.struct(F.lit(-1).alias("place"), F.lit(None).cast("string").alias("fragment"), F.col("candidates"))
+    asked = found.select("artist", "songs", "corroborated", F.explode(F.concat(F.array(whole), "fragments")).alias("f"))
+    candidate = asked.select("artist", "songs", "corroborated", F.col("f.place").cast("long").alias("place"), "f.fragment", F.explode_outer("f.candidates").alias("c"))
+    checked = candidate.select(
+        "artist", "songs", "corroborated", "place", "fragment", "c.position", "c.artist_id", "c.name", "c.score", "c.type", "c.country", "c.began",
+        F.array_join("c.aliases", "|").alias("aliases"), F.explode_outer("c.title_checks").alias("t"))
+    fallback = found.select("artist", "songs", "corroborated", F.explode("title_only").alias("o")).select(
+        "artist", "songs", "corroborated", F.col("o.song").alias("song"), F.explode_outer("o.hits").alias("h"))
+    none = {c: F.lit(None).cast(t) for c, t in (("place", "long"), ("fragment", "string"), ("position", "int"), ("artist_id", "string"), ("name", "string"), (
+        "score", "int"), ("type", "string"), ("country", "string"), ("began", "string"), ("aliases", "string"), ("found", "int"), ("loose", "int"))}
+    rows = checked.select("*", "t.song", "t.hit", F.col("t.found").cast("int").alias("found"), F.col("t.loose").cast("int").alias("loose")).drop("t")
+    rows = rows.withColumn("credited", F.lit(None).cast("string"))
+    rest = fallback.select("artist", "songs", "corroborated", "song", F.col("h.title").alias("hit"), F.col("h.artists").alias("credited")).withColumns(none)
+    return rows.unionByName(rest).withColumn("corroborated", F.col("corroborated").cast("int"))
+
+
 def split_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings = standins.catalog(spark, sf_dir).select("artist").distinct()
     return evidence.split_fragments(strings).withColumn("place", F.col("place").cast("long"))
@@ -347,6 +378,31 @@ best AS (SELECT p_type AS artist_id, p_name AS song, arg_min(CASE WHEN p_size %
     FROM part GROUP BY ALL),
 flags AS (SELECT c.artist, c.artist_id, t.song, t.place, b.hit, c.hit_rank, c.placeholder, c.tribute, b.hit IS NOT NULL AS found,
     coalesce(b.hit LIKE 'baby %', false) AS loose FROM candidates c JOIN titles t USING (artist) LEFT JOIN best b USING (artist_id, song))"""
+_NESTED = f"""pairs AS (SELECT *, {PAIRED.replace('STRING', 'VARCHAR')} AS paired FROM part),
+songs AS (SELECT p_partkey, p_brand AS artist, p_name AS song FROM part UNION ALL SELECT p_partkey, paired, p_name FROM pairs),
+n AS (SELECT artist, count(*) AS songs FROM songs GROUP BY artist),
+titles AS (SELECT artist, song, row_number() OVER (PARTITION BY artist ORDER BY p_partkey) AS title_place FROM songs
+    QUALIFY row_number() OVER (PARTITION BY artist ORDER BY p_partkey) <= 3),
+asks AS (SELECT artist, -1 AS place, NULL AS fragment, artist AS query FROM n UNION ALL
+    SELECT artist, generate_subscripts(parts, 1) - 1, unnest(parts), unnest(parts) FROM (SELECT artist, string_split(artist, ' & ') AS parts FROM n WHERE artist LIKE '% & %')),
+ranked AS (SELECT p_brand AS query, p_type AS artist_id, {ENTITY} AS name, min(p_partkey) AS hit_rank,
+    row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) AS position FROM part GROUP BY p_brand, p_type),
+best AS (SELECT p_type AS artist_id, p_name AS song, arg_min(CASE WHEN p_size % 2 = 0 THEN p_name || ' (live)' ELSE 'baby ' || p_name END, p_partkey) AS hit
+    FROM part GROUP BY ALL),
+told AS (SELECT a.artist, a.place, a.fragment, r.position, r.artist_id, r.name, r.hit_rank, t.song, b.hit,
+    CASE WHEN r.name IS NOT NULL THEN b.hit IS NOT NULL END AS found, CASE WHEN r.name IS NOT NULL THEN coalesce(b.hit LIKE 'baby %', false) END AS loose
+    FROM asks a LEFT JOIN ranked r ON r.query = a.query AND r.position <= CASE WHEN a.place = -1 THEN 3 ELSE 2 END
+    LEFT JOIN titles t ON t.artist = a.artist AND r.name IS NOT NULL AND (a.place = -1 OR t.title_place = 1)
+    LEFT JOIN best b ON b.artist_id = r.artist_id AND b.song = t.song),
+sure AS (SELECT artist, coalesce(bool_or(found AND NOT loose AND artist_id NOT IN ('ECONOMY', 'PROMO')) FILTER (place = -1), false) AS corroborated FROM told GROUP BY artist),
+others AS (SELECT p_name AS song, upper(p_name) AS hit, p_brand AS credited FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) <= 5)
+SELECT artist, songs, CAST(corroborated AS INT) AS corroborated, CAST(place AS BIGINT) AS place, fragment, CAST(position AS INT) AS position, artist_id, name,
+    CAST(100 - hit_rank % 50 AS INT) AS score, CASE WHEN hit_rank % 2 = 0 THEN 'Group' END AS type, lower(artist_id) AS country,
+    CASE WHEN hit_rank % 3 = 0 THEN '1970' END AS began, name || CASE WHEN lower(name) <> name THEN '|' || lower(name) ELSE '' END AS aliases,
+    song, hit, CAST(found AS INT) AS found, CAST(loose AS INT) AS loose, NULL::VARCHAR AS credited
+FROM told JOIN n USING (artist) JOIN sure USING (artist)
+UNION ALL SELECT artist, songs, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, song, hit, NULL, NULL, credited
+FROM titles JOIN n USING (artist) JOIN sure USING (artist) LEFT JOIN others USING (song) WHERE NOT corroborated"""
 _CAT = f"cat AS (SELECT * FROM ({standins.sql(standins.CATALOG)}))"
 _ROWS = """rows AS (SELECT page_id, unnest(m) AS m, generate_subscripts(m, 1) - 1 AS place FROM
     (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a>') AS m FROM pages))"""
@@ -413,6 +469,7 @@ QUERIES = {
         c AS (SELECT artist, string_agg(artist_id, '|' ORDER BY hit_rank) AS candidates FROM candidates GROUP BY artist)
         SELECT artist, songs, titles, candidates, max(CAST(found AND NOT loose AND NOT placeholder AND NOT tribute AS INT)) AS corroborated
         FROM flags JOIN n USING (artist) JOIN t USING (artist) JOIN c USING (artist) GROUP BY ALL"""),
+    "evidence_nested": (evidence_nested, f"WITH {_NESTED}"),
     "split_fragments": (split_fragments, f"""WITH {_CAT} SELECT artist, unnest(parts) AS fragment, generate_subscripts(parts, 1) - 1 AS place
         FROM (SELECT DISTINCT artist, list_distinct_ordered AS parts FROM (SELECT artist, CASE WHEN p[1] = p[2] THEN [p[1]] ELSE p END AS list_distinct_ordered
             FROM (SELECT artist, string_split(artist, ' & ') AS p FROM cat WHERE artist LIKE '% & %')))"""),
