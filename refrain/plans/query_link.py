@@ -393,6 +393,16 @@ def match_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.filter("matched").select("post_id", "row_no", "how", "credit", "recording")
 
 
+WORK = f"CASE WHEN p_partkey % 3 = 0 AND p_size NOT IN (5, 6) THEN upper(replace({standins.DUMP[1]['recording']}, ' (remix)', '')) WHEN p_partkey % 3 = 1 THEN 'Entirely different words' END"
+
+
+def match_with_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published titles of the whole match, with the works that the recordings are of."""
+    works = standins.table(spark, sf_dir, "part").selectExpr(f"{standins.DUMP[1]['recording_id']} AS recording_id", f"{WORK} AS title")
+    matches = matching.match_catalog(standins.catalog(spark, sf_dir), standins.dump(spark, sf_dir), works=works, mode="total_order")
+    return matches.filter("matched").select("post_id", "row_no", "how", "recording", "title")
+
+
 def match_all_passes_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole offline match with the ordered fold and proposals."""
     matches = matching.match_catalog(
@@ -422,5 +432,9 @@ QUERIES = {
         {best_sql('n1', 'SELECT * FROM near')} SELECT {WINNER} FROM n1"""),
     "match_all_passes": (match_all_passes, f"""{ALL_PASSES}
         SELECT post_id, row_no, {HOW_NAMES}[how + 1] AS how, credit, recording FROM best6"""),
+    "match_with_works": (match_with_works, f"""{ALL_PASSES}
+        SELECT post_id, row_no, {HOW_NAMES}[how + 1] AS how, recording, CASE WHEN lower(work) = lower(replace(recording, ' (remix)', '')) THEN work
+            WHEN how = 1 AND recording LIKE '% / %' THEN string_split(recording, ' / ')[1] ELSE replace(recording, ' (remix)', '') END AS title
+        FROM best6 JOIN (SELECT p_partkey AS row_no, {WORK} AS work FROM part) USING (row_no)"""),
     "match_all_passes_fold": (match_all_passes_fold, MATCHED),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,28 @@ def resolve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Lookups beside the matches: dates by an order's first shipping, works, curated names, proposals and overrides.
+WORK_TITLE = "CASE WHEN o_orderkey % 3 = 0 THEN upper('Song ' || CAST(o_orderkey % 90 AS STRING)) WHEN o_orderkey % 3 = 1 THEN 'Entirely different words' ELSE '' END"
+WORK_LANGUAGE = "CASE WHEN o_orderkey % 5 < 2 THEN 'eng' END"
+CURATED = "'Curated ' || CAST(s_suppkey AS STRING)"
+
+
+def resolve_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match with all that is looked up by id: what it becomes, its year and language, and why it waits."""
+    orders, lines = (standins.table(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    dates = lines.groupBy(F.col("l_orderkey").cast("string").alias("recording_id")).agg(F.year(F.min("l_shipdate")).alias("year"))
+    works = orders.select(F.col("o_orderkey").cast("string").alias("recording_id"), F.expr(WORK_TITLE).alias("title"), F.expr(WORK_LANGUAGE).alias("language"))
+    suffix = hashlib.md5(sf_dir.encode()).hexdigest()
+    dates, works = (enrich.keep_by_id(t, "recording_id", f"refrain_{n}_{suffix}", 16) for t, n in ((dates, "dates"), (works, "works")))
+    names = standins.table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(F.expr(ACT["artist_id"]).alias("artist_id"), F.expr(CURATED).alias("name"))
+    put, settled = (orders.where(c).select(F.col("o_orderkey").alias("post_id")) for c in ("o_orderkey % 7 = 0", "o_orderkey % 6 = 0"))
+    decided = cut_lineage(resolve.decide(matches(spark, sf_dir), acts(spark, sf_dir), names, dates, works, put, settled))
+    resolved = resolve.resolved_songs(decided).select(
+        "post_id", F.col("artist").alias("new_artist"), F.col("title").alias("new_title"), "year", F.col("language").alias("new_language"))
+    waiting = resolve.review_entries(decided).select("post_id", "reason")
+    return decided.select("post_id", "case").join(resolved, "post_id", "left").join(waiting, "post_id", "left")
+
+
 def namesake_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).filter(F.col("case") == "namesake").select(
         "post_id", "artist", F.get("ids", F.lit(0)).alias("credited_id"), "sole_id", "sole_name"
@@ -134,7 +158,9 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decided(spark, sf_dir)
+    dates = standins.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("recording_id")).agg(
+        F.year(F.min("l_shipdate")).alias("year"))
+    decided = cut_lineage(resolve.decide(matches(spark, sf_dir), acts(spark, sf_dir), dates=dates))
     return resolve.resolve_summary(decided, resolve.resolved_songs(decided))
 
 
@@ -331,7 +357,7 @@ kept AS (SELECT * FROM tags WHERE count > 0 AND lower(name) IN (SELECT lower(c_m
 WORKS = """works AS (SELECT l_orderkey AS recording_id, CAST(l_partkey AS STRING) AS work_id, 'Work ' || CAST(l_suppkey AS STRING) AS title,
     CASE WHEN l_quantity > 25 THEN 'eng' ELSE 'swe' END AS language FROM lineitem WHERE l_linestatus = 'F'
     QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R'), l_linenumber, l_partkey) = 1)"""
-RESOLVED = """SELECT post_id, "case",
+RESOLVED = """SELECT post_id, "case", full_row,
     CASE WHEN "case" = 'normal' THEN nullif(canonical, artist) WHEN alone THEN nullif(sole_name, artist) END AS new_artist,
     CASE WHEN "case" = 'normal' THEN lead_sort WHEN alone THEN sole_sort END AS sort_as,
     CASE WHEN full_row THEN nullif(title, song) END AS new_title,
@@ -344,9 +370,25 @@ REASON = """CASE WHEN "case" = 'unmatched' THEN CASE WHEN sole_id IS NOT NULL TH
     WHEN "case" = 'weak' AND NOT coalesce(placeholder, false) THEN 'weak match' WHEN "case" IN ('weak', 'placeholder') THEN 'placeholder act'
     WHEN "case" = 'namesake' THEN 'other act' END"""
 
+# The same decisions with proposals, overrides, curated names, years and works beside the matches.
+ENRICHED = DECIDED.replace("picks AS MATERIALIZED (SELECT *,", f"picks AS MATERIALIZED (SELECT *, CASE WHEN CAST(substring(artist_id, 2) AS INT) % 4 = 0 "
+    "THEN 'Curated ' || substring(artist_id, 2) ELSE name END AS shown,").replace("string_agg(a.name, ', '", "string_agg(a.shown, ', '").replace(
+    "s.name AS sole_name,", "s.name AS sole_name, s.shown AS sole_shown,").replace(
+    "NOT trusted AND proposed IS NULL", "NOT trusted AND proposed IS NULL AND post_id % 7 <> 0").replace(
+    "WHEN proposed IS NULL AND n_ids = 1", "WHEN proposed IS NULL AND post_id % 7 <> 0 AND n_ids = 1")
+ENRICHED_ROWS = f"""{ENRICHED}, extra AS (SELECT o_orderkey AS post_id, {WORK_TITLE} AS work, {WORK_LANGUAGE} AS work_language, y.year FROM orders
+    LEFT JOIN (SELECT l_orderkey AS o_orderkey, CAST(year(min(l_shipdate)) AS INT) AS year FROM lineitem GROUP BY ALL) y USING (o_orderkey))
+SELECT post_id, "case", CASE WHEN "case" = 'normal' THEN nullif(canonical, artist) WHEN alone THEN nullif(sole_shown, artist) END AS new_artist,
+    CASE WHEN full_row THEN nullif(CASE WHEN lower(work) = lower(recording) THEN work ELSE title END, song) END AS new_title,
+    CASE WHEN full_row THEN year END AS year, CASE WHEN full_row THEN coalesce(work_language, language) END AS new_language,
+    CASE WHEN "case" <> 'normal' AND post_id % 6 <> 0 THEN {REASON} END AS reason
+FROM (SELECT *, "case" IN ('normal', 'placeholder') AS full_row, "case" NOT IN ('normal', 'placeholder')
+    AND coalesce(NOT regexp_matches(sole_name, '^\\[.*\\]$'), false) AS alone FROM decided) JOIN extra USING (post_id)"""
+
 QUERIES = {
+    "resolve_enriched": (resolve_enriched, ENRICHED_ROWS),
     "majority_entity": (majority_entity, f"WITH {MATCHES} SELECT * FROM majority"),
-    "resolve_cases": (resolve_cases, f"{DECIDED} {RESOLVED}"),
+    "resolve_cases": (resolve_cases, f"{DECIDED} SELECT * EXCLUDE (full_row) FROM ({RESOLVED})"),
     "namesake_queue": (namesake_queue, f"""{DECIDED} SELECT post_id, artist, first_id AS credited_id, sole_id, sole_name
         FROM decided WHERE "case" = 'namesake'"""),
     "review_queue": (review_queue, f"""{DECIDED}, entries AS (SELECT *, {REASON} AS reason FROM decided WHERE "case" <> 'normal')
@@ -355,7 +397,7 @@ QUERIES = {
             CASE WHEN "case" IN ('weak', 'namesake') THEN credit || ' – ' || recording END AS suggestion FROM entries"""),
     "resolve_summary": (resolve_summary, f"""{DECIDED}, r AS ({RESOLVED})
         SELECT sum(corrected) AS resolved, count(new_title) AS title_fixes, count(new_artist) AS artist_fixes, count(genres) AS with_genre,
-            0 AS with_year, count(new_language) AS with_language,
+            count(*) FILTER (WHERE full_row AND post_id IN (SELECT l_orderkey FROM lineitem)) AS with_year, count(new_language) AS with_language,
             count(*) FILTER (WHERE corrected = 1 AND "case" NOT IN ('normal', 'placeholder')) AS artist_only,
             count(*) FILTER (WHERE "case" <> 'normal') AS review FROM r"""),
     "earliest_release": (earliest_release, f"""WITH hits AS (SELECT {key('p_name')} AS k, 'b' || substring(p_brand, 7) AS artist_id,
