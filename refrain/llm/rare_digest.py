@@ -38,8 +38,9 @@ BITS, BITS_PER_FEATURE, FEATURES = 2048, 5, 160
 CHANCE = 3.0
 #: Bytes looked at together, and bytes of texts fingerprinted together.
 SEGMENT, CHUNK = 1 << 18, 1 << 20
-#: Documents that a task goes through in order, about, and keys looked at for each border between tasks.
-PART_ROWS, KEYS_PER_BORDER = 8_000, 20
+#: Documents that a task goes through in order, about, the most parts (then they are longer, not more), and keys
+#: looked at for each border between parts.
+PART_ROWS, MOST_PARTS, KEYS_PER_BORDER = 8_000, 40_000, 20
 
 _SCALE = 1 << 20
 _COUNTS = np.arange(WINDOW + 2, dtype=np.float64)
@@ -241,7 +242,7 @@ def _order_bytes(ids: pd.Series, tie: pd.Series, place: pd.Series) -> np.ndarray
 def _ordered_parts(rows: DataFrame, part_rows: int) -> tuple[Column, int]:
     """The part of every row: ranges of (id, tie, place), and their number. Only a few keys per border are collected."""
     count = rows.count()
-    parts = max(1, -(-count // part_rows))
+    parts = max(1, min(MOST_PARTS, -(-count // part_rows)))
     share = min(1.0, 1.25 * parts * KEYS_PER_BORDER / max(1, count))
     keys = rows.select("id", "tie", "place").where(F.rand(7) < share).toPandas() if parts > 1 else None
     if keys is None or not len(keys):
@@ -272,7 +273,8 @@ def with_following(docs: DataFrame, id_column: str, text_column: str, part_rows:
     before = [(heads[k - 1][0], *heads[k][2:]) for k in range(len(heads))]
     guests = spark.createDataFrame(before, "to int, id bigint, tie bigint, place bigint")
     same = F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.tie") == F.col("g.tie")) & (F.col("r.place") == F.col("g.place"))
-    visiting = rows.alias("r").join(guests.alias("g"), same).select(F.col("to").alias("part"), "r.id", "r.tie", "r.place", "r.text", F.lit(True).alias("guest"))
+    # One small row per part, at most MOST_PARTS: sent to the texts, which stay where they are.
+    visiting = rows.alias("r").join(F.broadcast(guests).alias("g"), same).select(F.col("to").alias("part"), "r.id", "r.tie", "r.place", "r.text", F.lit(True).alias("guest"))
     own = dealt.select("part", "id", "tie", "place", "text", F.lit(False).alias("guest"))
     return own.unionByName(visiting).repartition("part").sortWithinPartitions("part", "guest", F.asc_nulls_first("id"), "tie", "place")
 
