@@ -266,7 +266,7 @@ def with_following(docs: DataFrame, id_column: str, text_column: str, part_rows:
     spark: SparkSession = docs.sparkSession
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("place"), text.alias("text"))
-    part, _ = _ordered_parts(rows, part_rows)
+    part, number = _ordered_parts(rows, part_rows)
     dealt = rows.withColumn("part", part)
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "tie", "place")
     heads = sorted((r["part"], *r["head"]) for r in dealt.groupBy("part").agg(F.min(order).alias("head")).collect())  # one row per part
@@ -276,7 +276,7 @@ def with_following(docs: DataFrame, id_column: str, text_column: str, part_rows:
     # One small row per part, at most MOST_PARTS: sent to the texts, which stay where they are.
     visiting = rows.alias("r").join(F.broadcast(guests).alias("g"), same).select(F.col("to").alias("part"), "r.id", "r.tie", "r.place", "r.text", F.lit(True).alias("guest"))
     own = dealt.select("part", "id", "tie", "place", "text", F.lit(False).alias("guest"))
-    return own.unionByName(visiting).repartition("part").sortWithinPartitions("part", "guest", F.asc_nulls_first("id"), "tie", "place")
+    return own.unionByName(visiting).repartitionById(number, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("id"), "tie", "place")
 
 
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -72,3 +72,19 @@ def substring_distance(item: str, text: str) -> int:
             row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != x)))
         above = row
     return min(above)
+
+
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def similar_groups(texts):
+    """For each text the smallest place that links of similarity 0.8 reach, by comparing all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root

@@ -21,7 +21,7 @@ def test_pipeline_equals_plain_decisions(spark):
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), i)
     kept = {i: kept[i] for i in sorted(best.values())}
     ids = list(kept)
-    groups = plain.linked_groups([plain.shingle_fingerprint(kept[i]) for i in ids])
+    groups = plain.similar_groups([kept[i] for i in ids])
     kept = {ids[k]: kept[ids[k]] for k in sorted(set(groups))}
     items = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{plain.SF}/benchmark.parquet").collect()]
     kept = {i: t for i, t in kept.items() if not any(x in " ".join(t.lower().split()) for x in items)}
@@ -43,3 +43,13 @@ def test_stages_keep_the_columns_of_awkward_rows(spark):
     assert corpus_pipeline.encode(spark, docs, plain.SF).count() == docs.count()
     filtered = corpus_pipeline.quality(spark, docs, plain.SF)
     assert filtered.columns == docs.columns
+    assert corpus_pipeline.quality(spark, plain.empty(spark), plain.SF).count() == 0
+
+
+def test_quality_keeps_good_rows_without_an_id(spark):
+    docs = spark.read.parquet(f"{plain.SF_LABELLED}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, plain.SF_LABELLED).select("doc_id", "text").collect()
+    good = [r["text"] for r in kept[:20]]
+    nameless = docs.unionByName(spark.createDataFrame([(None, t) for t in good], "doc_id bigint, text string"), allowMissingColumns=True)
+    left = corpus_pipeline.quality(spark, nameless, plain.SF_LABELLED)
+    assert sorted(r["text"] for r in left.where("doc_id is null").collect()) == sorted(good)
