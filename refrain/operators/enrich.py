@@ -26,17 +26,6 @@ def keep_by_id(lookup: DataFrame, key: str, name: str, buckets: int) -> DataFram
     return lookup.sparkSession.table(name)
 
 
-def recording_facts(dates: DataFrame | None, works: DataFrame | None) -> DataFrame | None:
-    """(recording_id, year, work_title, work_language) of every recording a lookup knows; None without lookups."""
-    year = None if dates is None else dates.select("recording_id", "year")
-    work = None if works is None else works.select(
-        "recording_id", F.nullif("title", F.lit("")).alias("work_title"), F.col("language").alias("work_language")
-    )
-    if year is None or work is None:
-        return year if work is None else work
-    return year.join(work, "recording_id", "full")
-
-
 def pick_genres(genres: Column, most: int = 3) -> Column:
     """Names of the first genres with two votes, or with one when none has two."""
     def voted(floor: int) -> Column:

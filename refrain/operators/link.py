@@ -3,12 +3,14 @@
 Every join is an equi-join. Dump rows are digested before they meet the catalogue: for one
 asking key only the first row of lowest quality per (how, live, variant) class can win, so a
 key shared by a third of the dump still sends a handful of rows on. Each operator can give
-that digest (``classes``) or all candidate rows, which only the ordered fold needs and only
-for a few songs.
+that digest (``classes``), whose rows are known by number and fetched for winners only, or all
+candidate rows, which only the ordered fold needs and only for a few songs.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from refrain.session import cut_lineage
 
 HOW = {name: index for index, name in enumerate(fixed.HOWS)}
 GRADED = ["live", "variant_plain", "variant_asked"]
+#: More than any row number, and no more than fits beside a quality in one number.
+_ROWS = Decimal(10) ** 19
 
 
 def prepare_dump(dump: DataFrame) -> DataFrame:
@@ -54,20 +58,26 @@ def prepare_dump(dump: DataFrame) -> DataFrame:
     return graded.withColumn("base_quality", base).drop("release_key")
 
 
-def _row() -> Column:
-    return F.struct(*ROW)
-
-
 def digest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """First row of lowest quality per key and class, with the number of rows behind it.
 
-    Within a class the variant penalty is constant, so the base quality decides. The minimum is
-    combined before the shuffle.
+    Within a class the variant penalty is constant, so the base quality decides. Quality and row are one number of
+    fixed width, so the minimum is hashed and combined before the shuffle and nothing is sorted; what else is known of
+    the row is fetched for winners only (``with_rows``).
     """
-    return rows.groupBy(*keys, *GRADED).agg(
-        F.min_by(F.struct(*ROW, "base_quality"), F.struct("base_quality", "row_no")).alias("m"),
-        F.count(F.lit(1)).alias("seen"),
-    ).select(*keys, *GRADED, "m.*", "seen")
+    whole = F.col("base_quality").cast("decimal(18,0)") * F.lit(_ROWS).cast("decimal(20,0)")
+    packed = (whole + F.col("row_no").cast("decimal(19,0)")).cast("decimal(38,0)")
+    least = rows.groupBy(*keys, *GRADED).agg(F.min(packed).alias("m"), F.count(F.lit(1)).alias("seen"))
+    row_no = F.pmod("m", F.lit(_ROWS).cast("decimal(20,0)"))
+    quality = ((F.col("m") - row_no).cast("decimal(38,0)") / F.lit(_ROWS).cast("decimal(20,0)"))
+    return least.select(*keys, *GRADED, row_no.cast("bigint").alias("row_no"), quality.cast("bigint").alias("base_quality"), "seen")
+
+
+def with_rows(best: DataFrame, dump: DataFrame, allow: DataFrame) -> DataFrame:
+    """Winners, known by row_no, with what the dump says of their rows."""
+    known = [*ROW, *GRADED, "live", "variant", "quality"]
+    rows = best.select(*[c for c in best.columns if c == "row_no" or c not in known]).join(dump.select(*ROW, *GRADED, "base_quality"), "row_no")
+    return _shaped(_graded(rows.join(allow, "post_id")))
 
 
 def _graded(rows: DataFrame) -> DataFrame:
@@ -79,7 +89,7 @@ def _graded(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, number: int) -> DataFrame:
-    """Uniform candidate columns for a later pass, whose entries carry no rewriting."""
+    """Uniform candidate columns for a later pass, whose entries carry no rewriting; of the row what is known."""
     plain = rows.withColumns({
         "rank": F.lit(0), "rewrites": F.array().cast("array<string>"), "proposed": F.lit(False), "pass": F.lit(number),
         **{n: F.lit(None).cast(t) for n, t in PROPOSAL_FIELDS.items()},
@@ -88,9 +98,8 @@ def _candidates(rows: DataFrame, number: int) -> DataFrame:
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
-    columns = [
-        "post_id", "pass", "rank", "how", "rewrites", "proposed", *PROPOSAL_FIELDS, *ROW, "live", "variant", "quality",
-    ]
+    known = [c for c in [*ROW, "live", "variant", "quality"] if c in rows.columns]
+    columns = ["post_id", "pass", "rank", "how", "rewrites", "proposed", *PROPOSAL_FIELDS, *known]
     return rows.select(*[F.col(f"`{c}`") for c in columns], *(["seen"] if "seen" in rows.columns else []))
 
 
@@ -153,7 +162,7 @@ def link_prefix(wanted: DataFrame, dump: DataFrame, classes: bool = True) -> Dat
     return _answered(wanted, digest(asked, ["asked", "how"]) if classes else asked)
 
 
-def link_keys(wanted: DataFrame, dump: DataFrame, mode: str = "fold") -> DataFrame:
+def link_keys(wanted: DataFrame, allow: DataFrame, dump: DataFrame, mode: str = "fold") -> DataFrame:
     """Pass 1: the best row per song over exact and prefix candidates."""
     asked = exact_asks(wanted, dump).unionByName(prefix_asks(wanted, dump))
     classes = _answered(wanted, digest(asked, ["asked", "how"]))
@@ -163,7 +172,7 @@ def link_keys(wanted: DataFrame, dump: DataFrame, mode: str = "fold") -> DataFra
         known = entries.select(F.col("key").alias("asked")).distinct()
         return _answered(entries, asked.join(known, "asked", "left_semi"))
 
-    return best_match(classes, rows_of, mode)
+    return with_rows(best_match(classes, rows_of, mode), dump, allow)
 
 
 # --- learning which ids an artist string means ------------------------------------------
@@ -268,22 +277,21 @@ def upgrade_scoped(
 ) -> DataFrame:
     """Pass 2 winners, starting from the row a song already holds."""
     held = _shaped(best)
-    classes = link_scoped(songs, allow, dump, ids).unionByName(
-        held.join(songs, "post_id", "left_semi").withColumn("seen", F.lit(1).cast("long"))
-    )
+    known = held.drop(*[c for c in ROW if c != "row_no"]).join(songs, "post_id", "left_semi")
+    classes = link_scoped(songs, allow, dump, ids).unionByName(known.withColumn("seen", F.lit(1).cast("long")))
 
     def rows_of(posts: DataFrame) -> DataFrame:
         again = songs.join(posts, "post_id", "left_semi")
         return link_scoped(again, allow, dump, ids, classes=False).unionByName(held.join(again, "post_id", "left_semi"))
 
-    return best_match(classes, rows_of, mode)
+    return with_rows(best_match(classes, rows_of, mode), dump, allow)
 
 
 # --- pass 2b: every named part of a collaboration must be credited, in any order ----------
 
 
-def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame) -> DataFrame:
-    """Candidates crediting all known parts of the artist string, at least two of them.
+def link_collab(songs: DataFrame, dump: DataFrame, ids: DataFrame) -> DataFrame:
+    """Candidates, by row_no, crediting all known parts of the artist string, at least two of them.
 
     Rows are found through the first known part and kept when every part finds one of its ids
     among the row's credits; the sets of ids are looked up, never gathered.
@@ -306,16 +314,14 @@ def link_collab(songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFr
     asks = needed.join(songs, "post_id").select("post_id", "needed", "artist_key", F.explode(_title_keys()).alias("recording_key")) \
         .filter(F.col("recording_key") != "")
     rows = _by_title_and_id(dump).join(asks.select("recording_key").distinct(), "recording_key", "left_semi")
-    firsts = rows.groupBy("recording_key", "artist_id", "artist_ids").agg(
-        F.min_by(F.struct(*[c for c in ROW if c != "artist_ids"], *GRADED, "base_quality"), "row_no").alias("m")
-    ).select("recording_key", "artist_id", "artist_ids", "m.*")
+    firsts = rows.groupBy("recording_key", "artist_id", "artist_ids").agg(F.min("row_no").alias("row_no"))
     pairs = known_pairs(asks, firsts, ids).drop("artist_id", "artist_key").dropDuplicates(["post_id", "row_no"])
     credited = pairs.select("post_id", "row_no", F.explode("artist_ids").alias("artist_id"))
     held = credited.join(named, "post_id").join(ids, ["artist_key", "artist_id"], "left_semi").groupBy(
         "post_id", "row_no"
     ).agg(F.count_distinct("part_no").alias("held"))
-    joined = pairs.join(held, ["post_id", "row_no"]).filter(F.col("held") == F.col("needed")).join(allow, "post_id")
-    return _candidates(_graded(joined.withColumn("how", F.lit(HOW["collab-scoped"]))), 3)
+    joined = pairs.join(held, ["post_id", "row_no"]).filter(F.col("held") == F.col("needed")).select("post_id", "row_no")
+    return _candidates(joined.withColumn("how", F.lit(HOW["collab-scoped"])), 3)
 
 
 # --- pass 3: an exact title whose credit is close enough ---------------------------------
@@ -355,8 +361,8 @@ def _artist_blocks() -> Column:
     ))
 
 
-def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> DataFrame:
-    """Candidates with the song's exact title and a credit close to its artist string.
+def link_title_first(songs: DataFrame, dump: DataFrame) -> DataFrame:
+    """Candidates, by row_no, with the song's exact title and a credit close to its artist string.
 
     Songs and credits meet on (title, block), never on the title alone; the predicate is then
     checked once per pair of distinct strings.
@@ -366,9 +372,7 @@ def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> Dat
     rows = dump.withColumn("asked", F.explode(F.array_distinct(F.array("recording_key", "bare_key")))).filter(
         F.endswith("key", "asked")
     ).join(known, "asked", "left_semi")
-    firsts = cut_lineage(rows.groupBy("asked", "credit").agg(
-        F.min_by(F.struct(*[c for c in ROW if c != "credit"], *GRADED, "base_quality"), "row_no").alias("m")
-    ))
+    firsts = cut_lineage(rows.groupBy("asked", "credit").agg(F.min("row_no").alias("row_no")))
     parts = credit_parts(F.lit(""), F.col("credit"), lead_artist)
     credits = firsts.select("asked", "credit").withColumns({
         "credit_key": parts["credit"], "credit_lead": parts["credit_lead"]
@@ -381,11 +385,9 @@ def link_title_first(songs: DataFrame, allow: DataFrame, dump: DataFrame) -> Dat
     pairs = left.join(right, ["asked", "block"]).filter(keys_accept_title(
         F.col("own_key"), F.col("credit_key"), F.col("lead_key"), F.col("credit_lead"), F.col("asked")
     )).select("asked", "artist", "credit").distinct()
-    nearest = pairs.join(firsts, ["asked", "credit"]).groupBy("asked", "artist").agg(
-        F.min_by(F.struct("credit", "m"), "m.row_no").alias("w")
-    ).select("asked", "artist", "w.credit", "w.m.*")
-    joined = titles.join(nearest, ["asked", "artist"]).join(allow, "post_id")
-    return _candidates(_graded(joined.withColumn("how", F.lit(HOW["title-first"]))), 4)
+    nearest = pairs.join(firsts, ["asked", "credit"]).groupBy("asked", "artist").agg(F.min("row_no").alias("row_no"))
+    joined = titles.join(nearest, ["asked", "artist"]).select("post_id", "row_no")
+    return _candidates(joined.withColumn("how", F.lit(HOW["title-first"])), 4)
 
 
 # --- pass 4: a misspelled title by a known artist -----------------------------------------
@@ -469,4 +471,4 @@ def best_near(songs: DataFrame, allow: DataFrame, dump: DataFrame, credits: Data
     def rows_of(posts: DataFrame) -> DataFrame:
         return link_near(songs.join(posts, "post_id", "left_semi"), allow, dump, credits, classes=False)
 
-    return best_match(classes, rows_of, mode)
+    return with_rows(best_match(classes, rows_of, mode), dump, allow)

@@ -276,7 +276,7 @@ def best_by_fold(
     classes = cut_lineage(classes)
     settled = cut_lineage(settled_by_class(classes))
     unsettled = cut_lineage(classes.select("post_id").distinct().join(settled.select("post_id"), "post_id", "left_anti"))
-    return settled.unionByName(replay(cut_lineage(rows_of(unsettled)), block_rows))
+    return settled.unionByName(replay(cut_lineage(rows_of(unsettled)), block_rows).select(*settled.columns))
 
 
 def best_match(

@@ -51,27 +51,28 @@ def match_songs(
 ) -> DataFrame:
     """The held candidate per song after all passes; ``dump`` comes from ``link.prepare_dump``."""
     wanted, allow = cut_lineage(wanted_keys(songs, proposals)), allowed_language(songs, proposals)
-    best = cut_lineage(link.link_keys(wanted, dump, mode))
+    best = cut_lineage(link.link_keys(wanted, allow, dump, mode))
 
     ids = cut_lineage(link.learn_ids(songs, best))
     poor = link.unmatched_or_poor(songs, best)
     better = link.upgrade_scoped(poor, allow, dump, ids, best, mode)
     best = cut_lineage(best.join(better.select("post_id"), "post_id", "left_anti").unionByName(better))
 
-    best = _extend(best, link.link_collab(link.unmatched(songs, best), allow, dump, ids))
-    best = _extend(best, link.link_title_first(link.unmatched(songs, best), allow, dump))
+    best = _extend(best, link.link_collab(link.unmatched(songs, best), dump, ids), dump, allow)
+    best = _extend(best, link.link_title_first(link.unmatched(songs, best), dump), dump, allow)
 
     again = cut_lineage(link.learn_ids(songs, best, again=True))
-    best = _extend(best, link.link_scoped(link.unmatched(songs, best), allow, dump, again, number=5))
+    best = _extend(best, link.link_scoped(link.unmatched(songs, best), allow, dump, again, number=5), dump, allow)
 
     credits = cut_lineage(link.learn_credits(songs, best))
     near = link.best_near(link.unmatched(songs, best), allow, dump, credits, mode)
     return cut_lineage(best.unionByName(near))
 
 
-def _extend(best: DataFrame, found: DataFrame) -> DataFrame:
+def _extend(best: DataFrame, found: DataFrame, dump: DataFrame, allow: DataFrame) -> DataFrame:
     """Add the first hit per still unmatched song."""
-    return cut_lineage(best.unionByName(best_first(found).select(*best.columns)))
+    first = link.with_rows(best_first(found), dump, allow)
+    return cut_lineage(best.unionByName(first.select(*best.columns)))
 
 
 def finished(

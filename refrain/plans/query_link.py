@@ -312,7 +312,10 @@ class Inputs:
         return cut_lineage(wanted_keys(self.songs))
 
     def best(self) -> DataFrame:
-        return cut_lineage(link.link_keys(self.wanted, self.dump, "total_order"))
+        return cut_lineage(link.link_keys(self.wanted, self.allow, self.dump, "total_order"))
+
+    def winners(self, found: DataFrame, mode: str) -> DataFrame:
+        return _winners(link.with_rows(best_match(found, mode=mode), self.dump, self.allow))
 
 
 def _winners(best: DataFrame) -> DataFrame:
@@ -330,15 +333,15 @@ def key_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: dirty catalogue to dump by expanded keys, best row per song."""
-    wanted = cut_lineage(wanted_keys(standins.catalog(spark, sf_dir)))
-    found = link.link_exact(wanted, link.prepare_dump(standins.dump(spark, sf_dir)))
-    return _winners(best_match(found, mode="total_order"))
+    songs, dump = standins.catalog(spark, sf_dir), link.prepare_dump(standins.dump(spark, sf_dir))
+    best = best_match(link.link_exact(cut_lineage(wanted_keys(songs)), dump), mode="total_order")
+    return _winners(link.with_rows(best, dump, allowed_language(songs)))
 
 
 def link_prefix_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = cut_lineage(wanted_keys(standins.catalog(spark, sf_dir)))
-    found = link.link_prefix(wanted, link.prepare_dump(standins.dump(spark, sf_dir)))
-    return _winners(best_match(found, mode="total_order"))
+    songs, dump = standins.catalog(spark, sf_dir), link.prepare_dump(standins.dump(spark, sf_dir))
+    best = best_match(link.link_prefix(cut_lineage(wanted_keys(songs)), dump), mode="total_order")
+    return _winners(link.with_rows(best, dump, allowed_language(songs)))
 
 
 def link_best_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +350,7 @@ def link_best_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_best_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
-    return link.link_keys(i.wanted, i.dump, "fold").select(
+    return link.link_keys(i.wanted, i.allow, i.dump, "fold").select(
         "post_id", "row_no", "rank", how_name(F.col("how")).alias("how")
     )
 
@@ -363,20 +366,19 @@ def link_artist_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = i.best()
     ids = link.learn_ids(i.songs, best)
     found = link.link_scoped(link.unmatched_or_poor(i.songs, best), i.allow, i.dump, ids)
-    return _winners(best_match(found, mode="total_order"))
+    return i.winners(found, "total_order")
 
 
 def link_collab_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free collaborations over all songs, earliest row per song."""
     i = Inputs(spark, sf_dir)
-    ids = link.learn_ids(i.songs, i.best())
-    return _winners(best_match(link.link_collab(i.songs, i.allow, i.dump, ids), mode="first"))
+    return i.winners(link.link_collab(i.songs, i.dump, link.learn_ids(i.songs, i.best())), "first")
 
 
 def link_title_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact title with a close enough credit over all songs, earliest row per song."""
     i = Inputs(spark, sf_dir)
-    return _winners(best_match(link.link_title_first(i.songs, i.allow, i.dump), mode="first"))
+    return i.winners(link.link_title_first(i.songs, i.dump), "first")
 
 
 def link_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +386,7 @@ def link_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = Inputs(spark, sf_dir)
     best = i.best()
     credits = cut_lineage(link.learn_credits(i.songs, best))
-    return _winners(best_match(link.link_near(link.unmatched(i.songs, best), i.allow, i.dump, credits), mode="total_order"))
+    return i.winners(link.link_near(link.unmatched(i.songs, best), i.allow, i.dump, credits), "total_order")
 
 
 def match_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,6 @@ def test_scoping_by_title_equals_scoping_by_id(spark):
     assert scoped == [
         (1, 1, 3), (1, 2, 3), (1, 4, 3), (2, 3, 4), (3, 1, 4), (3, 2, 4), (3, 4, 4)
     ]
-    assert rows(link.link_collab(songs, allow, dump, ids)) == [
+    assert rows(link.link_collab(songs, dump, ids)) == [
         (2, 3, 5), (3, 4, 5)
     ]
