@@ -1,8 +1,9 @@
 """Match keys and slugs: text folded to comparable keys with built-in functions only.
 
-Unicode decomposition is not a Spark function, so the one-to-one part becomes a ``translate``
-table generated from Python's ``unicodedata`` and the few one-to-many letters plain replacements.
-Text that is ASCII, which is nearly all of it, skips the folding altogether.
+Unicode decomposition is not a Spark function. Its one-to-one part becomes a ``translate`` table
+generated from Python's ``unicodedata``, letters that become several are looked up in a second one, sign by
+sign and only in text that has any, and Hangul syllables are taken apart by arithmetic. Text that is ASCII,
+which is nearly all of it, skips the folding altogether.
 """
 
 from __future__ import annotations
@@ -21,13 +22,10 @@ SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 NOT_ASCII = r"[^\x00-\x7F]"
 
-# Blocks that hold decomposable letters, digits and signs of alphabetic scripts.
-DECOMPOSED_BLOCKS = [
-    (0x00A0, 0x052F), (0x1E00, 0x1FFF), (0x2000, 0x214F), (0x2460, 0x24FF), (0x3041, 0x30FF), (0xFB00, 0xFB06),
-    (0xFF01, 0xFF5E),
-]
-# Blocks whose one-to-many letters and digits are spelled out too.
-SPELLED_BLOCKS = [(0x00A0, 0x024F), (0xFB00, 0xFB06)]
+#: Hangul syllables decompose by arithmetic: first of them, parts of each kind, and where the kinds of jamo begin.
+HANGUL, VOWELS, TAILS = 0xAC00, 21, 28
+JAMO = (0x1100, 0x1161, 0x11A7)
+HANGUL_SIGNS = r"[\x{AC00}-\x{D7A3}]"
 
 
 @lru_cache(maxsize=512)
@@ -51,23 +49,23 @@ def any_word(words: list[str]) -> str:
 
 
 @lru_cache(maxsize=1)
-def decomposition() -> tuple[str, str, dict[str, str]]:
-    """(letters, their base letters, letters that become several), marks removed."""
-    single, several, gone = {}, {}, []
-    for low, high in DECOMPOSED_BLOCKS:
-        for code in range(low, high + 1):
-            letter = chr(code)
-            parts = unicodedata.normalize("NFKD", letter)
-            base = "".join(p for p in parts if not unicodedata.category(p).startswith("M"))
-            if base == letter or unicodedata.category(letter) == "Cn":
-                continue
-            if len(base) == 1:
-                single[letter] = base
-            elif not base:
-                gone.append(letter)
-            elif unicodedata.category(letter)[0] in "LN" and any(x <= code <= y for x, y in SPELLED_BLOCKS):
-                several[letter] = base
-    return "".join(single) + "".join(gone), "".join(single.values()), several
+def decomposition() -> tuple[str, str, str, str]:
+    """(letters, the one sign each becomes, letters that become several, these parted by NUL), marks removed.
+
+    Over all code points but Hangul syllables. Marks become nothing, also those that Java does not know yet.
+    """
+    single, several = {}, {}
+    for code in (*range(0x80, HANGUL), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):
+        letter = chr(code)
+        category = unicodedata.category(letter)
+        if category in ("Cn", "Co"):
+            continue
+        base = "".join(p for p in unicodedata.normalize("NFKD", letter) if unicodedata.category(p)[0] != "M")
+        if base != letter:
+            (single if len(base) < 2 else several)[letter] = base
+    # translate drops a letter that has no partner, so those with nothing left stand last.
+    order = sorted(single, key=lambda x: (single[x] == "", x))
+    return "".join(order), "".join(single[x] for x in order), "".join(several), "\0".join(several.values())
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,21 +86,51 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
 
-def _decomposed(c: Column, capitals: bool) -> Column:
-    letters, bases, several = decomposition()
-    spelled = {k: v for k, v in several.items() if capitals or k == k.lower()}
-    return F.regexp_replace(F.translate(_replaced(c, spelled), letters, bases), r"\p{M}+", "")
-
-
 def _replaced(c: Column, table: dict[str, str]) -> Column:
     for letter, spelled in table.items():
         c = F.replace(c, text_literal(letter), text_literal(spelled))
     return c
 
 
+def _by_sign(c: Column, spelled: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform(F.split(c, ""), spelled), "")
+
+
+def _hangul(c: Column) -> Column:
+    """Syllables as their jamo: lead, vowel and, if any, tail."""
+    leads, vowels, tails = ("".join(chr(at + k) for k in range(n)) for at, n in zip(JAMO, (19, VOWELS, TAILS), strict=True))
+
+    def jamo(signs: str, k: Column) -> Column:
+        return F.substring(text_literal(signs), k.cast("int") + 1, F.lit(1))
+
+    def spelled(sign: Column) -> Column:
+        k = F.ascii(sign) - HANGUL
+        tail = F.when(k % TAILS == 0, F.lit("")).otherwise(jamo(tails, k % TAILS))
+        syllable = F.concat(jamo(leads, F.floor(k / (VOWELS * TAILS))), jamo(vowels, F.floor(k % (VOWELS * TAILS) / TAILS)), tail)
+        return F.when(sign.rlike(HANGUL_SIGNS), syllable).otherwise(sign)
+
+    return F.when(c.rlike(HANGUL_SIGNS), _by_sign(c, spelled)).otherwise(c)
+
+
+def _decomposed(c: Column) -> Column:
+    """Compatibility decomposition of text outside ASCII, with marks dropped; the rarer kinds are looked for first."""
+    letters, bases, several, spelled = decomposition()
+
+    one = F.translate(c, letters, bases)
+    rare = F.translate(one, several, "") != one
+    known = F.split(text_literal(spelled), "\0")
+
+    def long_form(sign: Column) -> Column:
+        at = F.instr(text_literal(several), sign)
+        return F.when(at > 0, F.element_at(known, at)).otherwise(sign)
+
+    whole = F.when(rare, _by_sign(one, long_form)).otherwise(one)
+    return _hangul(whole)
+
+
 def unmarked(c: Column) -> Column:
     """Compatibility decomposition with combining marks dropped."""
-    return F.when(is_ascii(c), c).otherwise(_decomposed(c, capitals=True))
+    return F.when(is_ascii(c), c).otherwise(_decomposed(c))
 
 
 def combined_lookup(*parts: Column) -> Column:
@@ -117,7 +145,7 @@ def combined_lookup(*parts: Column) -> Column:
     folded = F.translate(folded, "".join(ones), "".join(ones.values()))
     folded = _replaced(folded, {k: v for k, v in fixed.FOLDED_LETTERS.items() if len(v) > 1})
     plain = F.lower(F.regexp_replace(joined, "[^A-Za-z0-9_]+", ""))
-    return F.when(is_ascii(joined), plain).otherwise(_decomposed(folded, capitals=False))
+    return F.when(is_ascii(joined), plain).otherwise(_decomposed(folded))
 
 
 def combined_lookup_of(*parts: Column) -> Column:
@@ -141,7 +169,7 @@ def title_key_loose(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     lowered = F.lower(c)
-    folded = F.when(is_ascii(c), lowered).otherwise(_decomposed(lowered, capitals=False))
+    folded = F.when(is_ascii(c), lowered).otherwise(_decomposed(lowered))
     return F.regexp_replace(folded, "[^a-z0-9]+", "")
 
 

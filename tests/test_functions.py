@@ -1,3 +1,5 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from refrain.functions import labels, names, text, titles
@@ -84,3 +86,20 @@ def test_title_variants(spark):
     check(spark, lambda t: F.array_join(titles.title_variants(t), "|"), [(
         ("Call U Anymore",), "Call U Anymore|Call You Anymore|Call U|Call You"
     )])
+
+
+def test_every_code_point_is_decomposed(spark):
+    letters = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x110000)) if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rows = [("".join(letters[i : i + 40]),) for i in range(0, len(letters), 40)]
+    found = spark.createDataFrame(rows, "t string").select("t", text.unmarked(F.col("t")).alias("got")).collect()
+    assert len(letters) > 149_000
+    for r in found:
+        assert r["got"] == "".join(p for p in unicodedata.normalize("NFKD", r["t"]) if unicodedata.category(p)[0] != "M")
+
+
+def test_decomposed_keys_of_a_file_meet_own_keys(spark):
+    rows = [("서울의 달",), ("𝐁𝐨𝐥𝐝 ① ㎏",), ("ﷺ ﬁn",), ("Ǆ Ⅷ",), ("plain",)]
+    found = spark.createDataFrame(rows, "t string").select("t", text.combined_lookup(F.col("t")).alias("key")).collect()
+    for r in found:
+        low = "".join(c for c in r["t"] if c == "_" or unicodedata.category(c)[0] in "LN").lower()
+        assert r["key"] == "".join(p for p in unicodedata.normalize("NFKD", low) if unicodedata.category(p)[0] != "M")
