@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.functions import fixed_values as fixed
 from refrain.functions.names import display_name
 from refrain.functions.text import bind, combined_lookup, js_trim
+from refrain.session import shared_folder
 
 NO_STRINGS = "array<string>"
 
@@ -17,13 +20,16 @@ def worklist(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def keep_by_id(lookup: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
+def keep_by_id(lookup: DataFrame, key: str, buckets: int, name: str | None = None) -> DataFrame:
     """The lookup as a table bucketed and sorted by its id: joins on the id never shuffle it again.
 
-    Write it once for all runs that enrich by it; a table of that name is replaced.
+    Kept in the shared folder. Give a name to find it again by it; without one the session alone knows it.
     """
-    lookup.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return lookup.sparkSession.table(name)
+    spark = lookup.sparkSession
+    own = f"by_id_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{own}"
+    lookup.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name or own)
+    return spark.table(name or own)
 
 
 def pick_genres(genres: Column, most: int = 3) -> Column:

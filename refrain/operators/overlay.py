@@ -214,3 +214,10 @@ def slug_review(pages: DataFrame, names: DataFrame) -> DataFrame:
         .when(F.col("slug") != auto, "disambiguated")
         .otherwise("plain")
     )).select("slug", "artist_id", "name", "songs", "note", F.coalesce("merged_ids", F.lit(0)).alias("merged_ids"))
+
+
+def slug_counts(reviewed: DataFrame) -> DataFrame:
+    """One row of counts over a slug review: pages, and how many are of each kind."""
+    return reviewed.agg(
+        F.count(F.lit(1)).alias("pages"), *[F.count_if(F.col("note") == n).alias(n) for n in ("merged", "curated", "disambiguated", "plain")]
+    )

@@ -140,13 +140,15 @@ def corroborate(published: DataFrame, hits: DataFrame) -> DataFrame:
 def second_source(published: DataFrame, releases: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Weaker second source: any release hit for (artist, title) is enough; optionally only on a first miss.
 
-    ``releases``: query_artist, query_title, hit_rank, title.
+    ``releases``: query_artist, query_title, hit_rank, title. The note tells whether the hit names the artist.
     """
     hits = releases.filter(F.col("title").isNotNull()).groupBy("query_artist", "query_title").agg(
         F.min_by("title", "hit_rank").alias("release")
     ).withColumnsRenamed({"query_artist": "artist", "query_title": "title"})
     rows = published.join(hits, ["artist", "title"], "left")
     blank = F.trim("artist") == ""
+    head = F.substring(F.lower("artist"), 1, 12)
+    named = names_agree(F.col("release"), F.col("artist")) | F.contains(F.lower("release"), head)
     skipped = F.lit(False)
     if first is not None:
         rows = rows.join(first.select("post_id", F.col("ok").alias("first_ok")), "post_id", "left")
@@ -155,7 +157,7 @@ def second_source(published: DataFrame, releases: DataFrame, first: DataFrame |
         "post_id", "artist", "title", (blank | skipped | F.col("release").isNotNull()).alias("ok"),
         F.when(~blank & ~skipped, F.col("release")).alias("hit_title"),
         F.when(blank, "no artist").when(skipped, "skipped; first source agreed")
-        .when(F.col("release").isNull(), "no release hits").alias("note"),
+        .when(F.col("release").isNull(), "no release hits").when(~named, "release without the artist").alias("note"),
     )
 
 

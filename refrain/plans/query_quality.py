@@ -81,12 +81,15 @@ def corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first(spark, sf_dir).withColumn("ok", F.col("ok").cast("int"))
 
 
+RELEASE = "CASE WHEN p_size % 4 = 0 THEN p_brand || ' - ' || p_type WHEN p_size % 4 = 2 THEN 'Hits of ' || p_type END"
+
+
 def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Releases per (artist, title), asked only where the first source did not agree."""
     published = standins.view(spark, sf_dir, ("part", PUBLISHED))
     releases = standins.view(spark, sf_dir, ("part", {
         "query_artist": "p_brand", "query_title": "p_name", "hit_rank": "p_partkey",
-        "title": "CASE WHEN p_size % 2 = 0 THEN p_brand || ' - ' || p_type END",
+        "title": RELEASE,
     }))
     return quality.second_source(published, releases, _first(spark, sf_dir)).withColumn("ok", F.col("ok").cast("int"))
 
@@ -139,6 +142,11 @@ def unchecked_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.unchecked(standins.catalog(spark, sf_dir).select("post_id"), _checks(spark, sf_dir))
 
 
+def unchecked_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 500 songs to ask about, the batch of one run."""
+    return quality.unchecked(standins.catalog(spark, sf_dir).select("post_id"), _checks(spark, sf_dir), 500)
+
+
 # --- verdicts and evidence ----------------------------------------------------------------
 
 EXPECTED = {
@@ -437,10 +445,11 @@ QUERIES = {
             p."from", p.language, p.why, CASE WHEN NOT m.matched THEN 'no' WHEN m.proposed IS NOT NULL THEN 'yes' ELSE 'other' END AS status
         FROM p JOIN matches m USING (post_id)"""),
     "corroborate": (corroborate, f"WITH {_HITS} SELECT post_id, artist, title, CAST(ok AS INT) AS ok, hit_artist, hit_title, note FROM opinions"),
-    "second_source": (second_source, f"""WITH {_HITS}, releases AS (SELECT p_brand AS artist, p_name AS title, arg_min(p_brand || ' - ' || p_type, p_partkey) AS release
+    "second_source": (second_source, f"""WITH {_HITS}, releases AS (SELECT p_brand AS artist, p_name AS title, arg_min({RELEASE}, p_partkey) AS release
             FROM part WHERE p_size % 2 = 0 GROUP BY ALL)
         SELECT post_id, artist, title, CAST(ok OR release IS NOT NULL AS INT) AS ok, CASE WHEN NOT ok THEN release END AS hit_title,
-            CASE WHEN trim(artist) = '' THEN 'no artist' WHEN ok THEN 'skipped; first source agreed' WHEN release IS NULL THEN 'no release hits' END AS note
+            CASE WHEN trim(artist) = '' THEN 'no artist' WHEN ok THEN 'skipped; first source agreed' WHEN release IS NULL THEN 'no release hits'
+                WHEN NOT contains({_alnum('release')}, {_alnum('artist')}) THEN 'release without the artist' END AS note
         FROM opinions LEFT JOIN releases USING (artist, title)"""),
     "corroboration_summary": (corroboration_summary, f"""WITH {_CHECKS} SELECT count(*) AS checked, count(*) FILTER (first_ok AND second_ok) AS both,
         count(*) FILTER (coalesce(first_ok, false) OR coalesce(second_ok, false)) AS either,
@@ -456,6 +465,8 @@ QUERIES = {
             count(*) FILTER (CASE WHEN NOT f THEN first_ok WHEN first_title IS NOT NULL THEN {_AGREED.replace('{t}', 'first_title')} END) AS first_ok,
             count(*) FILTER (CASE WHEN NOT g THEN second_ok WHEN second_title IS NOT NULL THEN {_AGREED.replace('{t}', 'second_title')} END) AS second_ok FROM s"""),
     "unchecked_songs": (unchecked_songs, f"WITH {_CHECKS} SELECT post_id FROM checks WHERE first_ok IS NULL OR second_ok IS NULL OR limited"),
+    "unchecked_batch": (unchecked_batch, f"""WITH {_CHECKS} SELECT post_id FROM checks WHERE first_ok IS NULL OR second_ok IS NULL OR limited
+        ORDER BY post_id LIMIT 500"""),
     "verdict_assertions": (verdict_assertions, f"""WITH {_ASSERTED} SELECT assertion, count(*) FILTER (passed) AS passed, count(passed) AS checked, count(*) AS asserted
         FROM asserted GROUP BY assertion"""),
     "verdict_score": (verdict_score, f"""WITH {_ASSERTED} SELECT count(*) FILTER (passed) AS passed, count(passed) AS checked, count(*) FILTER (NOT passed) AS failed,

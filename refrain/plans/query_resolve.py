@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,8 +133,7 @@ def resolve_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = (standins.table(spark, sf_dir, t) for t in ("orders", "lineitem"))
     dates = lines.groupBy(F.col("l_orderkey").cast("string").alias("recording_id")).agg(F.year(F.min("l_shipdate")).alias("year"))
     works = orders.select(F.col("o_orderkey").cast("string").alias("recording_id"), F.expr(WORK_TITLE).alias("title"), F.expr(WORK_LANGUAGE).alias("language"))
-    suffix = hashlib.md5(sf_dir.encode()).hexdigest()
-    dates, works = (enrich.keep_by_id(t, "recording_id", f"refrain_{n}_{suffix}", 16) for t, n in ((dates, "dates"), (works, "works")))
+    dates, works = (enrich.keep_by_id(t, "recording_id", 16) for t in (dates, works))
     names = standins.table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(F.expr(ACT["artist_id"]).alias("artist_id"), F.expr(CURATED).alias("name"))
     put, settled = (orders.where(c).select(F.col("o_orderkey").alias("post_id")) for c in ("o_orderkey % 7 = 0", "o_orderkey % 6 = 0"))
     decided = cut_lineage(resolve.decide(matches(spark, sf_dir), acts(spark, sf_dir), names, dates, works, put, settled))
@@ -336,6 +333,15 @@ def slug_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.assign_slugs(artists.drop("slug"), artists.select("artist_id", "slug"))
 
 
+def slug_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many artists' pages are merged, curated, told apart or plain."""
+    artists = standins.view(spark, sf_dir, standins.ARTISTS)
+    pages = slug_assign(spark, sf_dir).join(artists.select("artist_id", "name"), "artist_id").groupBy("slug").agg(
+        F.min(F.struct("artist_id", "name")).alias("p"), F.count(F.lit(1)).alias("songs")
+    ).select("slug", "p.*", "songs")
+    return overlay.slug_counts(overlay.slug_review(pages, artists.select("artist_id", "slug")))
+
+
 SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
 SLUGS = f"""WITH RECURSIVE a AS (SELECT *, {SLUG.format('name')} AS base, substring(artist_id, 1, 8) AS short FROM ({standins.sql(standins.ARTISTS)})),
 curated AS (SELECT artist_id, {SLUG.format('slug')} AS slug FROM a WHERE slug <> ''),
@@ -430,4 +436,11 @@ QUERIES = {
     "retain_enrichment": (retain_enrichment, f"""{COMPOSED} SELECT CAST(p_size AS BIGINT) AS p_size, count(year) AS with_year, count(*) AS songs
         FROM composed GROUP BY p_size"""),
     "slug_assign": (slug_assign, SLUGS),
+    "slug_counts": (slug_counts, f"""WITH pages AS (SELECT slug, min(artist_id) AS artist_id FROM ({SLUGS}) GROUP BY slug),
+        all_artists AS (SELECT * EXCLUDE (slug), {SLUG.format("coalesce(slug, '')")} AS given FROM ({standins.sql(standins.ARTISTS)})),
+        sizes AS (SELECT given, count(*) AS n FROM all_artists WHERE given <> '' GROUP BY given),
+        noted AS (SELECT CASE WHEN n > 1 THEN 'merged' WHEN given <> '' THEN 'curated' WHEN p.slug <> {SLUG.format('name')} THEN 'disambiguated' ELSE 'plain' END AS note
+            FROM pages p JOIN all_artists a USING (artist_id) LEFT JOIN sizes USING (given))
+        SELECT count(*) AS pages, count(*) FILTER (note = 'merged') AS merged, count(*) FILTER (note = 'curated') AS curated,
+            count(*) FILTER (note = 'disambiguated') AS disambiguated, count(*) FILTER (note = 'plain') AS plain FROM noted"""),
 }

@@ -65,7 +65,7 @@ ARTISTS = ("supplier", {
     "name": "'Nation ' || CAST(s_nationkey AS STRING) || CASE WHEN s_suppkey % 13 = 2 THEN ' Group' WHEN s_suppkey % 13 = 5 THEN ' No' ELSE '' END",
     "type": "CASE WHEN s_suppkey % 3 = 0 THEN 'Person' WHEN s_suppkey % 3 = 1 THEN 'Group' END",
     "disambiguation": "CASE WHEN s_suppkey % 2 = 0 THEN 'no ' || CAST(s_nationkey + s_suppkey % 4 AS STRING) END",
-    "slug": "CASE WHEN s_acctbal < 0 THEN 'In debt' END",
+    "slug": "CASE WHEN s_acctbal < 0 THEN 'In debt' WHEN s_suppkey % 9 = 1 THEN 'Number ' || CAST(s_suppkey AS STRING) END",
 })
 
 # Composed songs for browsing: parts with years, genres, shows and languages.

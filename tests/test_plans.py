@@ -34,8 +34,8 @@ def test_bucketed_lookups_are_not_shuffled(spark):
     from refrain.plans import query_resolve
 
     n = spark.range(500).select(F.col("id").cast("string").alias("recording_id"), (F.col("id") % 90 + 1900).cast("int").alias("year"))
-    dates = enrich.keep_by_id(n, "recording_id", "plan_test_dates", 4)
-    works = enrich.keep_by_id(n.select("recording_id", F.lit("T").alias("title"), F.lit("eng").alias("language")), "recording_id", "plan_test_works", 4)
+    dates = enrich.keep_by_id(n, "recording_id", 4)
+    works = enrich.keep_by_id(n.select("recording_id", F.lit("T").alias("title"), F.lit("eng").alias("language")), "recording_id", 4)
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -45,5 +45,3 @@ def test_bucketed_lookups_are_not_shuffled(spark):
         assert decided.where("year is not null").count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
-        for name in ("plan_test_dates", "plan_test_works"):
-            spark.sql(f"DROP TABLE {name}")
