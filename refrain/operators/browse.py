@@ -216,6 +216,47 @@ def search_songs(index: DataFrame, members: DataFrame, query: str, limit: int |
     return ordered if limit is None else ordered.limit(limit)
 
 
+#: Letters that a posting is filed under.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct pieces of ``size`` letters, none of a shorter text."""
+    places = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda at: F.substring(text, at, size)))
+
+
+#: What tells search rows apart.
+VARIANT = ["variant_artist", "variant_title"]
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(gram, variant): every search row under each of its pieces of one to three letters; write it once."""
+    rows = index.select(*VARIANT, search_text().alias("text"))
+    pieces = F.flatten(F.array(*[_grams(F.col("text"), F.lit(n)) for n in range(1, GRAM + 1)]))
+    return rows.select(F.explode(pieces).alias("gram"), *VARIANT)
+
+
+def search_batch(queries: DataFrame, filed: DataFrame, index: DataFrame) -> DataFrame:
+    """(query, search row) for all search rows whose text holds each query of a table of queries.
+
+    ``queries``: query; ``filed`` comes from ``postings`` of the index. A query asks under one piece only, that which
+    fewest rows hold, and what it finds is checked on the whole text, once for queries that ask the same. A blank
+    query finds nothing; numbers are looked for in the text like other words.
+    """
+    asked = queries.select("query", F.lower(F.trim("query")).alias("asked")).distinct().filter(F.col("asked") != "")
+    distinct = asked.select("asked").distinct()
+    pieces = distinct.select("asked", F.explode(_grams(F.col("asked"), F.least(F.lit(GRAM), F.char_length("asked")))).alias("gram"))
+    held = filed.join(pieces.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    # A piece that no row holds settles its question: nothing is found.
+    known = pieces.join(held, "gram", "left").groupBy("asked").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")).alias("p"))
+    rarest = known.filter("p.rows > 0").select("asked", "p.gram")
+    maybe = rarest.join(filed, "gram").select("asked", *VARIANT)
+    texts = index.select(*VARIANT, search_text().alias("text"))
+    found = maybe.join(texts, VARIANT).filter(F.contains("text", "asked")).select("asked", *VARIANT)
+    return asked.join(found, "asked").drop("asked").join(index, VARIANT)
+
+
 def search_artists(artists: DataFrame, query: str, limit: int = fixed.SEARCH_ARTISTS) -> DataFrame:
     """Artist hits by name, first in display order."""
     asked = query.strip().lower()

@@ -9,6 +9,7 @@ from refrain.functions import fixed_values as fixed
 from refrain.functions.labels import enrichment_score, performer, song_meta, subtitle
 from refrain.operators import browse, favourites, overlay
 from refrain.plans import standins
+from refrain.session import cut_lineage
 
 
 def _values(items: list[str]) -> str:
@@ -140,6 +141,17 @@ def search_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.search_songs(browse.search_index(songs), browse.variant_members(songs), "12", None).drop("sort_as")
 
 
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every song's second title word on, and its artist's end, as questions to all search rows at once."""
+    songs = standins.songs(spark, sf_dir)
+    index = cut_lineage(browse.search_index(songs))
+    queries = songs.select(F.explode(F.array(F.expr(QUERY), F.expr("substring(artist, -4)"))).alias("query")).distinct()
+    return browse.search_batch(queries, cut_lineage(browse.postings(index)), index).select("query", "id", "title")
+
+
+QUERY = "CASE WHEN post_id % 50 = 0 THEN ' ' WHEN post_id % 50 = 1 THEN 'zq' ELSE substring(song, instr(song, ' ')) || ' ' || artist END"
+
+
 def search_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.search_artists(_artists(spark, sf_dir), "LI 1")
 
@@ -215,10 +227,14 @@ ORDERS = {
 }
 
 
-def _found(condition: str, limit: str = "") -> str:
+def _texts() -> str:
     return f"""WITH {SONGS}, texts AS (SELECT *, lower(concat_ws(' ', song, nullif(artist, ''), nullif("from", ''),
             (SELECT string_agg(category, ' ' ORDER BY (c.category <> coalesce(variants.category, '')), category) FROM cats c WHERE c.post_id = variants.post_id),
-            genre_a, genre_b)) AS t FROM variants)
+            genre_a, genre_b)) AS t FROM variants)"""
+
+
+def _found(condition: str, limit: str = "") -> str:
+    return f"""{_texts()}
         SELECT id, song AS title, artist, "from", year FROM texts WHERE {condition}
         ORDER BY artist COLLATE sv, song COLLATE sv, id {limit}"""
 
@@ -262,6 +278,8 @@ QUERIES = {
     "search_across_fields": (search_across_fields, _found("contains(t, 'bolt brand#1')")),
     "search_number": (search_number, _found("""contains(t, '12') OR (va, vt) IN (SELECT (lower(performer), lower(song)) FROM songs
         WHERE starts_with(CAST(id AS STRING), '12'))""")),
+    "search_batch": (search_batch, f"""{_texts()}, q AS (SELECT DISTINCT unnest([{QUERY.replace('substring(song, instr', 'substring(song, strpos')}, right(artist, 4)]) AS query FROM songs)
+        SELECT query, id, song AS title FROM q JOIN texts ON trim(query) <> '' AND contains(t, lower(trim(query)))"""),
     "search_artists": (search_artists, f"WITH {NAMED} SELECT name, slug FROM artists WHERE contains(lower(name), 'li 1') ORDER BY name COLLATE sv, slug LIMIT 6"),
     "search_documents": (search_documents, """SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', nullif(text, ''), source, lang)), 'and the')"""),
     "songs_by_artist": (songs_by_artist, f"WITH {SONGS} SELECT replace(lower(artist), '#', '-') AS slug, post_id, song FROM songs WHERE artist <> ''"),

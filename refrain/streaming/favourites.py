@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,25 +26,55 @@ def _fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
     yield pd.DataFrame({"user_id": [key[0]], "ids": [kept]})
 
 
-def held_favourites(events: DataFrame) -> DataFrame:
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _fold_settled(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Hold toggles back until the watermark has passed them, then fold those in order of (ts, event_id)."""
+    held, waiting = (set(state.get[0]), json.loads(state.get[1])) if state.exists else (set(), [])
+    for part in () if state.hasTimedOut else parts:
+        for at, event_id, ids in zip(_micros(part.ts), part.event_id.tolist(), part.ids, strict=True):
+            waiting.append([at, event_id, sorted({int(i) for i in ids})])
+    settled = state.getCurrentWatermarkMs() * 1_000
+    waiting.sort()
+    ready = [w for w in waiting if w[0] <= settled]
+    for _, _, ids in ready:
+        row = set(ids)
+        held = held - row if held & row else held | row
+    rest = waiting[len(ready) :]
+    kept = sorted(held)
+    state.update((kept, json.dumps(rest)))
+    if rest:
+        state.setTimeoutTimestamp(max(rest[0][0] // 1_000 + 1, state.getCurrentWatermarkMs() + 1))
+    if ready:
+        yield pd.DataFrame({"user_id": [key[0]], "ids": [kept]})
+
+
+def held_favourites(events: DataFrame, delay: str | None = None) -> DataFrame:
     """(user_id, ids) after each batch, for users with toggles in it.
 
-    ``events`` has user_id, ts, event_id and ids. State is the numbers a user holds, never the
-    events. Order counts within a batch by (ts, event_id), across batches by arrival; rows may
-    overlap in any way.
+    ``events`` has user_id, ts, event_id and ids; rows may overlap in any way. Without a ``delay`` state is the numbers
+    a user holds, and order counts within a batch by (ts, event_id), across batches by arrival. With one, order counts
+    by event time over all batches: toggles wait until the watermark, ``delay`` behind the latest ts, has passed
+    them; what comes later than that is left out, so a state holds at most one delay of a user's toggles.
     """
+    if delay is not None:
+        timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("ids").cast("array<bigint>").alias("ids"))
+        return timed.filter(F.size("ids") > 0).withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(
+            _fold_settled, HELD, "ids array<long>, waiting string", "update", GroupStateTimeout.EventTimeTimeout)
     return events.select("user_id", "ts", "event_id", F.col("ids").cast("array<bigint>").alias("ids")).filter(
         F.size("ids") > 0
     ).groupBy("user_id").applyInPandasWithState(_fold, HELD, "ids array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def start_favourites(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_favourites(events: DataFrame, path: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
     """Write what changed keyed by batch; a replayed batch overwrites itself."""
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        held_favourites(events).writeStream.outputMode("update").foreachBatch(save)
+        held_favourites(events, delay).writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

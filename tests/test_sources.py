@@ -116,6 +116,44 @@ def test_favourites_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, stream.current_favourites(spark.read.parquet(str(tmp_path / "compacted"))).select("user_id", "id").collect())) == held
 
 
+def test_favourites_in_event_time_equal_batch_whatever_batch_they_come_in(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    schema = "user_id long, ts timestamp, event_id long, ids array<long>"
+    start = datetime(2024, 1, 1)
+    events = [(u, start + timedelta(minutes=t), 10 * t + u, sorted({(3 * t + u) % 7, (3 * t + u) % 7 + t % 3})) for t in range(40) for u in (1, 2, 3)]
+    # Every third toggle comes a batch too late, within the delay; the last row only moves the clock on.
+    batches = [[e for e in events if (e[2] // 10 + (5 if e[2] % 3 == 0 else 0)) // 10 == k] for k in range(5)]
+    batches.append([(99, start + timedelta(days=2), 9_999, [1])])
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream.start_favourites(source, str(tmp_path / "out"), str(tmp_path / "state"), "20 minutes").awaitTermination(120)
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    held = sorted(map(tuple, stream.current_favourites(changes).select("user_id", "id").collect()))
+    batch = favourites.fold_favourites(spark.createDataFrame(events, schema))
+    assert held == sorted(map(tuple, batch.select("user_id", "id").collect()))
+    states = spark.read.format("statestore").load(str(tmp_path / "state"))
+    waiting = [r[0] for r in states.select("value.groupState.waiting").collect()] if "groupState" in states.schema["value"].dataType.fieldNames() else []
+    assert all(w in (None, "[]") or "9999" in w for w in waiting)
+
+
+def test_search_of_many_queries_equals_one_at_a_time(spark):
+    from refrain.operators import browse
+    from refrain.plans import standins
+
+    index = browse.search_index(standins.songs(spark, "/root/testdata/sf0.001"))
+    asked = [" Anvil ", "brand#1", "b", "t a", "", "zzz", "ANVIL", "12"]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    found = {}
+    for r in browse.search_batch(queries, browse.postings(index), index).select("query", "title", "artist").collect():
+        found.setdefault(r["query"], []).append((r["title"], r["artist"]))
+    for q in asked:
+        plain = sorted((r["title"], r["artist"]) for r in index.filter(browse.matches_query(q)).collect())
+        assert sorted(found.get(q, [])) == plain
+
+
 def test_verdict_precedence(spark):
     checks = spark.createDataFrame([
         ("a", "resolved", 1, None, "A", None, None, None), ("b", None, None, None, None, None, True, None),
