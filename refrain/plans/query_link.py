@@ -287,7 +287,7 @@ MATCHED = f"""{ALL_PASSES_FOLD}
     SELECT c.post_id, b.row_no IS NOT NULL AS matched, b.row_no, {HOW_NAMES}[b.how + 1] AS how, b.credit,
         CASE WHEN b.row_no IS NULL THEN NULL WHEN p.title IS NOT NULL THEN p.title
             WHEN b.how = 1 AND b.recording LIKE '% / %' THEN string_split(b.recording, ' / ')[1]
-            ELSE regexp_replace(b.recording, ' \(remix\)$', '') END AS title,
+            ELSE replace(b.recording, ' (remix)', '') END AS title,
         CASE WHEN b.row_no IS NOT NULL THEN p."from" END AS "from", CASE WHEN b.row_no IS NOT NULL THEN p.language END AS language,
         CASE WHEN b.proposed THEN p.why END AS proposed, CASE WHEN b.row_no IS NOT NULL THEN b.how < 8 OR p.why IS NOT NULL END AS trusted
     FROM cat c LEFT JOIN best6 b USING (post_id) LEFT JOIN put p USING (post_id)"""

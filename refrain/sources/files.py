@@ -30,6 +30,27 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: How a song's object ends inside the list of an envelope that is written with an indent of two. Line breaks inside
+#: strings are escaped, so this never stands within one.
+_SONG_END = "\n    },"
+_SONG = "id long, postId long, artist string, song string"
+
+
+def read_indented_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``read_catalog`` for an envelope of any size that is written with an indent of two, as the scrape writes it.
+
+    The file is cut where songs end, so as many tasks read it as it has blocks. What stands before the first song and
+    after the last is left off; an object that cannot be read fails the job.
+    """
+    pieces = spark.read.option("lineSep", _SONG_END).text(path)
+    begin = F.instr("value", "\n    {")
+    body = F.col("value").substr(begin, F.char_length("value"))
+    last = F.instr(body, "\n    }")
+    text = F.concat(F.when(last > 0, body.substr(F.lit(1), last)).otherwise(body), F.lit("}"))
+    songs = pieces.filter(begin > 0).select(F.from_json(text, _SONG, {"mode": "FAILFAST"}).alias("s"))
+    return songs.select(F.col("s.postId").alias("post_id"), F.col("s.id").alias("id"), "s.artist", "s.song")
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """The dump's CSV as raw dump rows; short rows and blank keys are dropped.
 

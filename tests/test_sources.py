@@ -96,6 +96,25 @@ def test_listing(spark):
     assert [r.entity for r in listing.unknown_entities(pages).collect()] == ["bogus"]
 
 
+def test_one_large_envelope_is_read_by_many_tasks(spark, tmp_path):
+    import json
+
+    from refrain.sources import files
+
+    songs = [{"id": k // 2, "postId": k, "artist": f"A {k}\n    }},", "song": '}},{"x' if k % 3 else None} for k in range(5_000)]
+    for name, listed in (("all", songs), ("one", songs[:1]), ("none", [])):
+        whole = {"source": "s", "fetchedAt": "t", "count": len(listed), "songs": listed}
+        (tmp_path / f"{name}.json").write_text(json.dumps(whole, indent=2, ensure_ascii=False))
+        path, kept = str(tmp_path / f"{name}.json"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        try:
+            found = files.read_indented_catalog(spark, path)
+            assert found.rdd.getNumPartitions() > (4 if name == "all" else 0)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, files.read_catalog(spark, path).collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_favourites_stream_equals_batch(spark, tmp_path):
     schema = "user_id long, ts long, event_id long, ids array<long>"
     events = [(u, t, 10 * t + u, sorted({(3 * t + u) % 7, (3 * t + u) % 7 + t % 3})) for t in range(40) for u in (1, 2, 3)]
