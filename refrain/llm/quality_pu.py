@@ -165,8 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, learning: Column, prior: float | Non
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     ids = (
         known.where("good").orderBy(*order).limit(positive_rows).select("id", F.lit(True).alias("trusted"))
-        .unionByName(texts.select("id").orderBy(*order).limit(unlabelled_rows).select("id", F.lit(False).alias("trusted"))))
-    found = _feature_rows(texts.join(ids, "id")).toPandas()
+        .unionByName(texts.select("id").distinct().orderBy(*order).limit(unlabelled_rows).select("id", F.lit(False).alias("trusted"))))
+    # At most positive_rows + unlabelled_rows ids go to the texts, which stay where they are; an id counts with one text.
+    chosen = texts.join(F.broadcast(ids), "id").groupBy("id", "trusted").agg(F.min("text").alias("text"))
+    found = _feature_rows(chosen).toPandas()
     if not found.trusted.any():
         return None
     x, trusted = np.array(found.x.tolist()), found.trusted.to_numpy(bool)

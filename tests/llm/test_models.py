@@ -93,3 +93,17 @@ def test_kneser_ney_probabilities_add_up():
     for context in np.unique(run >> language_kneser_ney.BITS)[:40]:
         every = (int(context) << language_kneser_ney.BITS) + np.arange(language_kneser_ney.CLASSES)
         assert abs(np.exp(language_kneser_ney.log_probabilities(model, every)).sum() - 1) < 1e-9
+
+
+def test_quality_sample_counts_an_id_once(spark):
+    rows = [(7, "a good long text about many things")] * 300 + [(k, f"text {k} with its own words") for k in range(8, 20)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (9, 1, 0), (10, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    kept = quality_pu.fit_network
+    quality_pu.fit_network = lambda good, rest, prior: seen.append((len(good), len(rest))) or kept(good, rest, prior)
+    try:
+        quality_pu.fit(docs, labels, F.lit(True))
+    finally:
+        quality_pu.fit_network = kept
+    assert seen == [(2, 13)]
