@@ -53,8 +53,7 @@ PUT = {
 
 
 def proposals_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    put = standins.view(spark, sf_dir, ("orders", PUT)).filter(F.col("why").isin("1-URGENT", "3-MEDIUM"))
-    return quality.proposals_review(put, matches(spark, sf_dir))
+    return quality.proposals_review(standins.view(spark, sf_dir, ("orders", PUT)), matches(spark, sf_dir))
 
 
 # --- second opinions ----------------------------------------------------------------------
@@ -150,7 +149,7 @@ def unchecked_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- verdicts and evidence ----------------------------------------------------------------
 
 EXPECTED = {
-    "artist": "c_name", "status": "CASE WHEN c_custkey % 4 <> 0 THEN 'resolved' END",
+    "artist": "CASE WHEN c_acctbal < 9000 THEN c_name ELSE c_name || ' unheard of' END", "status": "CASE WHEN c_custkey % 4 <> 0 THEN 'resolved' END",
     "artist_count": "CASE WHEN c_custkey % 3 = 0 THEN CAST(1 AS INT) END",
     "collaboration": "CASE WHEN c_custkey % 5 = 0 THEN true END",
     "expect_name": "CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment END",
@@ -159,19 +158,17 @@ EXPECTED = {
     "observe_only": "CASE WHEN c_custkey % 13 = 0 THEN 'undecided' END",
 }
 VERDICT = {
-    "artist": "c_name", "given": "c_acctbal > -500", "status": "CASE WHEN c_acctbal > 2000 THEN 'resolved' ELSE 'ambiguous' END",
+    "artist": "CASE WHEN c_acctbal > -500 THEN c_name ELSE c_name || ' by another name' END", "status": "CASE WHEN c_acctbal > 2000 THEN 'resolved' ELSE 'ambiguous' END",
     "name": "c_mktsegment", "artist_id": "'n' || CAST(c_nationkey AS STRING)", "two": "c_acctbal > 8000",
     "is_collaboration": "CASE WHEN c_acctbal > 8000 THEN true END",
 }
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = standins.view(spark, sf_dir, ("customer", VERDICT)).filter("given")
+    rows = standins.view(spark, sf_dir, ("customer", VERDICT))
     one = F.struct("name", "artist_id")
     verdicts = rows.select("artist", "status", F.when(F.col("two"), F.array(one, one)).otherwise(F.array(one)).alias("artists"), "is_collaboration")
-    checks = standins.view(spark, sf_dir, ("customer", {**EXPECTED, "balance": "c_acctbal"})).filter(
-        F.col("balance") < 9000
-    ).drop("balance")
+    checks = standins.view(spark, sf_dir, ("customer", EXPECTED))
     return checks, verdicts
 
 
@@ -362,8 +359,8 @@ opinions AS MATERIALIZED (SELECT p.post_id, p.artist, p.title, trim(p.artist) =
     FROM published p LEFT JOIN verdicts v USING (artist, title))"""
 _CHECKS = f"checks AS (SELECT {_select(CHECK)}, coalesce(p_size = 11 AND p_size % 5 <> 0, false) AS limited FROM part)"
 _AGREED = f"""({corroborate_sql("regexp_replace(lower({t}), '[^a-z0-9]+', '', 'g')", "regexp_replace(lower(new_title), '[^a-z0-9]+', '', 'g')")})"""
-_ASSERTED = f"""checks AS (SELECT {_select(EXPECTED)} FROM customer WHERE c_acctbal < 9000),
-given AS (SELECT {_select(VERDICT)} FROM customer WHERE c_acctbal > -500),
+_ASSERTED = f"""checks AS (SELECT {_select(EXPECTED)} FROM customer),
+given AS (SELECT {_select(VERDICT)} FROM customer),
 rows AS (SELECT c.*, g.artist IS NOT NULL AS answered, g.status AS got, g.name, g.artist_id, CASE WHEN g.two THEN 2 ELSE 1 END AS n,
     coalesce(g.is_collaboration, false) AS joint, o.artist_id AS other_id
     FROM checks c LEFT JOIN given g USING (artist) LEFT JOIN given o ON o.artist = c.same_entity_as),
@@ -440,7 +437,7 @@ QUERIES = {
     "overrides_review": (overrides_review, f"""WITH {_CAT}, o AS (SELECT * FROM (SELECT {_select(OVERRIDE)} FROM part) WHERE given)
         SELECT o.post_id, c.id, c.artist, c.song, coalesce(o.artist, c.artist) AS shown_artist, coalesce(o.title, c.song) AS shown_title,
             o.category AS categories, 'by hand' AS why FROM o LEFT JOIN cat c USING (post_id)"""),
-    "proposals_review": (proposals_review, f"""WITH {MATCHES}, p AS (SELECT * FROM (SELECT {_select(PUT)} FROM orders) WHERE why IN ('1-URGENT', '3-MEDIUM'))
+    "proposals_review": (proposals_review, f"""WITH {MATCHES}, p AS (SELECT * FROM (SELECT {_select(PUT)} FROM orders))
         SELECT p.post_id, m.id, m.artist AS had_artist, m.song, coalesce(p.artist, m.artist) AS shown_artist, coalesce(p.title, m.song) AS shown_title,
             p."from", p.language, p.why, CASE WHEN NOT m.matched THEN 'no' WHEN m.proposed IS NOT NULL THEN 'yes' ELSE 'other' END AS status
         FROM p JOIN matches m USING (post_id)"""),

@@ -192,11 +192,12 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg((F.count(F.lit(1)) - 8).alias("count"))
 
 
+GENRE_NAME = "CASE WHEN c_acctbal > 9500 THEN lower(c_mktsegment) ELSE 'poor ' || lower(c_mktsegment) END"
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genre names: segments at least two nations' richest customers belong to."""
-    return standins.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 9500).select(
-        F.lower("c_mktsegment").alias("name")
-    ).distinct()
+    """Genre names: segments of the richest customers; what the others call theirs is no tag's name."""
+    return standins.table(spark, sf_dir, "customer").select(F.expr(GENRE_NAME).alias("name")).distinct()
 
 
 def genre_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,8 +359,8 @@ fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS artist_id, CAST
         FROM fold f JOIN turns t ON t.n = f.n + 1))
 SELECT artist_id, slug FROM curated UNION ALL SELECT artist_id, slug FROM fold WHERE n > 0"""
 
-TAGS = """tags AS (SELECT 'n' || CAST(c_nationkey AS STRING) AS artist_id, c_mktsegment AS name, count(*) - 8 AS count FROM customer GROUP BY ALL),
-kept AS (SELECT * FROM tags WHERE count > 0 AND lower(name) IN (SELECT lower(c_mktsegment) FROM customer WHERE c_acctbal > 9500))"""
+TAGS = f"""tags AS (SELECT 'n' || CAST(c_nationkey AS STRING) AS artist_id, c_mktsegment AS name, count(*) - 8 AS count FROM customer GROUP BY ALL),
+kept AS (SELECT * FROM tags WHERE count > 0 AND lower(name) IN (SELECT {GENRE_NAME} FROM customer))"""
 WORKS = """works AS (SELECT l_orderkey AS recording_id, CAST(l_partkey AS STRING) AS work_id, 'Work ' || CAST(l_suppkey AS STRING) AS title,
     CASE WHEN l_quantity > 25 THEN 'eng' ELSE 'swe' END AS language FROM lineitem WHERE l_linestatus = 'F'
     QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R'), l_linenumber, l_partkey) = 1)"""
