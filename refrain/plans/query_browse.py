@@ -125,6 +125,11 @@ def artist_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.letter_runs(_artists(spark, sf_dir)).select(F.col("run").cast("long").alias("run"), "letter", "artists")
 
 
+def letter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artists under one letter of the list."""
+    return browse.letter_page(_artists(spark, sf_dir), "L").select("name", "slug")
+
+
 def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     songs = standins.songs(spark, sf_dir)
     return browse.search_songs(browse.search_index(songs), browse.variant_members(songs), " Anvil ").drop("sort_as")
@@ -274,6 +279,7 @@ QUERIES = {
         marked AS (SELECT *, CASE WHEN letter IS DISTINCT FROM lag(letter) OVER (ORDER BY place) THEN 1 ELSE 0 END AS s FROM placed),
         runs AS (SELECT letter, sum(s) OVER (ORDER BY place) AS run FROM marked)
         SELECT CAST(run AS BIGINT) AS run, letter, count(*) AS artists FROM runs GROUP BY ALL"""),
+    "letter_page": (letter_page, f"WITH {NAMED} SELECT name, slug FROM artists WHERE upper(substring(name, 1, 1)) = 'L'"),
     "search_rows": (search_rows, _found("contains(t, 'anvil')", "LIMIT 80")),
     "search_across_fields": (search_across_fields, _found("contains(t, 'bolt brand#1')")),
     "search_number": (search_number, _found("""contains(t, '12') OR (va, vt) IN (SELECT (lower(performer), lower(song)) FROM songs

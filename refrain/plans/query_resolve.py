@@ -103,6 +103,18 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(resolve.decide(matches(spark, sf_dir), acts(spark, sf_dir)))
 
 
+def artist_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as nested lookup hits, made into artist records."""
+    hits = standins.table(spark, sf_dir, "supplier").selectExpr(
+        "'s' || CAST(s_suppkey AS STRING) AS id", "s_name AS name", "'B' || CAST(s_suppkey AS STRING) AS sort_name",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'Group' END AS type", "CAST(s_nationkey AS STRING) AS country",
+        "CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'no ' || CAST(s_suppkey AS STRING) END AS disambiguation",
+        """named_struct('begin', CASE WHEN s_acctbal > 0 THEN '1970-05' END, 'end', CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '1999' END) AS life_span""",
+        """array(named_struct('name', s_name), named_struct('name', upper(s_name)), named_struct('name', 'S' || CAST(s_nationkey AS STRING)),
+            named_struct('name', upper(s_name))) AS aliases""")
+    return enrich.to_artists(hits).withColumn("aliases", F.array_join("aliases", "|"))
+
+
 def majority_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.majority_entity(matches(spark, sf_dir))
 
@@ -393,6 +405,10 @@ FROM (SELECT *, "case" IN ('normal', 'placeholder') AS full_row, "case" NOT IN (
     AND coalesce(NOT regexp_matches(sole_name, '^\\[.*\\]$'), false) AS alone FROM decided) JOIN extra USING (post_id)"""
 
 QUERIES = {
+    "artist_records": (artist_records, """SELECT 's' || s_suppkey AS artist_id, s_name AS name, 'B' || s_suppkey AS sort_name,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'Group' END AS type, CAST(s_nationkey AS VARCHAR) AS country, CASE WHEN s_suppkey % 2 <> 0 THEN 'no ' || s_suppkey END AS disambiguation,
+        CASE WHEN s_acctbal > 0 THEN '1970-05' END AS began, CASE WHEN s_suppkey % 5 <> 0 THEN '1999' END AS ended,
+        upper(s_name) || '|S' || s_nationkey AS aliases FROM supplier"""),
     "resolve_enriched": (resolve_enriched, ENRICHED_ROWS),
     "majority_entity": (majority_entity, f"WITH {MATCHES} SELECT * FROM majority"),
     "resolve_cases": (resolve_cases, f"{DECIDED} SELECT * EXCLUDE (full_row) FROM ({RESOLVED})"),
