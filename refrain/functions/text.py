@@ -92,40 +92,33 @@ def _replaced(c: Column, table: dict[str, str]) -> Column:
     return c
 
 
-def _by_sign(c: Column, spelled: Callable[[Column], Column]) -> Column:
-    return F.array_join(F.transform(F.split(c, ""), spelled), "")
+def _jamo(sign: Column) -> Column:
+    """A Hangul syllable as lead, vowel and, if any, tail."""
+    signs = ["".join(chr(at + k) for k in range(n)) for at, n in zip(JAMO, (19, VOWELS, TAILS), strict=True)]
 
+    def part(k: Column, of: int) -> Column:
+        return F.substring(text_literal(signs[of]), k.cast("int") + 1, F.lit(1))
 
-def _hangul(c: Column) -> Column:
-    """Syllables as their jamo: lead, vowel and, if any, tail."""
-    leads, vowels, tails = ("".join(chr(at + k) for k in range(n)) for at, n in zip(JAMO, (19, VOWELS, TAILS), strict=True))
-
-    def jamo(signs: str, k: Column) -> Column:
-        return F.substring(text_literal(signs), k.cast("int") + 1, F.lit(1))
-
-    def spelled(sign: Column) -> Column:
-        k = F.ascii(sign) - HANGUL
-        tail = F.when(k % TAILS == 0, F.lit("")).otherwise(jamo(tails, k % TAILS))
-        syllable = F.concat(jamo(leads, F.floor(k / (VOWELS * TAILS))), jamo(vowels, F.floor(k % (VOWELS * TAILS) / TAILS)), tail)
-        return F.when(sign.rlike(HANGUL_SIGNS), syllable).otherwise(sign)
-
-    return F.when(c.rlike(HANGUL_SIGNS), _by_sign(c, spelled)).otherwise(c)
+    return bind(F.ascii(sign) - HANGUL, lambda k: F.concat(
+        part(F.floor(k / (VOWELS * TAILS)), 0), part(F.floor(k % (VOWELS * TAILS) / TAILS), 1),
+        F.when(k % TAILS == 0, F.lit("")).otherwise(part(k % TAILS, 2)),
+    ))
 
 
 def _decomposed(c: Column) -> Column:
-    """Compatibility decomposition of text outside ASCII, with marks dropped; the rarer kinds are looked for first."""
+    """Compatibility decomposition of text outside ASCII, with marks dropped; the text is evaluated once."""
     letters, bases, several, spelled = decomposition()
-
-    one = F.translate(c, letters, bases)
-    rare = F.translate(one, several, "") != one
     known = F.split(text_literal(spelled), "\0")
 
-    def long_form(sign: Column) -> Column:
-        at = F.instr(text_literal(several), sign)
-        return F.when(at > 0, F.element_at(known, at)).otherwise(sign)
+    def of_sign(sign: Column) -> Column:
+        return bind(F.instr(text_literal(several), sign), lambda at: F.when(at > 0, F.element_at(known, at)).when(
+            sign.rlike(HANGUL_SIGNS), _jamo(sign)).otherwise(sign))
+
+    def whole(one: Column) -> Column:
+        rare = (F.translate(one, several, "") != one) | one.rlike(HANGUL_SIGNS)
+        return F.when(rare, F.array_join(F.transform(F.split(one, ""), of_sign), "")).otherwise(one)
 
-    whole = F.when(rare, _by_sign(one, long_form)).otherwise(one)
-    return _hangul(whole)
+    return bind(F.translate(c, letters, bases), whole)
 
 
 def unmarked(c: Column) -> Column:
