@@ -25,7 +25,7 @@ ENTRY = [
 ]
 ROW = ["row_no", "recording_id", "credit", "artist_ids", "recording", "release", "score"]
 #: Candidates of one song that are folded together before summaries are chained; it decides the cost only.
-BLOCK_ROWS = 48
+BLOCK_ROWS = 16
 
 
 def how_index(how: Column) -> Column:

@@ -333,13 +333,13 @@ def key_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: dirty catalogue to dump by expanded keys, best row per song."""
-    songs, dump = standins.catalog(spark, sf_dir), link.prepare_dump(standins.dump(spark, sf_dir))
+    songs, dump = standins.catalog(spark, sf_dir), cut_lineage(link.prepare_dump(standins.dump(spark, sf_dir)))
     best = best_match(link.link_exact(cut_lineage(wanted_keys(songs)), dump), mode="total_order")
     return _winners(link.with_rows(best, dump, allowed_language(songs)))
 
 
 def link_prefix_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    songs, dump = standins.catalog(spark, sf_dir), link.prepare_dump(standins.dump(spark, sf_dir))
+    songs, dump = standins.catalog(spark, sf_dir), cut_lineage(link.prepare_dump(standins.dump(spark, sf_dir)))
     best = best_match(link.link_prefix(cut_lineage(wanted_keys(songs)), dump), mode="total_order")
     return _winners(link.with_rows(best, dump, allowed_language(songs)))
 
