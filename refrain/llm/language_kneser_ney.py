@@ -6,7 +6,7 @@ key arrays with the log probability of each seen run and the weight each context
 64 ** 4 keys bound it whatever the corpus. All learning rows are counted, over their whole texts.
 
 A text gets the language of lowest cross-entropy per letter. Its score is a softmax over the languages
-whose sharpness is fitted on learning rows; ``accepted`` says whether the cross-entropy is one that
+whose sharpness is fitted on all learning rows; ``accepted`` says whether the cross-entropy is one that
 nearly all learning rows of that language stay under.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, not accepted; equal
@@ -16,6 +16,7 @@ learning row every text is ``und``; repeated rows score alike.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,9 @@ ORDER = 4
 BITS = 6
 CLASSES = 1 << BITS
 UNKNOWN = "und"
-#: Learning rows that sharpness and acceptance are fitted on at most, chosen by the hash of their id.
-CALIBRATION_ROWS = 4_000
+#: Sharpness values that are tried, and the width (nats) of the steps in which entropies are counted for acceptance.
+SHARPNESS = 2.0 ** np.arange(-6, 7)
+ENTROPY_STEP = 1e-3
 #: Share of a language's learning rows that acceptance keeps.
 ACCEPTED_SHARE = 0.999
 _EDGE = 0x10FFFF
@@ -154,21 +156,27 @@ class Models:
                 out[a:b, k] = -np.bincount(row, log_probabilities(model, keys)[at], b - a) / np.maximum(n, 1)
         return out, letters
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Fit sharpness to the likelihood of the true languages, and the limits to their own entropies."""
+    def fitted(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Loss of each sharpness summed over the texts, and language and entropy step of each text with a letter."""
         entropy, letters = self.entropies(texts)
-        truth = np.array([self.langs.index(x) for x in langs])
+        truth = np.array([self.langs.index(x) for x in langs], np.int64)
         some = letters > 0
         entropy, truth, letters = entropy[some], truth[some], letters[some]
+        own = np.arange(len(truth)), truth
         if not len(truth):
+            return np.zeros(len(SHARPNESS)), truth, truth
+        loss = [-np.log(np.maximum(self._softmax(entropy, letters, g)[own], 1e-12)).sum() for g in SHARPNESS]
+        return np.array(loss), truth, np.ceil(entropy[own] / ENTROPY_STEP).astype(np.int64)
+
+    def calibrate(self, losses: np.ndarray, counts: pd.DataFrame) -> None:
+        """Sharpness by the likelihood of the true languages; limits by the languages' own entropies (lang, step, n)."""
+        if not len(counts):
             return
-        grid = 2.0 ** np.arange(-6, 7)
-        loss = [-np.log(np.maximum(self._softmax(entropy, letters, g)[np.arange(len(truth)), truth], 1e-12)).mean() for g in grid]
-        self.sharpness = float(grid[int(np.argmin(loss))])
-        for k in range(len(self.langs)):
-            own = entropy[truth == k, k]
-            if len(own):
-                self.limits[k] = np.quantile(own, ACCEPTED_SHARE) * 1.05
+        self.sharpness = float(SHARPNESS[int(np.argmin(losses))])
+        for k, own in counts.sort_values("step").groupby("lang"):
+            reached = own.n.cumsum().to_numpy()
+            at = int(np.searchsorted(reached, np.ceil(ACCEPTED_SHARE * reached[-1])))
+            self.limits[int(k)] = own.step.to_numpy()[at] * ENTROPY_STEP * 1.05
 
     def _softmax(self, entropy: np.ndarray, letters: np.ndarray, sharpness: float) -> np.ndarray:
         z = -entropy * sharpness * np.sqrt(letters + 1)[:, None]
@@ -197,8 +205,27 @@ def _pack(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lang", "place", "runs", "logs", "contexts", "weights"])
 
 
+def calibration(rows: DataFrame, models: Models) -> tuple[np.ndarray, pd.DataFrame]:
+    """What calibrate needs, over all rows (text, lang): tasks send on sums and counts per entropy step, not texts."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        losses, counts = np.zeros(len(SHARPNESS)), Counter()
+        for part in parts:
+            loss, lang, step = sent.value.fitted(part.text.tolist(), part.lang.tolist())
+            losses += loss
+            counts.update(zip(lang.tolist(), step.tolist(), strict=True))
+        rows = [(-1, k, 0, float(x)) for k, x in enumerate(losses)] + [(*at, n, 0.0) for at, n in counts.items()]
+        yield pd.DataFrame(rows, columns=["lang", "step", "n", "loss"])
+
+    sums = rows.mapInPandas(run, "lang int, step bigint, n bigint, loss double").groupBy("lang", "step")
+    found = sums.agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).toPandas()
+    losses = found[found.lang < 0].sort_values("step").loss.to_numpy()
+    return losses, found[found.lang >= 0]
+
+
 def fit(docs: DataFrame, learning: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Models:
-    """Count all learning rows, smooth each language in a task of its own, calibrate on a bounded sample."""
+    """Count all learning rows, smooth each language in a task of its own, calibrate on all learning rows."""
     packed = counted(docs, learning, id_column, text_column, lang_column).groupBy("lang").applyInPandas(_pack, _PACKED).collect()
     by_lang: dict[str, dict[int, tuple]] = {}
     for r in packed:
@@ -208,9 +235,7 @@ def fit(docs: DataFrame, learning: Column, id_column: str = "doc_id", text_colum
     models = Models(langs, [[by_lang[x][k] for k in range(ORDER)] for x in langs])
     if langs:
         some = docs.where(learning & F.col(lang_column).isin(langs) & F.col(text_column).isNotNull())
-        ids = some.select(F.col(id_column).alias("id")).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).distinct()
-        sample = some.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).join(ids, "id").toPandas()
-        models.calibrate(sample.text.tolist(), sample.lang.tolist())
+        models.calibrate(*calibration(some.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")), models))
     return models
 
 

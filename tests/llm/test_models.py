@@ -107,3 +107,24 @@ def test_quality_sample_counts_an_id_once(spark):
     finally:
         quality_pu.fit_network = kept
     assert seen == [(2, 13)]
+
+
+def test_languages_are_calibrated_on_every_learning_row(spark):
+    from refrain.llm import language_kneser_ney as kn
+
+    words = {"a": ["bada", "dabe", "bedo"], "b": ["fink", "kilf", "niff"]}
+    rows = [(i, " ".join(words["ab"[i % 2]][(i * k) % 3] for k in range(3 + i % 4)), "ab"[i % 2]) for i in range(5_000)]
+    rows += [(5_000, None, "a"), (5_001, "123", "b"), (5_002, "bada", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = kn.fit(docs, F.col("doc_id") >= 0)
+    losses, counts = kn.calibration(docs.where("text is not null and lang is not null").select("text", "lang"), models)
+    assert counts.n.sum() == 5_000
+    texts, langs = [r[1] for r in rows[:5_000]], [r[2] for r in rows[:5_000]]
+    entropy, letters = models.entropies(texts)
+    truth = np.array([models.langs.index(x) for x in langs])
+    plain = [-np.log(np.maximum(models._softmax(entropy, letters, g)[np.arange(5_000), truth], 1e-12)).sum() for g in kn.SHARPNESS]
+    assert np.allclose(losses, plain) and models.sharpness == kn.SHARPNESS[int(np.argmin(plain))]
+    for k in range(2):
+        own = np.sort(entropy[truth == k, k])
+        wanted = own[int(np.ceil(kn.ACCEPTED_SHARE * len(own))) - 1]
+        assert 0 <= models.limits[k] / 1.05 - wanted < 1.001 * kn.ENTROPY_STEP
