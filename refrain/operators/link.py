@@ -25,7 +25,7 @@ from refrain.functions.titles import (
 )
 from refrain.operators.expand import PROPOSAL_FIELDS
 from refrain.operators.select import ROW, best_match
-from refrain.session import cut_lineage
+from refrain.session import cut_lineage, dealt_out
 
 HOW = {name: index for index, name in enumerate(fixed.HOWS)}
 GRADED = ["live", "variant_plain", "variant_asked"]
@@ -43,7 +43,7 @@ def prepare_dump(dump: DataFrame) -> DataFrame:
     if "key" in dump.columns:
         key, dump = F.col("key"), dump.filter(F.col("key") != "")
     recording, release = F.col("recording"), F.col("release")
-    graded = dump.withColumn("bare", strip_annotation(recording)).select(
+    graded = dealt_out(dump).withColumn("bare", strip_annotation(recording)).select(
         *ROW, key.alias("key"), combined_lookup(recording).alias("recording_key"),
         combined_lookup(F.col("bare")).alias("bare_key"),
         combined_lookup(F.col("credit")).alias("credit_key"), is_live_release(release).alias("live"),

@@ -11,7 +11,7 @@ from refrain.operators import link
 from refrain.operators.expand import allowed_language, wanted_keys
 from refrain.operators.select import best_match, how_name
 from refrain.plans import matching, standins
-from refrain.session import cut_lineage
+from refrain.session import cut_lineage, dealt_out
 
 
 def key(text: str) -> str:
@@ -299,7 +299,7 @@ class Inputs:
     """The linkage inputs over one folder; the prepared dump and the keys are materialised on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.songs = standins.catalog(spark, sf_dir)
+        self.songs = cut_lineage(dealt_out(standins.catalog(spark, sf_dir)))
         self.raw = standins.dump(spark, sf_dir)
         self.allow = allowed_language(self.songs)
 
