@@ -134,14 +134,30 @@ def _chunk(texts: list[bytes], words: np.ndarray, width: int) -> np.ndarray:
     ones = np.zeros((len(texts), 64), np.int64)
     for at in range(0, len(doc), CHUNK_SHINGLES):
         f, t, d = start[at : at + CHUNK_SHINGLES], size[at : at + CHUNK_SHINGLES], doc[at : at + CHUNK_SHINGLES]
-        h = xxh64_slices(data, f, t)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        ones[d[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+        _add_bits(ones, d, xxh64_slices(data, f, t))
+    return _majority(ones, shingles)
+
+
+def _add_bits(ones: np.ndarray, doc: np.ndarray, h: np.ndarray) -> None:
+    """Counts the bits of the hashes, in order of their texts, to the rows of those."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    ones[doc[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+
+
+def _majority(ones: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     set_bits = (2 * ones > shingles[:, None]).astype(np.uint8)
     return np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def set_fingerprints(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The fingerprints of sets of shingles, from their hashes in order of their texts and the number of each text."""
+    ones = np.zeros((len(size), 64), np.int64)
+    for at in range(0, len(doc), CHUNK_SHINGLES):
+        _add_bits(ones, doc[at : at + CHUNK_SHINGLES], h[at : at + CHUNK_SHINGLES])
+    return _majority(ones, size)
+
+
 def distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int16)
 
@@ -217,9 +233,8 @@ class Joined:
                 self.root = flat
 
 
-def shard_groups(points: np.ndarray, guest: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """The group (smallest row number) of each point of a shard, over all links with at least one own row."""
-    groups = Joined(len(points))
+def shard_links(points: np.ndarray, guest: np.ndarray, reach: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of a shard within reach of each other, each a an own row, some at a time."""
     work = [(np.arange(len(points)), guest)]
     while work:
         rows, visiting = work.pop()
@@ -232,10 +247,17 @@ def shard_groups(points: np.ndarray, guest: np.ndarray, reach: int = REACH) -> n
             for at in range(0, len(own), step):
                 some = own[at : at + step]
                 a, b = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[rows][None, :]) <= reach)
-                groups.link(some[a], rows[b])
+                yield some[a], rows[b]
             continue
         for kept, seen in _sides(points[rows], visiting, *found, reach):
             work.append((rows[kept], seen))
+
+
+def shard_groups(points: np.ndarray, guest: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """The group (smallest row number) of each point of a shard, over all links with at least one own row."""
+    groups = Joined(len(points))
+    for a, b in shard_links(points, guest, reach):
+        groups.link(a, b)
     return groups.root
 
 
