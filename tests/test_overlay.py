@@ -24,6 +24,18 @@ def test_components_keep_scopes_apart(spark):
     assert found == {("x", i): 0 for i in range(1, 21)} | {("y", 9): 5}
 
 
+def test_components_deal_out_hot_centres_only(spark, monkeypatch):
+    star = [("x", i, i + 1) for i in range(9)] + [("x", 100, i) for i in range(50, 90)] + [("y", 3, 4), (None, 1, 2)]
+    edges = spark.createDataFrame(star, "s string, u long, v long")
+    cold = {(r.s, r.node): r.root for r in linked.components(edges, ("s",)).collect()}
+    assert "Generate" not in linked._large_star(edges, ("s",), len(star))._jdf.queryExecution().toString()
+    monkeypatch.setattr(linked, "HOT_LINKS", 3)
+    assert "Generate" in linked._large_star(edges, ("s",), len(star))._jdf.queryExecution().toString()
+    hot = {(r.s, r.node): r.root for r in linked.components(edges, ("s",)).collect()}
+    expected = {("x", i): 0 for i in range(1, 10)} | {("x", i): 50 for i in [*range(51, 90), 100]} | {("y", 4): 3}
+    assert {k: v for k, v in cold.items() if k[0]} == {k: v for k, v in hot.items() if k[0]} == expected
+
+
 def test_an_artist_string_of_many_ids(spark):
     asks = spark.createDataFrame([(1, "various", "stay"), (2, "various", "go"), (3, "abba", "stay")], "post_id long, artist_key string, recording_key string")
     ids = spark.createDataFrame([("various", f"i{n}") for n in range(1_000)] + [("abba", "i7")], "artist_key string, artist_id string")
