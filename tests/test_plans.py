@@ -45,3 +45,44 @@ def test_bucketed_lookups_are_not_shuffled(spark):
         assert decided.where("year is not null").count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def _below(text, mark):
+    """The part of a plan under the first line that holds ``mark``."""
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if mark in line)
+    depth = lines[at].index("Exchange")
+    rest = [line for line in lines[at + 1:]]
+    end = next((i for i, line in enumerate(rest) if len(line) - len(line.lstrip(" :+-|")) <= depth), len(rest))
+    return "\n".join(rest[:end])
+
+
+def test_matches_move_by_recording_before_they_carry_the_records_of_their_credits(spark):
+    from refrain.plans import query_resolve
+
+    dates = enrich.keep_by_id(spark.range(50).select(F.col("id").cast("string").alias("recording_id"), F.lit(1999).alias("year")), "recording_id", 4)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = _below(plan(resolve.decide(query_resolve.matches(spark, SF), query_resolve.acts(spark, SF), dates=dates)), "hashpartitioning(recording_id")
+        assert "Scan parquet" in moved and "collect_list" not in moved and "post_id" in moved and "Join" not in moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_the_act_of_each_string_joins_by_its_size(spark):
+    from refrain.plans import query_resolve
+
+    text = plan(resolve.decide(query_resolve.matches(spark, SF), query_resolve.acts(spark, SF)))
+    assert "hashpartitioning(artist#" not in text and "hashpartitioning(artist_id#" not in text
+
+
+def test_repeated_and_unnumbered_matches_keep_their_lookups(spark):
+    names = "post_id long, id long, artist string, song string, matched boolean, trusted boolean, placeholder boolean, how string, proposed string, credit string, recording string, recording_id string, title string, `from` string, language string, artist_ids array<string>"
+    rows = [(p, 1, "A", "S", True, True, False, "exact", None, "C", "S", r, "S", None, None, ["a"]) for p, r in ((1, "r"), (1, "r"), (None, "r"), (2, None))]
+    artists = spark.createDataFrame([("a", "A", "A", None, [], [])], "artist_id string, name string, sort_name string, disambiguation string, genres array<struct<name: string, count: int>>, aliases array<string>")
+    dates = spark.createDataFrame([("r", 1990), ("r", 1990)], "recording_id string, year int")
+    found = resolve.decide(spark.createDataFrame(rows, names), artists, dates=dates).select("post_id", "year", "case", F.size("known").alias("n")).collect()
+    got = sorted(((r["post_id"] or 0, r["year"], r["case"], r["n"]) for r in found), key=str)
+    # A repeated post meets the ids of both its rows, and each row both dates; an unnumbered one has none known.
+    assert got == sorted([(1, 1990, "normal", 2)] * 8 + [(0, 1990, "normal", None)] * 2 + [(2, None, "normal", 1)], key=str)
