@@ -361,13 +361,16 @@ def _artist_blocks() -> Column:
     ))
 
 
-def link_title_first(songs: DataFrame, dump: DataFrame) -> DataFrame:
+def link_title_first(songs: DataFrame, dump: DataFrame, classes: bool = False) -> DataFrame:
     """Candidates, by row_no, with the song's exact title and a credit close to its artist string.
 
     Songs and credits meet on (title, block), never on the title alone; the predicate is then
-    checked once per pair of distinct strings.
+    checked once per pair of distinct strings. ``classes`` keeps the earliest row per song, combined
+    as bare numbers before any song's rows are brought together.
     """
-    titles = songs.select("post_id", "artist", F.explode(_title_keys()).alias("asked")).filter(F.length("asked") >= 4)
+    titles = cut_lineage(
+        songs.select("post_id", "artist", F.explode(_title_keys()).alias("asked")).filter(F.length("asked") >= 4)
+    )
     known = titles.select("asked").distinct()
     rows = dump.withColumn("asked", F.explode(F.array_distinct(F.array("recording_key", "bare_key")))).filter(
         F.endswith("key", "asked")
@@ -385,8 +388,12 @@ def link_title_first(songs: DataFrame, dump: DataFrame) -> DataFrame:
     pairs = left.join(right, ["asked", "block"]).filter(keys_accept_title(
         F.col("own_key"), F.col("credit_key"), F.col("lead_key"), F.col("credit_lead"), F.col("asked")
     )).select("asked", "artist", "credit").distinct()
-    nearest = pairs.join(firsts, ["asked", "credit"]).groupBy("asked", "artist").agg(F.min("row_no").alias("row_no"))
+    nearest = cut_lineage(
+        pairs.join(firsts, ["asked", "credit"]).groupBy("asked", "artist").agg(F.min("row_no").alias("row_no"))
+    )
     joined = titles.join(nearest, ["asked", "artist"]).select("post_id", "row_no")
+    if classes:
+        joined = joined.groupBy("post_id").agg(F.min("row_no").alias("row_no"))
     return _candidates(joined.withColumn("how", F.lit(HOW["title-first"])), 4)
 
 

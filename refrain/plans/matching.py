@@ -59,7 +59,7 @@ def match_songs(
     best = cut_lineage(best.join(better.select("post_id"), "post_id", "left_anti").unionByName(better))
 
     best = _extend(best, link.link_collab(link.unmatched(songs, best), dump, ids), dump, allow)
-    best = _extend(best, link.link_title_first(link.unmatched(songs, best), dump), dump, allow)
+    best = _extend(best, link.link_title_first(link.unmatched(songs, best), dump, classes=True), dump, allow)
 
     again = cut_lineage(link.learn_ids(songs, best, again=True))
     best = _extend(best, link.link_scoped(link.unmatched(songs, best), allow, dump, again, number=5), dump, allow)

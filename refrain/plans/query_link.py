@@ -378,7 +378,7 @@ def link_collab_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_title_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact title with a close enough credit over all songs, earliest row per song."""
     i = Inputs(spark, sf_dir)
-    return i.winners(link.link_title_first(i.songs, i.dump), "first")
+    return i.winners(link.link_title_first(i.songs, i.dump, classes=True), "first")
 
 
 def link_near(spark: SparkSession, sf_dir: str) -> DataFrame:

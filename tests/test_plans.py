@@ -86,3 +86,26 @@ def test_repeated_and_unnumbered_matches_keep_their_lookups(spark):
     got = sorted(((r["post_id"] or 0, r["year"], r["case"], r["n"]) for r in found), key=str)
     # A repeated post meets the ids of both its rows, and each row both dates; an unnumbered one has none known.
     assert got == sorted([(1, 1990, "normal", 2)] * 8 + [(0, 1990, "normal", None)] * 2 + [(2, None, "normal", 1)], key=str)
+
+
+def test_title_first_combines_bare_row_numbers_per_song(spark):
+    from refrain.plans import standins
+
+    songs, dump = standins.catalog(spark, SF), link.prepare_dump(standins.dump(spark, SF))
+    found = link.link_title_first(songs, dump, classes=True)
+    text = plan(found)
+    assert "HashAggregate" in text and "SortAggregate" not in text and "hashpartitioning(post_id" in text
+    # No title or credit is folded again by then: songs meet the nearest rows as kept strings.
+    assert "regexp_replace" not in text and "levenshtein" not in text
+    every = link.link_title_first(songs, dump).groupBy("post_id").agg(F.min("row_no").alias("row_no"))
+    rows = {(r["post_id"], r["row_no"]) for r in found.collect()}
+    assert rows and rows == {(r["post_id"], r["row_no"]) for r in every.collect()}
+
+
+def test_collab_and_prefix_passes_fold_each_string_once(spark):
+    from refrain.plans import standins
+
+    songs, dump = standins.catalog(spark, SF), link.prepare_dump(standins.dump(spark, SF))
+    ids = spark.createDataFrame([(f"brand{n}", f"a{n}") for n in range(1, 26)], "artist_key string, artist_id string")
+    assert "regexp_replace" not in plan(link.link_collab(songs, dump, ids))
+    assert "regexp_replace" not in plan(link.prefix_asks(spark.createDataFrame([("brand1", )], "key string"), dump))
