@@ -307,15 +307,17 @@ def link_collab(songs: DataFrame, dump: DataFrame, ids: DataFrame) -> DataFrame:
     article = parts.join(own, ["post_id", "part_no"], "left_anti").join(
         known.withColumnRenamed("artist_key", "the_key"), "the_key", "left_semi"
     ).select("post_id", "part_no", F.col("the_key").alias("artist_key"))
-    named = own.unionByName(article)
+    named = cut_lineage(own.unionByName(article))
     needed = named.groupBy("post_id").agg(
         F.count(F.lit(1)).alias("needed"), F.min_by("artist_key", "part_no").alias("artist_key")
     ).filter("needed >= 2")
-    asks = needed.join(songs, "post_id").select("post_id", "needed", "artist_key", F.explode(_title_keys()).alias("recording_key")) \
-        .filter(F.col("recording_key") != "")
+    asks = cut_lineage(needed.join(songs, "post_id").select(
+        "post_id", "needed", "artist_key", F.explode(_title_keys()).alias("recording_key")
+    ).filter(F.col("recording_key") != ""))
     rows = _by_title_and_id(dump).join(asks.select("recording_key").distinct(), "recording_key", "left_semi")
     firsts = rows.groupBy("recording_key", "artist_id", "artist_ids").agg(F.min("row_no").alias("row_no"))
-    pairs = known_pairs(asks, firsts, ids).drop("artist_id", "artist_key").dropDuplicates(["post_id", "row_no"])
+    firsts = cut_lineage(firsts)
+    pairs = cut_lineage(known_pairs(asks, firsts, ids).drop("artist_id", "artist_key").dropDuplicates(["post_id", "row_no"]))
     credited = pairs.select("post_id", "row_no", F.explode("artist_ids").alias("artist_id"))
     held = credited.join(named, "post_id").join(ids, ["artist_key", "artist_id"], "left_semi").groupBy(
         "post_id", "row_no"

@@ -364,7 +364,7 @@ def link_artist_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoped candidates for songs without a clean row, best per song."""
     i = Inputs(spark, sf_dir)
     best = i.best()
-    ids = link.learn_ids(i.songs, best)
+    ids = cut_lineage(link.learn_ids(i.songs, best))
     found = link.link_scoped(link.unmatched_or_poor(i.songs, best), i.allow, i.dump, ids)
     return i.winners(found, "total_order")
 
@@ -372,7 +372,7 @@ def link_artist_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_collab_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free collaborations over all songs, earliest row per song."""
     i = Inputs(spark, sf_dir)
-    return i.winners(link.link_collab(i.songs, i.dump, link.learn_ids(i.songs, i.best())), "first")
+    return i.winners(link.link_collab(i.songs, i.dump, cut_lineage(link.learn_ids(i.songs, i.best()))), "first")
 
 
 def link_title_first(spark: SparkSession, sf_dir: str) -> DataFrame:
