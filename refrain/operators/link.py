@@ -445,8 +445,10 @@ def link_near(
     """
     reach = cut_lineage(reach_artists(songs, credits.select("artist_key").distinct()))
     spelled = credits.join(reach.select("artist_key").distinct(), "artist_key", "left_semi")
-    heads = spelled.filter(F.col("credit_key") != "").select("artist_key", F.col("credit_key").alias("head")).distinct()
-    members = spelled.select("artist_key", F.explode("ids").alias("artist_id")).distinct()
+    heads = cut_lineage(
+        spelled.filter(F.col("credit_key") != "").select("artist_key", F.col("credit_key").alias("head")).distinct()
+    )
+    members = cut_lineage(spelled.select("artist_key", F.explode("ids").alias("artist_id")).distinct())
     by_id = dump.select("*", F.explode("artist_ids").alias("artist_id")).join(
         members.select("artist_id").distinct(), "artist_id", "left_semi"
     )
