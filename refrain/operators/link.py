@@ -110,8 +110,8 @@ def prefix_asks(keys: DataFrame, dump: DataFrame) -> DataFrame:
     """Dump rows whose key is not wanted, under the longest wanted key that heads it, graded.
 
     Only four kinds of head can be graded at all: the key without its bracket, the medley's
-    first half, and heads at most two letters short. Those are probed by equality; a probe that
-    hits is kept if no longer wanted key heads the row too.
+    first half, and heads at most two letters short. Those are probed by equality, once; a probe
+    that hits is kept if no longer wanted key heads the row too.
     """
     credit, recording = F.col("credit"), F.col("recording")
     stripped = combined_lookup_of(credit, strip_annotation(recording))
@@ -131,7 +131,7 @@ def prefix_asks(keys: DataFrame, dump: DataFrame) -> DataFrame:
         "how", F.when(F.array_contains("version", F.col("asked")), HOW["version"]).otherwise(HOW["spelling"])
     ).drop("version", "shortest")
     known = keys.select("key").distinct()
-    hits = probed.join(known.withColumnRenamed("key", "asked"), "asked", "left_semi")
+    hits = cut_lineage(probed.join(known.withColumnRenamed("key", "asked"), "asked", "left_semi"))
     longer = hits.select("key", "asked").distinct().withColumn("n", F.explode(
         F.sequence(F.length("asked") + 1, F.length("key"))
     )).select(F.col("key").alias("whole"), "asked", F.substring(F.col("key"), F.lit(1), F.col("n")).alias("key"))
