@@ -158,11 +158,13 @@ def set_fingerprints(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.nda
     return _majority(ones, size)
 
 
-def distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int16)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; a point is one word, or a row of several."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int16) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int16)
 
 
-def _vantage(points: np.ndarray) -> tuple[np.uint64, int] | None:
+def _vantage(points: np.ndarray, reach: int | np.ndarray = REACH) -> tuple[np.ndarray, int] | None:
     """The point, of a few tried, whose distances spread most, and the radius that halves them."""
     best = None
     for point in points[:: max(1, len(points) // 12)][:12]:
@@ -171,7 +173,7 @@ def _vantage(points: np.ndarray) -> tuple[np.uint64, int] | None:
         near = int((d < radius).sum())
         if near == 0 or near == len(points):
             continue
-        border = int((np.abs(d - radius) <= REACH).sum()) + abs(len(points) - 2 * near) // 2
+        border = int((np.abs(d - radius) <= reach).sum()) + abs(len(points) - 2 * near) // 2
         if best is None or border < best[0]:
             best = (border, point, radius)
     return None if best is None else (best[1], best[2])
@@ -186,11 +188,12 @@ def plan_tree(sample: np.ndarray, depth: int) -> list | None:
     return [point, radius, plan_tree(sample[d < radius], depth - 1), plan_tree(sample[d >= radius], depth - 1)]
 
 
-def _sides(points: np.ndarray, guest: np.ndarray, point: np.uint64, radius: int, reach: int) -> tuple:
+def _sides(points: np.ndarray, guest: np.ndarray, point: np.ndarray, radius: int, reach: int | np.ndarray) -> tuple:
     """Rows for the near and the far side, with who is a guest there.
 
     Own rows live on one side. Of two own rows parted here the nearer one visits the far side; guests
-    visit every side that can hold a partner.
+    visit every side that can hold a partner. Where each row has a reach of its own, two rows are partners
+    that lie within the reach of both.
     """
     d = distance(points, point)
     near = (d < radius + reach) & guest | (d < radius) & ~guest
@@ -198,7 +201,11 @@ def _sides(points: np.ndarray, guest: np.ndarray, point: np.uint64, radius: int,
     return (np.flatnonzero(near), guest[near]), (np.flatnonzero(far), guest[far] | (d[far] < radius))
 
 
-def deal(points: np.ndarray, tree: list | None, reach: int = REACH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _of(reach: int | np.ndarray, rows: np.ndarray) -> int | np.ndarray:
+    return reach[rows] if isinstance(reach, np.ndarray) else reach
+
+
+def deal(points: np.ndarray, tree: list | None, reach: int | np.ndarray = REACH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, rows, guests) for every shard that some of the points live in or visit."""
     work = [(tree, 1, np.arange(len(points)), np.zeros(len(points), bool))]
     while work:
@@ -208,7 +215,7 @@ def deal(points: np.ndarray, tree: list | None, reach: int = REACH) -> Iterator[
         if node is None:
             yield shard, rows, guest
             continue
-        for child, k, (kept, visiting) in zip(node[2:], (0, 1), _sides(points[rows], guest, node[0], node[1], reach), strict=True):
+        for child, k, (kept, visiting) in zip(node[2:], (0, 1), _sides(points[rows], guest, node[0], node[1], _of(reach, rows)), strict=True):
             work.append((child, 2 * shard + k, rows[kept], visiting))
 
 
@@ -233,23 +240,28 @@ class Joined:
                 self.root = flat
 
 
-def shard_links(points: np.ndarray, guest: np.ndarray, reach: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shard_links(points: np.ndarray, guest: np.ndarray, reach: int | np.ndarray = REACH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (a, b) of a shard within reach of each other, each a an own row, some at a time."""
+    cells = 4_000_000 // (1 if points.ndim == 1 else points.shape[1])
     work = [(np.arange(len(points)), guest)]
     while work:
         rows, visiting = work.pop()
         own = rows[~visiting]
         if not len(own):
             continue
-        found = None if len(own) <= LEAF_ROWS else _vantage(points[own])
+        found = None if len(own) <= LEAF_ROWS else _vantage(points[own], _of(reach, own))
         if found is None:
-            step = max(1, 4_000_000 // len(rows))
+            step = max(1, cells // len(rows))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
-                a, b = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[rows][None, :]) <= reach)
+                apart = np.bitwise_count(points[some][:, None] ^ points[rows][None, :])
+                if apart.ndim == 3:
+                    apart = apart.sum(axis=2, dtype=np.int16)
+                within = reach if np.ndim(reach) == 0 else np.minimum(reach[some][:, None], reach[rows][None, :])
+                a, b = np.nonzero(apart <= within)
                 yield some[a], rows[b]
             continue
-        for kept, seen in _sides(points[rows], visiting, *found, reach):
+        for kept, seen in _sides(points[rows], visiting, *found, _of(reach, rows)):
             work.append((rows[kept], seen))
 
 
