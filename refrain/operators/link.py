@@ -24,7 +24,7 @@ from refrain.functions.titles import (
     is_live_release, is_variant_recording, medley_head, strip_annotation, title_alternatives,
 )
 from refrain.operators.expand import PROPOSAL_FIELDS
-from refrain.operators.select import ROW, best_match
+from refrain.operators.select import ROW, best_match, within
 from refrain.session import cut_lineage, dealt_out
 
 HOW = {name: index for index, name in enumerate(fixed.HOWS)}
@@ -58,19 +58,24 @@ def prepare_dump(dump: DataFrame) -> DataFrame:
     return graded.withColumn("base_quality", base).drop("release_key")
 
 
-def digest(rows: DataFrame, keys: list[str]) -> DataFrame:
+def digest(rows: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """First row of lowest quality per key and class, with the number of rows behind it.
 
     Within a class the variant penalty is constant, so the base quality decides. Quality and row are one number of
     fixed width, so the minimum is hashed and combined before the shuffle and nothing is sorted; what else is known of
-    the row is fetched for winners only (``with_rows``).
+    the row is fetched for winners only (``with_rows``). Told apart ``by`` more columns, a class also has its last row and
+    by how much its highest quality exceeds the lowest (null if one of its rows has no quality or number).
     """
     whole = F.col("base_quality").cast("decimal(18,0)") * F.lit(_ROWS).cast("decimal(20,0)")
     packed = (whole + F.col("row_no").cast("decimal(19,0)")).cast("decimal(38,0)")
-    least = rows.groupBy(*keys, *GRADED).agg(F.min(packed).alias("m"), F.count(F.lit(1)).alias("seen"))
+    whole_class = F.count(packed) == F.count(F.lit(1))
+    more = [F.max("row_no").alias("last_row"), F.when(whole_class, F.max("base_quality")).alias("most")] if by else []
+    least = rows.groupBy(*keys, *by, *GRADED).agg(F.min(packed).alias("m"), F.count(F.lit(1)).alias("seen"), *more)
     row_no = F.pmod("m", F.lit(_ROWS).cast("decimal(20,0)"))
     quality = ((F.col("m") - row_no).cast("decimal(38,0)") / F.lit(_ROWS).cast("decimal(20,0)"))
-    return least.select(*keys, *GRADED, row_no.cast("bigint").alias("row_no"), quality.cast("bigint").alias("base_quality"), "seen")
+    quality = quality.cast("bigint")
+    bounds = ["last_row", (F.col("most") - quality).alias("spread")] if by else []
+    return least.select(*keys, *by, *GRADED, row_no.cast("bigint").alias("row_no"), quality.alias("base_quality"), "seen", *bounds)
 
 
 def with_rows(best: DataFrame, dump: DataFrame, allow: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def _candidates(rows: DataFrame, number: int) -> DataFrame:
 def _shaped(rows: DataFrame) -> DataFrame:
     known = [c for c in [*ROW, "live", "variant", "quality"] if c in rows.columns]
     columns = ["post_id", "pass", "rank", "how", "rewrites", "proposed", *PROPOSAL_FIELDS, *known]
-    return rows.select(*[F.col(f"`{c}`") for c in columns], *(["seen"] if "seen" in rows.columns else []))
+    return rows.select(*[F.col(f"`{c}`") for c in columns], *[c for c in ("seen", "last_row", "spread") if c in rows.columns])
 
 
 # --- pass 1: artist and title together -------------------------------------------------
@@ -146,8 +151,8 @@ def exact_asks(keys: DataFrame, dump: DataFrame) -> DataFrame:
 
 
 def _answered(wanted: DataFrame, asked: DataFrame) -> DataFrame:
-    entries = wanted.withColumnRenamed("key", "asked")
-    return _shaped(_graded(entries.join(asked, "asked").withColumn("pass", F.lit(1))))
+    rows = wanted.withColumnRenamed("key", "asked").join(asked, "asked").withColumn("pass", F.lit(1))
+    return _shaped(_graded(within(rows) if "since" in rows.columns else rows))
 
 
 def link_exact(wanted: DataFrame, dump: DataFrame, classes: bool = True) -> DataFrame:
@@ -165,14 +170,19 @@ def link_prefix(wanted: DataFrame, dump: DataFrame, classes: bool = True) -> Dat
 def link_keys(wanted: DataFrame, allow: DataFrame, dump: DataFrame, mode: str = "fold") -> DataFrame:
     """Pass 1: the best row per song over exact and prefix candidates."""
     asked = exact_asks(wanted, dump).unionByName(prefix_asks(wanted, dump))
+    if mode == "fold":  # which reads them three times
+        asked = cut_lineage(asked)
     classes = _answered(wanted, digest(asked, ["asked", "how"]))
 
-    def rows_of(posts: DataFrame) -> DataFrame:
-        entries = wanted.join(posts, "post_id", "left_semi")
-        known = entries.select(F.col("key").alias("asked")).distinct()
-        return _answered(entries, asked.join(known, "asked", "left_semi"))
+    def asked_of(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        entries = wanted.join(posts, "post_id")
+        return entries, asked.join(entries.select(F.col("key").alias("asked")).distinct(), "asked", "left_semi")
+
+    def digests_of(posts: DataFrame) -> DataFrame:
+        entries, rows = asked_of(posts)
+        return _answered(entries, digest(rows, ["asked", "how"], ("credit",)))
 
-    return with_rows(best_match(classes, rows_of, mode), dump, allow)
+    return with_rows(best_match(classes, lambda posts: _answered(*asked_of(posts)), mode, digests_of), dump, allow)
 
 
 # --- learning which ids an artist string means ------------------------------------------
@@ -260,12 +270,13 @@ def _by_title_and_id(dump: DataFrame) -> DataFrame:
 
 def link_scoped(
     songs: DataFrame, allow: DataFrame, dump: DataFrame, ids: DataFrame, number: int = 2, classes: bool = True,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Candidates by known artist id (or the lead's, which then must be credited first) and whole title."""
     asks = _scoped_asks(songs, ids)
     rows = _by_title_and_id(dump).join(asks.select("recording_key").distinct(), "recording_key", "left_semi")
     if classes:
-        rows = digest(rows, ["recording_key", "artist_id", "first"])
+        rows = digest(rows, ["recording_key", "artist_id", "first"], by)
     joined = known_pairs(asks, rows, ids).filter(~F.col("via_lead") | F.col("first")).join(allow, "post_id")
     how = F.when(F.col("via_lead"), HOW["lead-scoped"]).otherwise(HOW["artist-scoped"])
     found = _candidates(_graded(joined.withColumn("how", how)), number)
@@ -284,7 +295,14 @@ def upgrade_scoped(
         again = songs.join(posts, "post_id", "left_semi")
         return link_scoped(again, allow, dump, ids, classes=False).unionByName(held.join(again, "post_id", "left_semi"))
 
-    return with_rows(best_match(classes, rows_of, mode), dump, allow)
+    def digests_of(posts: DataFrame) -> DataFrame:
+        again = songs.join(posts, "post_id", "left_semi")
+        own = held.drop(*[c for c in ROW if c not in ("row_no", "credit")]).join(again, "post_id", "left_semi").withColumns({
+            "seen": F.lit(1).cast("long"), "last_row": F.col("row_no"),
+            "spread": F.when(F.col("row_no").isNotNull(), F.lit(0)).cast("long")})
+        return link_scoped(again, allow, dump, ids, by=("credit",)).unionByName(own)
+
+    return with_rows(best_match(classes, rows_of, mode, digests_of), dump, allow)
 
 
 # --- pass 2b: every named part of a collaboration must be credited, in any order ----------
@@ -435,7 +453,7 @@ def reach_artists(songs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def link_near(
-    songs: DataFrame, allow: DataFrame, dump: DataFrame, credits: DataFrame, classes: bool = True
+    songs: DataFrame, allow: DataFrame, dump: DataFrame, credits: DataFrame, classes: bool = True, by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Candidates by a reachable artist whose title is a plausible misspelling.
 
@@ -469,7 +487,7 @@ def link_near(
     pairs = cut_lineage(asked.join(near, ["head", "title_key"]).select("artist_key", "title_key", "key").distinct())
     rows = by_id.join(pairs.select("key").distinct(), "key", "left_semi")
     if classes:
-        rows = digest(rows, ["key", "artist_id"])
+        rows = digest(rows, ["key", "artist_id"], by)
     hits = pairs.join(members, "artist_key").join(rows, ["key", "artist_id"])
     joined = reach.join(hits, ["artist_key", "title_key"]).join(allow, "post_id").withColumn("how", F.lit(HOW["near"]))
     found = _candidates(_graded(joined), 6)
@@ -482,4 +500,7 @@ def best_near(songs: DataFrame, allow: DataFrame, dump: DataFrame, credits: Data
     def rows_of(posts: DataFrame) -> DataFrame:
         return link_near(songs.join(posts, "post_id", "left_semi"), allow, dump, credits, classes=False)
 
-    return with_rows(best_match(classes, rows_of, mode), dump, allow)
+    def digests_of(posts: DataFrame) -> DataFrame:
+        return link_near(songs.join(posts, "post_id", "left_semi"), allow, dump, credits, by=("credit",))
+
+    return with_rows(best_match(classes, rows_of, mode, digests_of), dump, allow)

@@ -3,8 +3,10 @@
 Two ways to choose are offered. ``total_order`` is a plain lexicographic minimum and works
 under any partitioning. ``fold`` keeps the order-dependent displacement rules: candidates
 arrive in dump order and each may or may not push out the one held. The fold first settles
-every song whose best class of candidates cannot be displaced, from per-class minima alone;
-only the rest are replayed, in blocks of rows whose effect is summarised and then chained.
+every song whose best class of candidates cannot be displaced, from per-class minima alone.
+For the others the classes, told apart by credit too, show from where on candidates can still
+decide (``deciding``); only those are replayed, in blocks of rows whose effect is summarised
+and then chained.
 """
 
 from __future__ import annotations
@@ -56,14 +58,20 @@ def best_first(candidates: DataFrame) -> DataFrame:
     )
 
 
-def with_credit_flags(candidates: DataFrame) -> DataFrame:
+def named_artists(candidates: DataFrame) -> DataFrame:
+    """post_id, song_artist, put_artist: the catalogue's artist and the proposed one, for posts with a proposal."""
+    return candidates.filter("proposed").groupBy("post_id").agg(
+        F.max("venue_artist").alias("song_artist"), F.max("proposal_artist").alias("put_artist")
+    )
+
+
+def with_credit_flags(candidates: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Whether each credit names the catalogue's artist or the proposed one (first 12 key letters).
 
-    Both artists come from the song's proposal and are compared with every candidate of the song.
+    Both artists come from the song's proposal and are compared with every candidate of the song; ``named`` tells them
+    where only some of the candidates are at hand.
     """
-    named = candidates.filter("proposed").groupBy("post_id").agg(
-        F.max("venue_artist").alias("song_artist"), F.max("proposal_artist").alias("put_artist")
-    )
+    named = named_artists(candidates) if named is None else named
     credit, venue, put = (name_key(F.col(c)) for c in ("credit", "song_artist", "put_artist"))
 
     def holds(outer: Column, inner: Column) -> Column:
@@ -147,12 +155,83 @@ def _kind(e: Column) -> Column:
     return F.concat_ws(",", *[e[c].cast("int").cast("string") for c in STEP[:-1]])
 
 
-def _steps(candidates: DataFrame) -> DataFrame:
+def _place(row_no: str = "row_no") -> Column:
+    """Where a candidate stands in the order of the fold."""
+    return F.struct(F.col("pass").cast("int").alias("pass"), F.col(row_no).alias("row_no"), F.col("proposed").cast("int").alias("put"))
+
+
+def _steps(candidates: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """post_id and n (kind, what decides, and the row's place) for every candidate."""
-    rows = with_credit_flags(candidates).withColumn("quality", F.col("quality").cast("double"))
+    rows = with_credit_flags(candidates, named).withColumn("quality", F.col("quality").cast("double"))
     decides = F.struct(*[F.col(c) for c in STEP])
-    place = F.struct(F.col("pass").cast("int").alias("pass"), "row_no", F.col("proposed").cast("int").alias("put"))
-    return rows.select("post_id", place.alias("place"), _kind(decides).alias("kind"), decides.alias("n"))
+    return rows.select("post_id", _place().alias("place"), _kind(decides).alias("kind"), decides.alias("n"))
+
+
+def kinds_of_posts(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """post_id, k: all that decides but the quality (n), its least and most quality, the first row of the least, the last row.
+
+    ``rows`` are candidates, or digests of them that tell credits apart: the first row of lowest quality, with the last row
+    (``last_row``) and by how much the highest quality exceeds the lowest (``spread``). Where one has no quality or row
+    number, there is no most.
+    """
+    if "last_row" not in rows.columns:
+        rows = rows.withColumns({"last_row": F.col("row_no"), "spread": F.when(F.col("row_no").isNotNull(), F.lit(0))})
+    rows = with_credit_flags(rows, named).withColumn("quality", F.col("quality").cast("double"))
+    most = F.col("quality") + F.col("spread")
+    found = rows.groupBy("post_id", *STEP[:-1]).agg(
+        F.min(F.struct("quality", _place().alias("place"))).alias("m"), F.max(_place("last_row")).alias("last"),
+        F.when(F.count(most) == F.count(F.lit(1)), F.max(most)).alias("most"),
+    )
+    n = F.struct(*STEP[:-1]).alias("n")
+    return found.select("post_id", F.struct(n, F.col("m.quality").alias("least"), "most", F.col("m.place").alias("first"), "last").alias("k"))
+
+
+def _bound(place: Column, after: int) -> Column:
+    return F.struct(place["pass"].alias("pass"), place["row_no"].alias("row_no"), place["put"].alias("put"), F.lit(after).alias("after"))
+
+
+def deciding(kinds: DataFrame) -> DataFrame:
+    """post_id, since, until (either may be null): the candidates whose fold, from nothing held, ends as that of all.
+
+    Of two kinds one takes over from the other always, only by a lower quality (so always or never if the bounds of both
+    are apart), or never. Where a kind has no bounds nothing is known of its post.
+
+    - If the first row of lowest quality of a kind J takes over from all that may be held, it is held once it has come:
+      nothing before it counts. If no kind can take over from it afterwards, it is the winner.
+    - If every row of J takes over from every other kind: after a row of another kind that takes over from all of J, nothing
+      of J is held, so the first row of J that follows is held next. Nothing up to that other row counts, if any J follows.
+    """
+    j, x = F.col("j"), F.col("x")
+    pairs = kinds.withColumnRenamed("k", "j").join(kinds.withColumnRenamed("k", "x"), "post_id")
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+
+    def at(k: Column, quality: Column) -> Column:
+        return F.struct(*[k["n"][c].alias(c) for c in STEP[:-1]], quality.alias("quality"))
+
+    def sure(condition: Column) -> Column:
+        return F.coalesce(j["most"].isNotNull() & x["most"].isNotNull() & condition, F.lit(False))
+
+    same = j["n"] == x["n"]
+    plainly, if_lower = accepts(at(x, low), at(j, j["least"])), accepts(at(x, high), at(j, j["least"]))
+    least_takes, all_take = (plainly | (if_lower & (j[bound] < x["least"])) for bound in ("least", "most"))
+    always, by_quality = accepts(at(j, low), at(x, x["least"])), accepts(at(j, high), at(x, x["least"]))
+    harmless = ~by_quality | (~always & (x["least"] >= j["least"])) | (x["last"] < j["first"]) | (same & (x["last"] == j["first"]))
+    every = always | (by_quality & (x["most"] < j["least"]))
+    least = by_quality & (x["least"] < j["least"])
+    ends = F.greatest(*[F.when(sure(~same & out & (place < j["last"])), _bound(place, 1)) for out, place in ((every, x["last"]), (always | least, x["first"]))])
+    judged = pairs.groupBy("post_id", "j").agg(
+        F.min(sure(same | least_takes)).alias("least_takes"), F.min(sure(same | all_take)).alias("all_take"),
+        F.min(sure(harmless)).alias("unbeaten"), F.max(ends).alias("cleared"))
+    held = F.when(F.col("least_takes"), _bound(F.col("j.first"), 0))
+    since = F.greatest(held, F.when(F.col("all_take"), F.col("cleared")))
+    return judged.groupBy("post_id").agg(F.max(since).alias("since"), F.max(F.when(F.col("unbeaten"), held)).alias("until")).select(
+        "post_id", F.coalesce("until", "since").alias("since"), "until")
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """The rows between since and until; a null bound is none."""
+    place = _bound(_place(), 0)
+    return rows.filter(F.coalesce(place >= F.col("since"), F.lit(True)) & F.coalesce(place <= F.col("until"), F.lit(True)))
 
 
 def _blocks(steps: DataFrame, block_rows: int) -> DataFrame:
@@ -249,13 +328,13 @@ def chained(effects: DataFrame) -> DataFrame:
     ).drop("run")
 
 
-def replay(candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def replay(candidates: DataFrame, block_rows: int = BLOCK_ROWS, named: DataFrame | None = None) -> DataFrame:
     """The fold of any number of candidates per post, in (pass, row_no, proposed) order.
 
     Blocks of rows are summarised apart, and neighbouring summaries chained, twice as many rows each round, until one
     block per post is left; what it makes of nothing held is the winner.
     """
-    blocks = cut_lineage(_blocks(_steps(candidates), block_rows))
+    blocks = cut_lineage(_blocks(_steps(candidates, named), block_rows))
     effects, most = cut_lineage(block_effects(blocks)), blocks.agg(F.max("block")).first()[0] or 0
     while most:
         effects, most = cut_lineage(chained(effects)), most // 2
@@ -267,20 +346,34 @@ def replay(candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def best_by_fold(
     classes: DataFrame, rows_of: Callable[[DataFrame], DataFrame], block_rows: int = BLOCK_ROWS,
+    digests_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The ordered displacement fold over any number of candidates.
 
     ``classes`` is the per-class digest with ``seen`` rows behind each entry; ``rows_of`` returns
-    the full candidates of the posts it is given: those that the classes alone do not settle.
+    the full candidates of the posts it is given: those that the classes alone do not settle. The posts
+    come with the bounds that ``digests_of``, by default the candidates themselves, sets them
+    (``deciding``); it may leave out candidates beyond.
     """
     classes = cut_lineage(classes)
     settled = cut_lineage(settled_by_class(classes))
     unsettled = cut_lineage(classes.select("post_id").distinct().join(settled.select("post_id"), "post_id", "left_anti"))
-    return settled.unionByName(replay(cut_lineage(rows_of(unsettled)), block_rows).select(*settled.columns))
+    digests = cut_lineage((digests_of or rows_of)(unsettled))
+    named = cut_lineage(named_artists(digests))
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        return cut_lineage(unsettled.join(deciding(cut_lineage(kinds_of_posts(rows, named))), "post_id", "left"))
+
+    bounds = bounded(digests)
+    rows = cut_lineage(within(rows_of(bounds).join(bounds, "post_id")).drop("since", "until"))
+    # What is left is a fold again, of which the kinds may now say more.
+    rows = cut_lineage(within(rows.join(bounded(rows), "post_id")).drop("since", "until"))
+    return settled.unionByName(replay(rows, block_rows, named).select(*settled.columns))
 
 
 def best_match(
-    classes: DataFrame, rows_of: Callable[[DataFrame], DataFrame] | None = None, mode: str = "fold"
+    classes: DataFrame, rows_of: Callable[[DataFrame], DataFrame] | None = None, mode: str = "fold",
+    digests_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One winner per post_id, by ``fold``, ``total_order`` or ``first``."""
     if mode == "total_order":
@@ -289,4 +382,4 @@ def best_match(
         return best_first(classes)
     if mode != "fold" or rows_of is None:
         raise ValueError("mode is fold (with rows_of), total_order or first")
-    return best_by_fold(classes, rows_of)
+    return best_by_fold(classes, rows_of, digests_of=digests_of)

@@ -106,3 +106,72 @@ def test_settled_posts_need_no_replay(spark):
     settled = {r.post_id: r.row_no for r in sel.settled_by_class(classes_of(df)).collect()}
     want = expected(rows)
     assert len(settled) > 60 and all(want[p] == n for p, n in settled.items())
+
+
+def crowded(rng, posts, many, in_order):
+    rows = groups(rng, posts, True)
+    for post in range(posts):
+        kinds = [r for r in rows if r["post_id"] == post]
+        for k in range(many):
+            row_no = 1_000 + k
+            base = row_no if in_order else rng.randint(1, 10_000)
+            r = dict(rng.choice(kinds), row_no=row_no)
+            rows.append({**r, "quality": base + r["live"] * 50_000 + r["variant"] * 40_000})
+    return rows
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_few_candidates_of_crowded_songs_are_replayed(spark, monkeypatch, in_order):
+    rows = crowded(random.Random(21), 40, 200, in_order)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    replay, replayed = sel.replay, []
+
+    def counted(candidates, *more):
+        replayed.append(candidates.count())
+        return replay(candidates, *more)
+
+    monkeypatch.setattr(sel, "replay", counted)
+    best = sel.best_by_fold(classes_of(df), lambda posts: df.join(posts.select("post_id"), "post_id", "left_semi"))
+    assert {r.post_id: r.row_no for r in best.collect()} == expected(rows)
+    assert sum(replayed) < len(rows) / 3
+
+
+def test_candidates_without_a_quality_set_no_bounds(spark):
+    rows = [{**r, "quality": None if r["row_no"] % 40 == 0 else r["quality"]} for r in crowded(random.Random(3), 20, 40, False)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    named = sel.named_artists(df)
+    bounds = sel.deciding(sel.kinds_of_posts(df, named))
+    known = {r.post_id for r in bounds.filter("since is not null").collect()}
+    assert not known & {r["post_id"] for r in rows if r["quality"] is None}
+    left = sel.within(df.join(bounds, "post_id")).drop("since", "until")
+    whole, part = ({(r.post_id, r.row_no) for r in sel.replay(d, 16, named).collect()} for d in (df, left))
+    assert whole == part
+
+
+def test_a_crowded_key_is_folded_like_all_its_candidates(spark, monkeypatch):
+    from refrain.operators import link
+    from refrain.operators.expand import allowed_language, wanted_keys
+
+    rng = random.Random(8)
+    songs = spark.createDataFrame([(1, "Abba", "Stay"), (2, "The Abba", "Stay (remix)"), (3, "Abba", "The stay"), (4, "ABBA & Kiss", "Stay")],
+                                  "post_id long, artist string, song string")
+    put = spark.createDataFrame([(3, "The Abba", "Stay", None, None, "by ear"), (4, "Abba", "Stay", None, None, "by ear")],
+                                "post_id long, artist string, title string, `from` string, language string, why string")
+    raw = spark.createDataFrame([
+        (k, f"r{k}", rng.choice(["ABBA", "The ABBA", "Abba and Kiss"]), ["a1"], rng.choice(["Stay", "Stay", "Stay (remix)", "Stay / Go", "Stays", "The Stay"]),
+         rng.choice(["Live at home", "Stay", "x", "y"]), rng.choice([k, rng.randint(1, 500)])) for k in range(500)
+    ], "row_no long, recording_id string, credit string, artist_ids array<string>, recording string, release string, score long")
+    dump, allow = link.prepare_dump(raw).localCheckpoint(), allowed_language(songs, put)
+    wanted = wanted_keys(songs, put).localCheckpoint()
+    rows = link.link_exact(wanted, dump, classes=False).unionByName(link.link_prefix(wanted, dump, classes=False)).localCheckpoint()
+    whole = {r.post_id: (r.row_no, r.rank, r.how, r.proposed) for r in sel.replay(rows).collect()}
+    replay, replayed = sel.replay, []
+
+    def counted(candidates, *more):
+        replayed.append(candidates.count())
+        return replay(candidates, *more)
+
+    monkeypatch.setattr(sel, "replay", counted)
+    best = link.link_keys(wanted, allow, dump, "fold").collect()
+    assert {r.post_id: (r.row_no, r.rank, r.how, r.proposed) for r in best} == whole and len(whole) == 4
+    assert sum(replayed) < rows.count() / 8
